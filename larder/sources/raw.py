@@ -44,7 +44,9 @@ def checked_header(spark: SparkSession, table: str, paths: Sequence[str]) -> lis
     return found[0]
 
 
-def read_text(spark: SparkSession, names: Sequence[str], paths: Sequence[str], quoted_lines: bool = False) -> DataFrame:
+def read_text(
+    spark: SparkSession, names: Sequence[str], paths: Sequence[str], quoted_lines: bool = False, header: bool = True
+) -> DataFrame:
     """All columns as text, with records of the wrong shape set aside in one extra column.
 
     Plain files are split across tasks; ``quoted_lines`` allows line breaks inside quotes at the
@@ -53,8 +55,8 @@ def read_text(spark: SparkSession, names: Sequence[str], paths: Sequence[str], q
     shape = StructType([*contract.text_schema(names).fields, StructField(BROKEN, StringType(), True)])
     return (
         spark.read.schema(shape)
-        .options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN, escape='"',
-                 enforceSchema=False, multiLine=quoted_lines)
+        .options(header=header, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN, escape='"',
+                 enforceSchema=False, multiLine=quoted_lines, columnPruning=False)
         .csv(list(paths))
     )
 
@@ -75,6 +77,14 @@ def corrupt_records(raw: DataFrame) -> DataFrame:
     return raw.where(F.col(BROKEN).isNotNull())
 
 
+def shape_counts(raw: DataFrame) -> DataFrame:
+    """Malformed records beside all records, in one pass."""
+    fields = [c for c in raw.columns if c != BROKEN]
+    # Spark refuses to read the set-aside column alone, so the field counts are read with it.
+    touched = F.greatest(*[F.count(c) for c in fields])
+    return raw.agg(F.count(BROKEN).alias("malformed"), F.greatest(F.count(F.lit(1)), touched).alias("records"))
+
+
 def _mismatch(name: str, kind: str) -> Column:
     value = F.col(name)
     if kind == "string":
@@ -167,6 +177,6 @@ def replicate(
     """
     if copies < 1:
         raise ValueError("copies must be positive")
-    batch = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
+    batch = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long")))
     moved = {key: F.col(key) + F.col("_batch") * step for key, step in strides.items()}
-    return df.withColumn("_batch", batch.cast("long")).withColumns(moved).drop("_batch")
+    return df.withColumn("_batch", batch).withColumns(moved).drop("_batch")

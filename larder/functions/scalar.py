@@ -85,3 +85,8 @@ def band(value: Column, cut: Column | float, names: tuple[str, str, str] = ("LOW
 def half_up(value: Column, digits: int) -> Column:
     """Rounded double, used for evidence and reports."""
     return F.round(value.cast("double"), digits)
+
+
+def cents(value: Column) -> Column:
+    """A computed amount rounded half up to the cent, free of binary noise."""
+    return F.round(value.cast("decimal(28,9)"), 2).cast("double")

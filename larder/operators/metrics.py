@@ -18,10 +18,6 @@ from larder.functions.scalar import ratio
 from larder.functions.windows import nth_per, percent_change
 
 
-def total(column: str) -> Column:
-    return F.sum(column)
-
-
 def per_order(sales: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per key, customer and order."""
     return sales.groupBy(*keys, "Customer_ID", "Order_ID").agg(
@@ -137,8 +133,8 @@ def by_channel(i: DataFrame) -> DataFrame:
 # -- clean aggregates --------------------------------------------------------------------------
 
 
-def rating_metrics(ratings: DataFrame) -> DataFrame:
-    return ratings.groupBy("Item_ID").agg(
+def rating_metrics(ratings: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    return ratings.groupBy(*scope, "Item_ID").agg(
         F.avg("Stars").alias("Average_Rating"), F.count("Stars").alias("Rating_Count")
     )
 
@@ -247,12 +243,12 @@ def status_counts(orders: DataFrame) -> DataFrame:
     return orders.groupBy("Order_Status").agg(F.count(F.lit(1)).alias("orders"))
 
 
-def menu_scoped(sales: DataFrame) -> DataFrame:
-    """Item aggregate of a scope: economics, dates, campaign dependency and repeat rate."""
-    g = summarise(sales, ["Item_ID", "Item_Name", "Category_ID"])
+def menu_scoped(sales: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Item aggregate of a scope (or of every scope): economics, dates, campaign dependency, repeats."""
+    g = summarise(sales, [*scope, "Item_ID", "Item_Name", "Category_ID"])
     gross = F.col("revenue") + F.col("discount")
     return g.select(
-        "Item_ID", "Item_Name", "Category_ID",
+        *scope, "Item_ID", "Item_Name", "Category_ID",
         F.col("units").alias("sales"), "revenue", "cost", "contribution", "orders", "customers", "discount",
         "first_sale", "last_sale",
         ratio(100 * F.col("contribution"), F.col("revenue"), 0.0).alias("profit_percent"),
@@ -274,19 +270,19 @@ def repeat_rate(sales: DataFrame, key: str = "Item_ID") -> DataFrame:
     return g.select(key, ratio(F.col("repeat_customers"), F.col("customers")).alias("repeat_purchase_rate"))
 
 
-def trend(sales: DataFrame, end: Column, days: int = 30, key: str = "Item_ID") -> DataFrame:
+def trend(sales: DataFrame, end: Column, days: int = 30, keys: Sequence[str] = ("Item_ID",)) -> DataFrame:
     """Change of units between the last and the previous window, both ending at a global ``end``."""
     at = F.col("Order_DateTime")
     one, two = F.expr(f"INTERVAL {days} DAYS"), F.expr(f"INTERVAL {2 * days} DAYS")
     recent = F.sum(F.when(at > end - one, F.col("Quantity")).otherwise(0))
     before = F.sum(F.when((at <= end - one) & (at > end - two), F.col("Quantity")).otherwise(0))
-    g = sales.groupBy(key).agg(recent.alias("recent_units"), before.alias("previous_units"))
+    g = sales.groupBy(*keys).agg(recent.alias("recent_units"), before.alias("previous_units"))
     change = 100.0 * (F.col("recent_units") - F.col("previous_units")) / F.greatest(F.col("previous_units"), F.lit(1))
     return g.withColumn("sales_trend_percent", change)
 
 
-def item_waste(wastage: DataFrame) -> DataFrame:
-    return wastage.groupBy("Item_ID").agg(
+def item_waste(wastage: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    return wastage.groupBy(*scope, "Item_ID").agg(
         F.sum("Quantity_Wasted").alias("wastage_quantity"), F.sum("Cost_Impact").alias("wastage_cost")
     )
 
@@ -319,14 +315,14 @@ def with_unsold(grouped: DataFrame, catalogue: DataFrame, history: DataFrame, ze
     return grouped.unionByName(blank, allowMissingColumns=True)
 
 
-def seasonality(sales: DataFrame, key: str = "Item_ID") -> DataFrame:
+def seasonality(sales: DataFrame, keys: Sequence[str] = ("Item_ID",)) -> DataFrame:
     """Selling months and the volume share of the three strongest calendar months."""
-    monthly = sales.groupBy(key, F.month("Date").alias("month")).agg(F.sum("Quantity").alias("units"))
+    monthly = sales.groupBy(*keys, F.month("Date").alias("month")).agg(F.sum("Quantity").alias("units"))
     # Twelve numbers per dish at most.
-    months = monthly.groupBy(key).agg(F.sort_array(F.collect_list("units"), asc=False).alias("units"))
+    months = monthly.groupBy(*keys).agg(F.sort_array(F.collect_list("units"), asc=False).alias("units"))
     top = F.aggregate(F.slice("units", 1, 3), F.lit(0).cast("long"), lambda a, x: a + x)
     whole = F.aggregate("units", F.lit(0).cast("long"), lambda a, x: a + x)
-    return months.select(key, F.size("units").alias("active_months"), ratio(top, whole, 0.0).alias("seasonal_top3_share"))
+    return months.select(*keys, F.size("units").alias("active_months"), ratio(top, whole, 0.0).alias("seasonal_top3_share"))
 
 
 def history_days(

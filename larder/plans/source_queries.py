@@ -172,7 +172,7 @@ def not_finite(c: str) -> str:
 CLEAN = {
     "ok_menu": """SELECT * FROM raw_menu WHERE Cost >= 0 AND Item_ID IN (SELECT Item_ID FROM raw_prices WHERE Price > 0)""",
     "parsed_orders": """SELECT CAST(Order_ID AS BIGINT) AS Order_ID, TRY_CAST(Customer_ID AS BIGINT) AS Customer_ID, CAST(Location_ID AS BIGINT) AS Location_ID,
-        TRY_CAST(Order_DateTime AS TIMESTAMP) + INTERVAL 5 HOUR AS Order_DateTime, Channel, Order_Status FROM raw_orders WHERE Channel <> 'Unknown channel'""",
+        TRY_CAST(substr(Order_DateTime, 1, 19) AS TIMESTAMP) AS Order_DateTime, Channel, Order_Status FROM raw_orders WHERE Channel <> 'Unknown channel'""",
     "ok_orders": """SELECT * FROM parsed_orders WHERE Customer_ID IN (SELECT Customer_ID FROM customers) AND Location_ID IN (SELECT Location_ID FROM locations)
         AND Order_DateTime IS NOT NULL""",
     "line_shape": f"""SELECT *, CASE WHEN {not_finite('Quantity')} THEN 'finite_Quantity' WHEN {not_finite('Unit_Price')} THEN 'finite_Unit_Price'

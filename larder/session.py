@@ -57,3 +57,13 @@ def materialise(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, rows_per_task: int = 5_000) -> DataFrame:
+    """Give a stored training table enough partitions for compute-bound fitting.
+
+    Partitions are sized by bytes after a shuffle, which leaves a few megabytes of training rows
+    to one core. ``df`` must be stored already, since its rows are counted first.
+    """
+    wanted = min(df.count() // rows_per_task + 1, df.sparkSession.sparkContext.defaultParallelism)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

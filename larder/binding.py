@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.windows import nth_per
 from larder.operators import facts
+from larder.session import scratch_path
 
 # Defects planted by expression in the raw text tables (see Tables.raw_orders / raw_lines).
 CHANNELS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -155,6 +156,17 @@ class Tables:
     def sales(self) -> DataFrame:
         return facts.build_sales(self.lines, self.orders, self.menu)
 
+    @cached_property
+    def stored_sales(self) -> DataFrame:
+        """The clean sales written once to shared storage.
+
+        Reports that read the sales many times start here, as they would from a clean snapshot,
+        rather than repeating the joins below.
+        """
+        path = scratch_path(self.spark, "sales")
+        self.sales.write.parquet(path)
+        return self.spark.read.parquet(path)
+
     @cached_property
     def prices(self) -> DataFrame:
         """The first unit price an item was shipped at in each year."""

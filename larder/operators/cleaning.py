@@ -156,7 +156,7 @@ def clean_lines(raw: DataFrame, orders: DataFrame, menu: DataFrame, order: Seque
 def clean_menu(menu: DataFrame, prices: DataFrame, order: Sequence[Column]) -> Cleaned:
     """Cost of at least zero and one positive price event; an invalid base price is only flagged."""
     shape = finite_rules(["Base_Price", "Cost"], "Nonfinite menu financial value")
-    priced = prices.where(finite(F.col("Price")) & (F.col("Price") > 0)).select("Item_ID")
+    priced = prices.where(finite(F.col("Price")) & (F.col("Price") > 0)).select("Item_ID").distinct()
     kept = accepted(menu, shape).where(F.col("Cost") >= 0).join(priced, "Item_ID", "left_semi")
     first = dedup_first(kept, "Item_ID", order)
     flagged = first.withColumn("Base_Price_Valid", F.coalesce(F.col("Base_Price") > 0, F.lit(False)))
@@ -220,5 +220,5 @@ def clean_wastage(raw: DataFrame, menu: DataFrame, locations: DataFrame, order:
 
 def fk_reject(df: DataFrame, key: str, dimension: DataFrame) -> Cleaned:
     """Rows with a known key, and the rest."""
-    keys = dimension.select(key)
+    keys = dimension.select(key).distinct()
     return Cleaned(df.join(keys, key, "left_semi"), df.join(keys, key, "left_anti"))

@@ -190,13 +190,17 @@ def integrated(
 
 
 def keep_known(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
-    """Rows whose key exists in the dimension."""
-    return df.join(dimension.select(key), key, "left_semi")
+    """Rows whose key exists in the other table.
+
+    Its keys are made distinct map-side first, so a key with very many rows there does not
+    travel to one task.
+    """
+    return df.join(dimension.select(key).distinct(), key, "left_semi")
 
 
 def unknown(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is missing from the dimension (a null key is unknown)."""
-    return df.join(dimension.select(key), key, "left_anti")
+    """Rows whose key is missing from the other table (a null key is unknown)."""
+    return df.join(dimension.select(key).distinct(), key, "left_anti")
 
 
 def lookup(df: DataFrame, dimension: DataFrame, key: Sequence[str], defaults: dict[str, object]) -> DataFrame:

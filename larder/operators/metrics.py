@@ -57,11 +57,11 @@ def summarise(sales: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 # -- the seven reports over the star join -----------------------------------------------------
+# Names are grouping columns: they depend on the id, and a text buffer would force sorted aggregation.
 
 
 def menu_profit(i: DataFrame) -> DataFrame:
-    grouped = i.groupBy("Item_ID").agg(
-        F.any_value("Item_Name").alias("Item_Name"),
+    grouped = i.groupBy("Item_ID", "Item_Name").agg(
         F.sum("Quantity").alias("Units"),
         F.round(F.sum("Net_Revenue"), 2).alias("Net_Revenue"),
         F.round(F.sum("Cost_Total"), 2).alias("Cost"),
@@ -89,8 +89,7 @@ def _money(*names: str) -> list[Column]:
 
 def by_location(i: DataFrame) -> DataFrame:
     return _totals(
-        i, ["Location_ID"], F.any_value("Location_Name").alias("Location_Name"), _orders(),
-        *_money("Net_Revenue", "Cost", "Contribution"),
+        i, ["Location_ID", "Location_Name"], _orders(), *_money("Net_Revenue", "Cost", "Contribution"),
     )
 
 
@@ -102,23 +101,20 @@ def peaks(i: DataFrame) -> DataFrame:
 
 def by_category(i: DataFrame) -> DataFrame:
     return _totals(
-        i, ["Category_ID"], F.any_value("Category_Name").alias("Category_Name"), F.sum("Quantity").alias("Units"),
-        *_money("Net_Revenue", "Contribution"),
+        i, ["Category_ID", "Category_Name"], F.sum("Quantity").alias("Units"), *_money("Net_Revenue", "Contribution"),
     )
 
 
 def by_campaign(i: DataFrame) -> DataFrame:
     """Campaign totals over lines that carry the campaign and qualify for it."""
     return _totals(
-        i.where("Campaign_Eligible"), ["Promotion_ID"], F.any_value("Promotion_Name").alias("Promotion_Name"),
-        _orders(), F.sum("Quantity").alias("Units"), *_money("Net_Revenue", "Contribution"),
+        i.where("Campaign_Eligible"), ["Promotion_ID", "Promotion_Name"], _orders(), F.sum("Quantity").alias("Units"), *_money("Net_Revenue", "Contribution"),
     )
 
 
 def high_wastage(i: DataFrame, n: int = 100) -> DataFrame:
     """The costliest item-location pairs."""
-    grouped = i.where(F.col("Wastage_Quantity").isNotNull()).groupBy("Item_ID", "Location_ID").agg(
-        F.any_value("Item_Name").alias("Item_Name"),
+    grouped = i.where(F.col("Wastage_Quantity").isNotNull()).groupBy("Item_ID", "Location_ID", "Item_Name").agg(
         *[F.max(c).alias(c) for c in ("Wastage_Quantity", "Wastage_Cost", "Stock_Quantity", "Rating_Count")],
     )
     return grouped.orderBy(F.col("Wastage_Cost").desc(), "Item_ID", "Location_ID").limit(n)
@@ -289,7 +285,8 @@ def item_waste(wastage: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
 
 def scoped_ratings(ratings: DataFrame, sales: DataFrame) -> DataFrame:
     """Ratings of (order, dish) pairs that occur in the scoped sales."""
-    return ratings.join(sales.select("Order_ID", "Item_ID"), ["Order_ID", "Item_ID"], "left_semi")
+    pairs = sales.select("Order_ID", "Item_ID").distinct()
+    return ratings.join(pairs, ["Order_ID", "Item_ID"], "left_semi")
 
 
 def scoped_rating(ratings: DataFrame, sales: DataFrame) -> DataFrame:
@@ -306,7 +303,7 @@ UNSOLD_ZEROES = (
 def with_unsold(grouped: DataFrame, catalogue: DataFrame, history: DataFrame, zeroes: Sequence[str] = UNSOLD_ZEROES) -> DataFrame:
     """Add zero-history rows for catalogue items that were never sold anywhere."""
     missing = catalogue.select("Item_ID", "Item_Name", "Category_ID").join(
-        history.select("Item_ID"), "Item_ID", "left_anti"
+        history.select("Item_ID").distinct(), "Item_ID", "left_anti"
     )
     kinds = dict(grouped.dtypes)
     blank = missing.select(

@@ -28,7 +28,7 @@ def duplicates(df: DataFrame, key: str, name: str) -> DataFrame:
 
 def orphans(df: DataFrame, key: str, dimension: DataFrame, name: str) -> DataFrame:
     """Rows whose key is null or not in the dimension."""
-    return df.join(dimension.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias(name)).transform(_long, [name])
+    return df.join(dimension.select(key).distinct(), key, "left_anti").agg(F.count(F.lit(1)).alias(name)).transform(_long, [name])
 
 
 def stack(parts: list[DataFrame]) -> DataFrame:

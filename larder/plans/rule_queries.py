@@ -13,19 +13,19 @@ from larder.session import materialise
 
 
 def newest(t: Tables):
-    return t.sales.agg(F.max("Order_DateTime")).scalar()
+    return t.stored_sales.agg(F.max("Order_DateTime")).scalar()
 
 
 def last_day(t: Tables):
-    return t.sales.agg(F.max("Date")).scalar()
+    return t.stored_sales.agg(F.max("Date")).scalar()
 
 
 def graded(t: Tables):
-    return menu.classify_items(menu.menu_facts(t.sales, t.wastage, t.ratings, newest(t), catalogue=t.menu))
+    return menu.classify_items(menu.menu_facts(t.stored_sales, t.wastage, t.ratings, newest(t), catalogue=t.menu))
 
 
 def assessed(t: Tables):
-    g = menu.slow_facts(graded(t), t.sales, t.menu, last_day(t))
+    g = menu.slow_facts(graded(t), t.stored_sales, t.menu, last_day(t))
     return menu.assess_slow_moving(g)
 
 
@@ -131,8 +131,8 @@ SCOPED_SLOW = {
 
 @query("rule_slow_moving_scoped", f"SELECT Location_ID, Item_ID, {SLOW_OUT} FROM loc_slow", SCOPED_SLOW)
 def rule_slow_moving_scoped(t):
-    rated = menu.with_rates(menu.menu_facts(t.sales, t.wastage, t.ratings, newest(t), scope=["Location_ID"]))
-    g = menu.slow_facts_by_location(rated, t.sales, t.menu, t.locations, last_day(t))
+    rated = menu.with_rates(menu.menu_facts(t.stored_sales, t.wastage, t.ratings, newest(t), scope=["Location_ID"]))
+    g = menu.slow_facts_by_location(rated, t.stored_sales, t.menu, t.locations, last_day(t))
     return menu.assess_slow_moving(g).select("Location_ID", "Item_ID", "Slow_Moving_Status", "Severity", "history_days", "days_since_last_purchase")
 
 
@@ -170,7 +170,7 @@ def by_median(volume: str, profit: str) -> str:
 
 
 def item_classes(t):
-    return menu.median_classes(menu.item_stats(t.sales, t.menu, t.raw_ratings, t.wastage))
+    return menu.median_classes(menu.item_stats(t.stored_sales, t.menu, t.raw_ratings, t.wastage))
 
 
 @query("rule_menu_class_legacy", f"""SELECT Item_ID, Total_Quantity_Sold, CAST(Total_Profit AS DOUBLE) AS Total_Profit, Profit_Pct, Promotion_Dependency_Pct, Wastage_Pct,
@@ -274,7 +274,7 @@ def phase_columns() -> str:
     FROM w LEFT JOIN (SELECT * FROM phase_sums WHERE phase = 'before') before ON before.c = w.Promotion_ID LEFT JOIN (SELECT * FROM phase_sums WHERE phase = 'during') during ON during.c = w.Promotion_ID
     LEFT JOIN (SELECT * FROM phase_sums WHERE phase = 'after') after ON after.c = w.Promotion_ID LEFT JOIN rep ON rep.c = w.Promotion_ID LEFT JOIN items ON items.c = w.Promotion_ID LEFT JOIN spoil ON spoil.c = w.Promotion_ID""", PHASED)
 def rule_promo_windows(t):
-    w = events.promo_windows(t.sales, t.promotions, t.wastage)
+    w = events.promo_windows(t.stored_sales, t.promotions, t.wastage)
     return w.drop("Discount_Percent", "Start_Date", "End_Date", *[f"{p}_aov" for p in events.PHASES])
 
 
@@ -303,7 +303,7 @@ CHURN = {
 @query("rule_churn", """SELECT r.Customer_ID, Recency_Days, recent_orders, previous_orders, CAST(previous_orders >= 2 AND recent_orders < previous_orders * 0.5 AS INTEGER) AS declining
     FROM rfm r JOIN activity a ON r.Customer_ID = a.Customer_ID WHERE Recency_Days > 90 OR (previous_orders >= 2 AND recent_orders < previous_orders * 0.5)""", CHURN)
 def rule_churn(t):
-    return customers.churn(t.sales, metrics.rfm(t.sales), newest(t)).select("Customer_ID", "Recency_Days", "recent_orders", "previous_orders", "declining")
+    return customers.churn(t.stored_sales, metrics.rfm(t.stored_sales), newest(t)).select("Customer_ID", "Recency_Days", "recent_orders", "previous_orders", "declining")
 
 
 LEGACY_RECENCY = """SELECT Customer_ID, CAST(floor((epoch((SELECT max(Order_DateTime) FROM clean_orders WHERE Order_Status = 'Completed')) + 86400 - epoch(max(Order_DateTime))) / 86400) AS BIGINT) AS Recency
@@ -324,7 +324,7 @@ def rule_churn_legacy(t):
 
 def place_profiles(t):
     """Five customer groups by usual location, as named-cluster input that SQL can reproduce."""
-    return metrics.rfm(t.sales).groupBy((F.col("Preferred_Location") % 5).alias("Cluster")).agg(
+    return metrics.rfm(t.stored_sales).groupBy((F.col("Preferred_Location") % 5).alias("Cluster")).agg(
         F.avg("Recency_Days").alias("Recency_Days"), F.avg("Frequency").alias("Frequency"),
         scalar.ratio(F.sum("Monetary"), F.count(F.lit(1))).alias("Monetary"), F.count(F.lit(1)).alias("size"),
     )
@@ -400,8 +400,8 @@ def bsk_apriori_legacy(t):
         AND d.quantity > b.quantity AND d.contribution < b.contribution""", {**SLOW, **CHURN, **BASKET, **PHASED})
 def rule_recommendations(t):
     profiles = customers.segment_labels(place_profiles(t)).withColumns({"average_recency": F.col("Recency_Days"), "average_monetary": F.col("Monetary")})
-    best = basket.best_first(basket.rules(t.sales, "Category_ID", min_pairs=50, min_lift=0.8), 10)
-    advice_rows = advice.recommend(assessed(t), risk(t), profiles, best, events.promo_windows(t.sales, t.promotions, t.wastage))
+    best = basket.best_first(basket.rules(t.stored_sales, "Category_ID", min_pairs=50, min_lift=0.8), 10)
+    advice_rows = advice.recommend(assessed(t), risk(t), profiles, best, events.promo_windows(t.stored_sales, t.promotions, t.wastage))
     return advice_rows.select("rec_key", "type", "priority")
 
 
@@ -531,7 +531,7 @@ FORECASTS = {"cases": """SELECT strftime(Date, '%Y-%m-%d') || ':' || Location_ID
 
 
 def cases(t):
-    daily = metrics.location_daily(t.sales).select("Location_ID", "Date", F.col("Demand").cast("double").alias("Actual"))
+    daily = metrics.location_daily(t.stored_sales).select("Location_ID", "Date", F.col("Demand").cast("double").alias("Actual"))
     lagged = windows.lags(daily, "Actual", "Location_ID", "Date", [7])
     return lagged.select(
         scalar.case_id(F.col("Date"), F.col("Location_ID")).alias("Case_ID"), "Location_ID", "Actual", F.col("lag_7").alias("seasonal"),
@@ -632,10 +632,10 @@ def count_sql(section: str, label: str, source: str) -> str:
 ]), REPORT)
 def rpt_sections(t):
     mean = stats.errors(cases(t), "Actual", {"seasonal": "seasonal", "rolling": "rolling"}).withColumn("mae", F.round("mae", 6))
-    rules = basket.rules(t.sales, "Category_ID", min_pairs=50, min_lift=0.8).withColumn("Lift", F.round("Lift", 8))
+    rules = basket.rules(t.stored_sales, "Category_ID", min_pairs=50, min_lift=0.8).withColumn("Lift", F.round("Lift", 8))
     return advice.report_sections(
         item_classes(t), metrics.wastage_q3(t.wastage, "Item_ID"), customers.segment_labels(place_profiles(t)), customers.churn_q3(visits(t)), rules, mean,
-        metrics.price_change_label(t.prices, t.lines), metrics.by_key_line_mean(t.sales, ["Location_ID"]), simple_advice(t),
+        metrics.price_change_label(t.prices, t.lines), metrics.by_key_line_mean(t.stored_sales, ["Location_ID"]), simple_advice(t),
     )
 
 
@@ -645,7 +645,7 @@ def rpt_sections(t):
 def agg_legacy_summary(t):
     compared = stats.agreement_median(cases(t), "seasonal", "rolling")
     return metrics.summary(
-        menu.item_stats(t.sales, t.menu, t.raw_ratings, t.wastage), metrics.rfm(t.sales), metrics.by_key_line_mean(t.sales, ["Location_ID"]), simple_advice(t), compared
+        menu.item_stats(t.stored_sales, t.menu, t.raw_ratings, t.wastage), metrics.rfm(t.stored_sales), metrics.by_key_line_mean(t.stored_sales, ["Location_ID"]), simple_advice(t), compared
     )
 
 

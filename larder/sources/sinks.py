@@ -14,12 +14,13 @@ def write_report(df: DataFrame, path: str, kind: str = "csv", files: int = 1) ->
     """Write a finished report; rows go straight from the executors to storage.
 
     Reports are aggregates or pages, so one file is the default; pass more files for detail rows.
+    The repartition keeps the work before it parallel.
     """
     if any(f"/{p}/" in f"/{path.strip('/')}/" for p in PROTECTED):
         raise ValueError(f"refusing to write a report into raw data: {path}")
     if kind not in ("csv", "json"):
         raise ValueError(f"unknown report kind: {kind}")
-    writer = df.coalesce(files).write
+    writer = df.repartition(files).write
     writer.option("header", True).csv(path) if kind == "csv" else writer.json(path)
 
 

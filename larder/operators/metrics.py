@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from larder.functions import calendar, ordering
 from larder.functions.scalar import ratio
 from larder.functions.windows import nth_per, percent_change
+from larder.session import materialise
 
 
 def per_order(sales: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -363,6 +364,7 @@ def wastage_q3(wastage: DataFrame, key: str) -> DataFrame:
     g = wastage.where(F.col("Quantity_Wasted") > 0).groupBy(key).agg(
         F.sum("Quantity_Wasted").alias("Total_Wasted"), F.sum("Cost_Impact").alias("Total_Cost_Impact")
     )
+    g = materialise(g)
     cut = ordering.quantile_value(g, "Total_Wasted", 0.75)
     return g.withColumn("Risk_Level", F.when(F.col("Total_Wasted") >= F.lit(cut), "High").otherwise("Low"))
 
@@ -383,7 +385,7 @@ def locations(sales: DataFrame, wastage: DataFrame) -> DataFrame:
         ratio(F.col("revenue"), F.col("orders")).alias("aov"),
         ratio(100 * F.col("contribution"), F.col("revenue")).alias("profit_percent"),
     )
-    g = g.join(waste, "Location_ID", "left").fillna(0)
+    g = materialise(g.join(waste, "Location_ID", "left").fillna(0))
     return ordering.competition_rank(g, "revenue_rank", "revenue")
 
 

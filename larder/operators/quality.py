@@ -131,7 +131,7 @@ def reconcile_gate(report: DataFrame, tolerance: float = 0.05) -> None:
     if found["distinct_lines"][0] != found["rows"][0]:
         problems.append("line grain")
     problems += [k for k in ("missing_price", "price_mismatch", "missing_promotion", "missing_dimension") if found[k][0]]
-    problems += [k for k in ("net_revenue", "cost", "contribution") if abs(float(found[k][0]) - float(found[k][1])) > tolerance]
+    problems += [k for k in ("net_revenue", "cost", "contribution") if abs(float(found[k][0] or 0) - float(found[k][1] or 0)) > tolerance]
     if problems:
         raise ValueError(f"star join failed: {', '.join(problems)}")
 

@@ -74,7 +74,8 @@ def csv_to_parquet(spark: SparkSession, source: str, target: str) -> DataFrame:
 
 def corrupt_records(raw: DataFrame) -> DataFrame:
     """Records with the wrong number of fields or broken quoting."""
-    return raw.where(F.col(BROKEN).isNotNull())
+    # Spark refuses to read the set-aside column alone, so a field is named beside it.
+    return raw.where(F.col(BROKEN).isNotNull() & F.coalesce(raw.columns[0], BROKEN).isNotNull())
 
 
 def shape_counts(raw: DataFrame) -> DataFrame:

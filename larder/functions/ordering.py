@@ -4,7 +4,7 @@ Ranks and exact quantiles of a column need to know how many values lie below eac
 window without partitioning would send the table to one task, and the built-in exact percentile
 keeps every distinct value in one buffer. Here the rows are first reduced to (value, count), the
 distinct values are split into ranges at approximate quantiles, counts are accumulated inside
-each range in parallel, and the at most ``RANGES + 1`` range totals supply the offsets. However
+each range in parallel, and the at most ``MAX_RANGES`` range totals supply the offsets. However
 many rows share one value, that value is a single row after the first aggregation.
 """
 
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from larder.session import materialise
 
-RANGES = 200
-SMALL = 50_000
+# Distinct values one task accumulates, and the most ranges a column is split into.
+PER_RANGE = 500_000
+MAX_RANGES = 1_000
 
 
 def _range_of(cuts: dict[str, list[float]]) -> Column:
@@ -31,6 +32,12 @@ def _range_of(cuts: dict[str, list[float]]) -> Column:
     return chosen
 
 
+def _marks(values: DataFrame, ranges: int) -> list[float]:
+    """Numbers that split the distinct values into ranges of about equal size."""
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    return sorted(set(values.agg(F.percentile_approx("value", shares, F.lit(10_000))).first()[0]))
+
+
 def value_positions(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by.., metric, value, below, ties, total): how many non-null values lie below each value."""
     keys = [*by, "metric"]
@@ -45,10 +52,13 @@ def value_positions(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
         .agg(F.count(F.lit(1)).alias("ties"))
     )
     counted = materialise(counted)
-    # At most RANGES - 1 numbers per column come to the driver, whatever the table's size.
-    marks = F.percentile_approx("value", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(10_000))
-    found = counted.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), marks.alias("marks")).collect()
-    cuts = {r["metric"]: sorted(set(r["marks"])) for r in found if r["n"] > SMALL}
+    # One count per column and at most MAX_RANGES - 1 numbers per large column reach the driver.
+    distinct = {r["metric"]: r["count"] for r in counted.groupBy("metric").count().collect()}
+    cuts = {
+        metric: _marks(counted.where(F.col("metric") == metric), min(MAX_RANGES, n // PER_RANGE + 1))
+        for metric, n in distinct.items()
+        if n > PER_RANGE
+    }
     placed = counted.withColumn("range", _range_of(cuts))
     sizes = placed.groupBy(*keys, "range").agg(F.sum("ties").alias("inside"))
     earlier = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

@@ -100,14 +100,17 @@ def price_intervals(prices: DataFrame) -> DataFrame:
     return daily.select("Item_ID", F.col("Price"), F.col("Effective_Date"), following.alias("Until"))
 
 
-def asof_price(sales: DataFrame, prices: DataFrame, day: str = "Date") -> DataFrame:
+def asof_price(sales: DataFrame, prices: DataFrame, day: str = "Date", horizon: Column | None = None) -> DataFrame:
     """The price in force on the sale date, null before an item's first price.
 
-    A price range is spread over the calendar months it touches, so that the join is an equi
-    join on (item, month) with at most one month's price events per line, rather than a range
-    join against an item's whole history.
+    ``horizon`` is a date no sale lies after; by default it is read from the sales.
+
+    A price range is spread over the calendar quarters it touches, so that the join is an equi
+    join on (item, quarter) with at most one quarter's price events per line, rather than a
+    range join against an item's whole history.
     """
-    horizon = sales.agg(F.max(F.col(day)).alias("m")).scalar()
+    if horizon is None:
+        horizon = sales.agg(F.max(F.col(day))).scalar()
     ranges = price_intervals(prices)
     last = F.coalesce(F.date_sub(F.col("Until"), 1), F.greatest(horizon, F.col("Effective_Date")))
     spread = ranges.withColumn("last", last).select(
@@ -116,17 +119,17 @@ def asof_price(sales: DataFrame, prices: DataFrame, day: str = "Date") -> DataFr
         "Effective_Date",
         F.col("Until").alias("_until"),
         F.explode(
-            F.sequence(F.trunc("Effective_Date", "MM"), F.trunc("last", "MM"), F.expr("INTERVAL 1 MONTH"))
-        ).alias("_month"),
+            F.sequence(F.trunc("Effective_Date", "quarter"), F.trunc("last", "quarter"), F.expr("INTERVAL 3 MONTHS"))
+        ).alias("_quarter"),
     )
     at = F.col(day)
     match = (
         (F.col("Item_ID") == F.col("_item"))
-        & (F.trunc(at, "MM") == F.col("_month"))
+        & (F.trunc(at, "quarter") == F.col("_quarter"))
         & (at >= F.col("Effective_Date"))
         & (F.col("_until").isNull() | (at < F.col("_until")))
     )
-    return sales.join(spread, match, "left").drop("_item", "_until", "_month")
+    return sales.join(spread, match, "left").drop("_item", "_until", "_quarter")
 
 
 def campaign_flag(df: DataFrame, day: str = "Date") -> Column:
@@ -185,7 +188,8 @@ def integrated(
     if wastage is not None:
         sales = sales.join(wastage_by_item_location(wastage), pair, "left")
     if prices is not None:
-        sales = asof_price(sales, prices, "Local_Date")
+        # The headers alone bound the dates, without running the joins above twice.
+        sales = asof_price(sales, prices, "Local_Date", orders.agg(F.max(F.to_date("Order_DateTime"))).scalar())
     return sales
 
 

@@ -158,8 +158,6 @@ def rfm(sales: DataFrame, snapshot: Column | None = None) -> DataFrame:
     The usual location is the one with most lines, the smallest id on ties. Recency counts whole
     days up to one day after the newest sale (or ``snapshot``).
     """
-    if snapshot is None:
-        snapshot = sales.agg(F.max("Order_DateTime")).scalar() + F.expr("INTERVAL 1 DAY")
     visits = sales.groupBy("Customer_ID", "Location_ID", "Order_ID").agg(
         F.count(F.lit(1)).alias("lines"),
         F.max("Order_DateTime").alias("at"),
@@ -174,6 +172,10 @@ def rfm(sales: DataFrame, snapshot: Column | None = None) -> DataFrame:
         F.sum("spend").alias("Monetary"),
         F.max_by("Location_ID", F.struct("lines", -F.col("Location_ID"))).alias("Preferred_Location"),
     )
+    if snapshot is None:
+        # One row per customer is read again, not the facts.
+        people = materialise(people)
+        snapshot = people.agg(F.max("Last_Order")).scalar() + F.expr("INTERVAL 1 DAY")
     return people.withColumn("Recency_Days", calendar.whole_days(F.col("Last_Order"), snapshot))
 
 

@@ -217,7 +217,8 @@ def jn_latest_snapshot(t):
 
 @query("jn_asof_price", """SELECT Order_Item_ID, CAST(Effective_Price AS DOUBLE) AS Effective_Price, CAST(Effective_Date AS VARCHAR) AS Effective_Date FROM asof_sales""", STAR)
 def jn_asof_price(t):
-    return facts.asof_price(t.sales, t.prices).select("Order_Item_ID", "Effective_Price", "Effective_Date")
+    horizon = t.orders.agg(F.max(F.to_date("Order_DateTime"))).scalar()
+    return facts.asof_price(t.sales, t.prices, horizon=horizon).select("Order_Item_ID", "Effective_Price", "Effective_Date")
 
 
 @query("jn_semi", "SELECT Order_ID, Channel FROM clean_orders WHERE Order_ID IN (SELECT Order_ID FROM lines)")

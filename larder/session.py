@@ -47,12 +47,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write a reduced table (one row per item, customer, value ...) to shared storage, once.
+    """Write a reduced table (one row per item, customer, value, basket member ...) to shared storage, once.
 
     Operators that read such a table several times call this so that the facts below it are
     scanned a single time, and so that a lost executor re-reads files rather than re-running
     the whole plan. The files keep column pruning and give the planner true sizes, so a small
-    table is broadcast and a large one is not. It is never called on line-grain data.
+    table is broadcast and a large one is not. It is never called on wide
+    line-grain data.
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)

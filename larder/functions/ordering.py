@@ -38,11 +38,14 @@ def _marks(values: DataFrame, ranges: int) -> list[float]:
     return sorted(set(values.agg(F.percentile_approx("value", shares, F.lit(10_000))).first()[0]))
 
 
-def value_positions(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by.., metric, value, below, ties, total): how many non-null values lie below each value."""
+def value_positions(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), kind: str = "double") -> DataFrame:
+    """(by.., metric, value, below, ties, total): how many non-null values lie below each value.
+
+    ``kind`` is the type values are compared in; ids need one that holds every digit.
+    """
     keys = [*by, "metric"]
     pairs = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])
+        F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast(kind).alias("value")) for c in columns])
     )
     counted = (
         df.select(*by, pairs.alias("pair"))
@@ -78,14 +81,14 @@ def value_positions(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
     )
 
 
-def _attach(df: DataFrame, ranked: Column, names: dict[str, str], by: Sequence[str]) -> DataFrame:
-    positions = materialise(value_positions(df, list(names.values()), by))
+def _attach(df: DataFrame, ranked: Column, names: dict[str, str], by: Sequence[str], kind: str = "double") -> DataFrame:
+    positions = materialise(value_positions(df, list(names.values()), by, kind))
     result = df
     for target, source in names.items():
         one = positions.where(F.col("metric") == source).select(
             *[F.col(k).alias(f"_{k}") for k in by], F.col("value").alias("_value"), ranked.alias(target)
         )
-        same = F.col(source).cast("double") == F.col("_value")
+        same = F.col(source).cast(kind) == F.col("_value")
         for key in by:
             same = same & (F.col(key) == F.col(f"_{key}"))
         result = result.join(one, same, "left").drop("_value", *[f"_{k}" for k in by])
@@ -139,4 +142,4 @@ def quantile_value(df: DataFrame, column: str, share: float) -> float | None:
 def numbered(df: DataFrame, target: str, key: str, by: Sequence[str] = ()) -> DataFrame:
     """1, 2, 3 ... in the order of a unique numeric key, per group, without one global sort."""
     place = (F.col("below") + 1).cast("long")
-    return _attach(df, place, {target: key}, by)
+    return _attach(df, place, {target: key}, by, "decimal(20,0)")

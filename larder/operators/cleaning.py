@@ -72,6 +72,7 @@ def with_known(df: DataFrame, dimension: DataFrame, key: str, flag: str, name: s
 
 
 # -- verdicts ----------------------------------------------------------------------------------
+# Fixed texts: rule names and reasons, as they appear in the quarantine.
 
 
 def finite_rules(columns: Sequence[str], reason: str) -> list[Rule]:

@@ -12,8 +12,18 @@ from larder.functions.scalar import clip, half_up, ratio
 from larder.operators import metrics
 from larder.session import materialise
 
+# Rule versions, evidence weights and the limits of both rule sets.
 CLASS_RULES = "menu-multifactor-v1"
 SLOW_RULES = "slow-moving-multifactor-v1"
+WEIGHTS = {"volume": 0.25, "margin": 0.25, "rating": 0.12, "repeat": 0.10, "waste": 0.10, "promotion": 0.10, "trend": 0.08}
+YOUNG_DAYS, FEW_ORDERS = 30, 20
+HIGH_VOLUME, HEALTHY_MARGIN, TIDY_WASTE = 0.55, 0.5, 15
+ENOUGH_RATINGS, FAIR_RATING, GOOD_RATING = 5, 3.5, 4
+FALLING_TREND, OWN_MERIT, LOYAL_SHARE = -30, 0.35, 0.2
+LOW_SHARE, STRONG_MARGIN = 0.35, 0.60
+FADING_TREND, STALE_DAYS, WEAK_REPEAT, STEADY_REPEAT = -20, 30, 0.10, 0.15
+GRAVE_DAYS, GRAVE_TREND, GRAVE_WASTE = 60, -40, 30
+KNOWN_DAYS, SEASON_DAYS, SEASON_MONTHS, SEASON_SHARE = 90, 180, 4, 0.70
 
 
 def menu_facts(
@@ -48,25 +58,27 @@ def with_rates(g: DataFrame) -> DataFrame:
 def classify_items(g: DataFrame) -> DataFrame:
     """Percentiles, waste share, evidence score and one of four classes per dish."""
     g = with_rates(g)
-    g = g.withColumn("insufficient_history", (F.col("active_days") < 30) | (F.col("orders") < 20))
+    g = g.withColumn("insufficient_history", (F.col("active_days") < YOUNG_DAYS) | (F.col("orders") < FEW_ORDERS))
     g = ordering.percent_ranks(materialise(g), {"sales_percentile": "sales", "margin_percentile": "profit_percent"})
     share = lambda c: clip(c, 0.0, 1.0)
-    score = (
-        0.25 * F.col("sales_percentile")
-        + 0.25 * F.col("margin_percentile")
-        + 0.12 * share(F.col("Average_Rating") / 5)
-        + 0.10 * share(F.col("repeat_purchase_rate"))
-        + 0.10 * share(1 - F.col("wastage_percent") / 100)
-        + 0.10 * share(1 - F.col("promotion_dependency"))
-        + 0.08 * share((F.col("sales_trend_percent") + 100) / 200)
-    )
-    popular = (F.col("sales") > 0) & (F.col("sales_percentile") >= 0.55)
-    healthy = (F.col("contribution") > 0) & (F.col("margin_percentile") >= 0.5)
-    tidy = F.col("wastage_percent") <= 15
-    liked = (F.col("Rating_Count") < 5) | (F.col("Average_Rating") >= 3.5)
-    steady = F.col("sales_trend_percent") >= -30
-    own_merit = F.col("promotion_dependency") <= 0.35
-    promising = ((F.col("Rating_Count") >= 5) & (F.col("Average_Rating") >= 4)) | (F.col("repeat_purchase_rate") >= 0.2)
+    evidence = {
+        "volume": F.col("sales_percentile"),
+        "margin": F.col("margin_percentile"),
+        "rating": share(F.col("Average_Rating") / 5),
+        "repeat": share(F.col("repeat_purchase_rate")),
+        "waste": share(1 - F.col("wastage_percent") / 100),
+        "promotion": share(1 - F.col("promotion_dependency")),
+        "trend": share((F.col("sales_trend_percent") + 100) / 200),
+    }
+    score = sum((F.lit(WEIGHTS[name]) * value for name, value in evidence.items()), F.lit(0.0))
+    popular = (F.col("sales") > 0) & (F.col("sales_percentile") >= HIGH_VOLUME)
+    healthy = (F.col("contribution") > 0) & (F.col("margin_percentile") >= HEALTHY_MARGIN)
+    tidy = F.col("wastage_percent") <= TIDY_WASTE
+    often_rated = F.col("Rating_Count") >= ENOUGH_RATINGS
+    liked = ~often_rated | (F.col("Average_Rating") >= FAIR_RATING)
+    steady = F.col("sales_trend_percent") >= FALLING_TREND
+    own_merit = F.col("promotion_dependency") <= OWN_MERIT
+    promising = (often_rated & (F.col("Average_Rating") >= GOOD_RATING)) | (F.col("repeat_purchase_rate") >= LOYAL_SHARE)
     label = (
         F.when(popular & healthy & tidy & liked & steady & own_merit, "Profit Driver")
         .when(popular, "Volume Driver")
@@ -122,16 +134,18 @@ def assess_slow_moving(g: DataFrame, scope: str = "Scope") -> DataFrame:
     )
     recency, trend, repeat = F.col("days_since_last_purchase"), F.col("sales_trend_percent"), F.col("repeat_purchase_rate")
     waste, rated = F.col("wastage_percent"), F.col("Rating_Count")
-    low_volume, low_frequency = F.col("_volume") <= 0.35, F.col("_frequency") <= 0.35
-    fading = (trend <= -20) | (recency >= 30)
-    weak = (repeat <= 0.10) | (F.col("contribution") <= 0) | (F.col("_margin") <= 0.35) | (waste >= 15)
-    strong_margin = (F.col("contribution") > 0) & (F.col("_margin") >= 0.60)
-    wanted = ((rated >= 5) & (F.col("Average_Rating") >= 4)) | (trend >= 0) | (repeat >= 0.15)
-    seasonal = (F.col("history_days") >= 180) & (F.col("active_months") >= 4) & (F.col("seasonal_top3_share") >= 0.70)
-    high = (recency >= 60) | (trend <= -40) | (waste >= 30)
+    low_volume, low_frequency = F.col("_volume") <= LOW_SHARE, F.col("_frequency") <= LOW_SHARE
+    fading = (trend <= FADING_TREND) | (recency >= STALE_DAYS)
+    weak = (repeat <= WEAK_REPEAT) | (F.col("contribution") <= 0) | (F.col("_margin") <= LOW_SHARE) | (waste >= TIDY_WASTE)
+    strong_margin = (F.col("contribution") > 0) & (F.col("_margin") >= STRONG_MARGIN)
+    wanted = ((rated >= ENOUGH_RATINGS) & (F.col("Average_Rating") >= GOOD_RATING)) | (trend >= 0) | (repeat >= STEADY_REPEAT)
+    seasonal = (
+        (F.col("history_days") >= SEASON_DAYS) & (F.col("active_months") >= SEASON_MONTHS) & (F.col("seasonal_top3_share") >= SEASON_SHARE)
+    )
+    high = (recency >= GRAVE_DAYS) | (trend <= GRAVE_TREND) | (waste >= GRAVE_WASTE)
     # Fixed texts: status, severity, reason and action of each outcome, first match wins.
     outcomes = [
-        (F.col("history_days") < 90, "INSUFFICIENT_HISTORY", F.lit("UNDETERMINED"),
+        (F.col("history_days") < KNOWN_DAYS, "INSUFFICIENT_HISTORY", F.lit("UNDETERMINED"),
          "Fewer than 90 calendar days since introduction; demand pattern is immature.",
          "Continue observing; review after at least 90 days of availability."),
         (F.col("sales") == 0, "NO_OBSERVED_SALES", F.lit("REVIEW"),
@@ -181,7 +195,7 @@ def assess_slow_moving(g: DataFrame, scope: str = "Scope") -> DataFrame:
     assessed = g.withColumn("_verdict", verdict).withColumn("Evidence", evidence)
     return assessed.select(
         *[c for c in g.columns if not c.startswith("_")], "_verdict.*", "Evidence",
-        F.when(F.col("history_days") < 90, "INSUFFICIENT").otherwise("ESTABLISHED").alias("History_Status"),
+        F.when(F.col("history_days") < KNOWN_DAYS, "INSUFFICIENT").otherwise("ESTABLISHED").alias("History_Status"),
         F.lit(SLOW_RULES).alias("Slow_Moving_Rule_Version"),
     )
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -31,17 +32,16 @@ def header(spark: SparkSession, path: str) -> list[str]:
 
 
 def checked_header(spark: SparkSession, table: str, paths: Sequence[str]) -> list[str]:
-    """The one header all files share, holding exactly the contract's columns."""
+    """The header of the first file, holding exactly the contract's columns.
+
+    The other files are compared with it by the tasks that read them, not one by one from here.
+    """
     if not paths or len(set(paths)) != len(paths):
         raise IngestionError(f"{table}: provide distinct input files")
-    found = [header(spark, p) for p in paths]
-    expected = set(contract.schema(table).fieldNames())
-    for names in found:
-        if len(set(names)) != len(names) or set(names) != expected:
-            raise IngestionError(f"{table}: invalid columns {names}")
-        if names != found[0]:
-            raise IngestionError(f"{table}: column order must match across all input files")
-    return found[0]
+    names = header(spark, paths[0])
+    if len(set(names)) != len(names) or set(names) != set(contract.schema(table).fieldNames()):
+        raise IngestionError(f"{table}: invalid columns {names}")
+    return names
 
 
 def read_text(
@@ -118,16 +118,24 @@ def typed_columns(raw: DataFrame, schema: StructType) -> DataFrame:
 def load_table(spark: SparkSession, table: str, paths: Sequence[str], quoted_lines: bool = False) -> DataFrame:
     """Load one table from distinct CSV files, or raise."""
     schema = contract.schema(table)
-    raw = read_text(spark, checked_header(spark, table, paths), paths, quoted_lines)
+    names = checked_header(spark, table, paths)
+    try:
+        raw = read_text(spark, names, paths, quoted_lines)
+    except AnalysisException as error:
+        raise IngestionError(f"{table}: missing input file") from error
     typed = typed_columns(raw, schema)
     allowed = contract.ALLOWED.get(table, {})
     kinds = [F.count_if(_mismatch(f.name, f.dataType.simpleString())).alias(f"type_{f.name}") for f in schema]
     casts = {f.name: F.col(f.name).try_cast(f.dataType) for f in schema}
     ids = [F.count_if(casts[c].isNull() | (casts[c] <= 0)).alias(f"id_{c}") for c in contract.required_ids(table)]
     lists = [F.count_if(casts[c].isNull() | ~casts[c].isin(*v)).alias(f"enum_{c}") for c, v in allowed.items()]
-    found = raw.agg(
-        F.count(F.lit(1)).alias("rows"), F.count(BROKEN).alias("broken"), *kinds, *ids, *lists
-    ).first().asDict()
+    checks = raw.agg(F.count(F.lit(1)).alias("rows"), F.count(BROKEN).alias("broken"), *kinds, *ids, *lists)
+    try:
+        found = checks.first().asDict()
+    except Exception as error:
+        if "header" not in str(error):
+            raise
+        raise IngestionError(f"{table}: columns and column order must match across all input files") from error
     if not found["rows"]:
         raise IngestionError(f"{table}: input has a header but no records")
     if found["broken"]:

@@ -38,10 +38,13 @@ def _marks(values: DataFrame, ranges: int) -> list[float]:
     return sorted(set(values.agg(F.percentile_approx("value", shares, F.lit(10_000))).first()[0]))
 
 
-def value_positions(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), kind: str = "double") -> DataFrame:
+def value_positions(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), kind: str = "double", stored: bool = False
+) -> DataFrame:
     """(by.., metric, value, below, ties, total): how many non-null values lie below each value.
 
-    ``kind`` is the type values are compared in; ids need one that holds every digit.
+    ``kind`` is the type values are compared in; ids need one that holds every digit. The values
+    are read twice, so their counts are stored unless ``df`` itself is ``stored`` already.
     """
     keys = [*by, "metric"]
     pairs = F.explode(
@@ -54,7 +57,7 @@ def value_positions(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
         .groupBy(*keys, "value")
         .agg(F.count(F.lit(1)).alias("ties"))
     )
-    counted = materialise(counted)
+    counted = counted if stored else materialise(counted)
     # One count per column and at most MAX_RANGES - 1 numbers per large column reach the driver.
     distinct = {r["metric"]: r["count"] for r in counted.groupBy("metric").count().collect()}
     cuts = {
@@ -82,7 +85,9 @@ def value_positions(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
 
 
 def _attach(df: DataFrame, ranked: Column, names: dict[str, str], by: Sequence[str], kind: str = "double") -> DataFrame:
-    positions = materialise(value_positions(df, list(names.values()), by, kind))
+    positions = value_positions(df, list(names.values()), by, kind, stored=True)
+    if len(names) > 1:
+        positions = materialise(positions)
     result = df
     for target, source in names.items():
         one = positions.where(F.col("metric") == source).select(
@@ -98,48 +103,45 @@ def _attach(df: DataFrame, ranked: Column, names: dict[str, str], by: Sequence[s
 def percent_ranks(df: DataFrame, names: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
     """Average rank of ties divided by the count of non-null values; null stays null.
 
-    ``names`` maps each new column to the column it ranks. ``df`` should be materialised.
+    ``names`` maps each new column to the column it ranks. ``df`` is read several times: store
+    it first.
     """
     average = (F.col("below") + (F.col("ties") + 1) / 2) / F.col("total")
     return _attach(df, average, names, by)
 
 
 def competition_rank(df: DataFrame, target: str, source: str, by: Sequence[str] = ()) -> DataFrame:
-    """Descending rank where ties share the smallest place."""
+    """Descending rank where ties share the smallest place, over a stored table."""
     place = (F.col("total") - F.col("below") - F.col("ties") + 1).cast("long")
     return _attach(df, place, {target: source}, by)
 
 
-def quantiles(df: DataFrame, column: str, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+def _quantile(metric: str, share: float) -> Column:
+    """The value at a share of one metric, between its two neighbours if need be."""
+    place = F.lit(share) * (F.col("total") - 1)
+    low, high = F.floor(place), F.ceil(place)
+    mine, end = F.col("metric") == metric, F.col("below") + F.col("ties")
+    at = lambda i: F.max(F.when(mine & (F.col("below") <= i) & (i < end), F.col("value")))
+    return at(low) + (at(high) - at(low)) * F.max(F.when(mine, place - low))
+
+
+def quantiles(df: DataFrame, column: str, shares: dict[str, float], by: Sequence[str] = (), stored: bool = False) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per group (one row in all without ``by``)."""
-    positions = value_positions(df, [column], by)
-    picks = []
-    for name, share in shares.items():
-        place = F.lit(share) * (F.col("total") - 1)
-        low, high = F.floor(place), F.ceil(place)
-        end = F.col("below") + F.col("ties")
-        at = lambda i, end=end: F.max(F.when((F.col("below") <= i) & (i < end), F.col("value")))
-        picks += [
-            at(low).alias(f"{name}_low"),
-            at(high).alias(f"{name}_high"),
-            F.max(place - low).alias(f"{name}_part"),
-        ]
-    found = positions.groupBy(*by).agg(*picks)
-    return found.select(
-        *by,
-        *[
-            (F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * F.col(f"{n}_part")).alias(n)
-            for n in shares
-        ],
-    )
+    positions = value_positions(df, [column], by, stored=stored)
+    return positions.groupBy(*by).agg(*[_quantile(column, share).alias(name) for name, share in shares.items()])
+
+
+def quantile_values(df: DataFrame, wanted: dict[str, tuple[str, float]], stored: bool = False) -> dict[str, float | None]:
+    """Quantiles of several columns as numbers that steer later steps, in one pass."""
+    positions = value_positions(df, list(dict.fromkeys(c for c, _ in wanted.values())), stored=stored)
+    return positions.agg(*[_quantile(c, share).alias(name) for name, (c, share) in wanted.items()]).first().asDict()
 
 
-def quantile_value(df: DataFrame, column: str, share: float) -> float | None:
-    """One exact quantile as a number that steers later steps."""
-    return quantiles(df, column, {"q": share}).first()["q"]
+def quantile_value(df: DataFrame, column: str, share: float, stored: bool = False) -> float | None:
+    return quantile_values(df, {"q": (column, share)}, stored)["q"]
 
 
 def numbered(df: DataFrame, target: str, key: str, by: Sequence[str] = ()) -> DataFrame:
-    """1, 2, 3 ... in the order of a unique numeric key, per group, without one global sort."""
+    """1, 2, 3 ... in the order of a unique numeric key, per group, over a stored table."""
     place = (F.col("below") + 1).cast("long")
     return _attach(df, place, {target: key}, by, "decimal(20,0)")

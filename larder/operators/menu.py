@@ -250,8 +250,8 @@ def location_item_stats(sales: DataFrame, menu: DataFrame) -> DataFrame:
 def median_classes(stats: DataFrame) -> DataFrame:
     """Four classes by the medians of volume and profit share, whatever the grain of the rows."""
     stats = materialise(stats)
-    volume = ordering.quantile_value(stats, "Total_Quantity_Sold", 0.5)
-    profit = ordering.quantile_value(stats, "Profit_Pct", 0.5)
+    middle = ordering.quantile_values(stats, {"volume": ("Total_Quantity_Sold", 0.5), "profit": ("Profit_Pct", 0.5)}, stored=True)
+    volume, profit = middle["volume"], middle["profit"]
     popular = F.col("Total_Quantity_Sold") >= F.lit(volume)
     rich = F.col("Profit_Pct") >= F.lit(profit)
     label = (
@@ -287,5 +287,5 @@ def waste_ratio_q3(wastage: DataFrame, lines: DataFrame) -> DataFrame:
     g = materialise(
         g.withColumn("Wastage_Ratio", ratio(F.col("Total_Wasted"), F.col("Historical_Demand") + F.col("Total_Wasted")))
     )
-    cut = ordering.quantile_value(g, "Wastage_Ratio", 0.75)
+    cut = ordering.quantile_value(g, "Wastage_Ratio", 0.75, stored=True)
     return g.withColumn("Risk_Label", (F.col("Wastage_Ratio") >= F.lit(cut)).cast("int"))

@@ -367,7 +367,7 @@ def wastage_q3(wastage: DataFrame, key: str) -> DataFrame:
         F.sum("Quantity_Wasted").alias("Total_Wasted"), F.sum("Cost_Impact").alias("Total_Cost_Impact")
     )
     g = materialise(g)
-    cut = ordering.quantile_value(g, "Total_Wasted", 0.75)
+    cut = ordering.quantile_value(g, "Total_Wasted", 0.75, stored=True)
     return g.withColumn("Risk_Level", F.when(F.col("Total_Wasted") >= F.lit(cut), "High").otherwise("Low"))
 
 

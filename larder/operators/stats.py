@@ -32,7 +32,7 @@ def unusual_orders(sales: DataFrame, rate: float = 0.5, q: float = 0.999) -> Dat
         F.sum("Net_Revenue").alias("revenue"), F.sum("Discount_Applied").alias("discount"), F.sum("Quantity").alias("quantity")
     )
     orders = materialise(orders)
-    cut = ordering.quantile_value(orders, "quantity", q)
+    cut = ordering.quantile_value(orders, "quantity", q, stored=True)
     share = ratio(F.col("discount"), F.col("revenue") + F.col("discount"))
     return orders.where(F.coalesce(share > rate, F.lit(False)) | (F.col("quantity") > F.lit(cut)))
 
@@ -129,7 +129,7 @@ def agreement(aligned: DataFrame, left: str, right: str, tolerance: float = 50.0
 def agreement_median(aligned: DataFrame, left: str, right: str) -> DataFrame:
     """Close match below the median difference."""
     cases = materialise(aligned.withColumn("Numerical_Difference", F.abs(F.col(left) - F.col(right)).cast("double")))
-    middle = ordering.quantile_value(cases, "Numerical_Difference", 0.5)
+    middle = ordering.quantile_value(cases, "Numerical_Difference", 0.5, stored=True)
     status = F.when(F.col("Numerical_Difference") < F.lit(middle), "Close Match").otherwise("Divergent")
     return cases.withColumn("Match_Status", status)
 

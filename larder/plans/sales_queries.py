@@ -11,6 +11,7 @@ from larder.functions import calendar, scalar, windows
 from larder.functions import ordering
 from larder.operators import facts, filters, listing, metrics
 from larder.plans.registry import query
+from larder.session import materialise
 
 STAR = {
     "star": """SELECT s.*, c.Customer_Name, cat.Category_Name, loc.Location_Name, loc.City, hour(s.Order_DateTime) AS Local_Hour
@@ -686,7 +687,7 @@ def win_row_number(t):
 @query("win_pct_rank_avg", """SELECT Item_ID, round((rank() OVER (ORDER BY u) + (count(*) OVER (PARTITION BY u) - 1) / 2.0) / count(*) OVER (), 8) AS sales_percentile
     FROM (SELECT Item_ID, sum(Quantity) AS u FROM sales GROUP BY 1)""")
 def win_pct_rank_avg(t):
-    g = t.sales.groupBy("Item_ID").agg(F.sum("Quantity").alias("u"))
+    g = materialise(t.sales.groupBy("Item_ID").agg(F.sum("Quantity").alias("u")))
     ranked = ordering.percent_ranks(g, {"sales_percentile": "u"})
     return ranked.select("Item_ID", F.round("sales_percentile", 8).alias("sales_percentile"))
 
@@ -694,14 +695,14 @@ def win_pct_rank_avg(t):
 @query("win_pct_rank_scoped", """SELECT Location_ID, Item_ID, round((rank() OVER (PARTITION BY Location_ID ORDER BY u) + (count(*) OVER (PARTITION BY Location_ID, u) - 1) / 2.0)
     / count(*) OVER (PARTITION BY Location_ID), 8) AS sales_percentile FROM (SELECT Location_ID, Item_ID, sum(Quantity) AS u FROM sales GROUP BY 1, 2)""")
 def win_pct_rank_scoped(t):
-    g = t.sales.groupBy("Location_ID", "Item_ID").agg(F.sum("Quantity").alias("u"))
+    g = materialise(t.sales.groupBy("Location_ID", "Item_ID").agg(F.sum("Quantity").alias("u")))
     ranked = ordering.percent_ranks(g, {"sales_percentile": "u"}, ["Location_ID"])
     return ranked.select("Location_ID", "Item_ID", F.round("sales_percentile", 8).alias("sales_percentile"))
 
 
 @query("win_rank_min", """SELECT Item_ID, rank() OVER (ORDER BY u DESC) AS place FROM (SELECT Item_ID, sum(Quantity) AS u FROM sales GROUP BY 1)""")
 def win_rank_min(t):
-    g = t.sales.groupBy("Item_ID").agg(F.sum("Quantity").alias("u"))
+    g = materialise(t.sales.groupBy("Item_ID").agg(F.sum("Quantity").alias("u")))
     return ordering.competition_rank(g, "place", "u").select("Item_ID", "place")
 
 

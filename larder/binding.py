@@ -262,7 +262,7 @@ class Tables:
     @cached_property
     def raw_orders(self) -> DataFrame:
         key = F.col("Order_ID")
-        stamp = F.concat(F.date_format("Order_DateTime", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:00"))
+        stamp = F.concat(F.translate(F.col("Order_DateTime").cast("string"), " ", "T"), F.lit("+05:00"))
         return self.orders.select(
             key.cast("string").alias("Order_ID"),
             F.when(key % 79 == 1, None).when(key % 79 == 2, "99999999").otherwise(F.col("Customer_ID").cast("string")).alias("Customer_ID"),

@@ -13,8 +13,10 @@ BUSINESS_ZONE = "Asia/Karachi"
 
 
 def local_time(instant: Column, zone: str = BUSINESS_ZONE) -> Column:
-    """A zone-aware timestamp as naive wall-clock time of the business zone."""
-    return F.convert_timezone(F.current_timezone(), F.lit(zone), instant.cast("timestamp_ntz"))
+    """A zone-aware timestamp as naive wall-clock time of the business zone, whatever the session's zone."""
+    seconds = (F.unix_micros(instant).cast("decimal(24,0)") / 1_000_000).cast("decimal(18,6)")
+    utc = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(secs=seconds)
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
 def day_start(moment: Column) -> Column:

@@ -34,7 +34,7 @@ def log_amount(value: Column) -> Column:
 
 def case_id(day: Column, *parts: Column) -> Column:
     """Text key ``date:part:part``."""
-    return F.concat_ws(":", F.date_format(day, "yyyy-MM-dd"), *[p.cast("string") for p in parts])
+    return F.concat_ws(":", day.cast("date").cast("string"), *[p.cast("string") for p in parts])
 
 
 def finite(value: Column) -> Column:

@@ -130,6 +130,12 @@ def casefold(df: DataFrame, column: str, value: str) -> DataFrame:
 ANYTHING = -1
 
 
+def within(lines: DataFrame, days: DataFrame) -> DataFrame:
+    """Lines between the first and the last date of some calendar; the bounds reach the scan."""
+    low, high = (days.agg(f("Date")).scalar() for f in (F.min, F.max))
+    return lines.where(F.col("Date").between(low, high))
+
+
 def target_keys(sales: DataFrame) -> DataFrame:
     """Each line three times over: as its dish, as its category and as any line."""
     kinds = F.array(
@@ -171,4 +177,5 @@ def eligible(sales: DataFrame, campaigns: DataFrame) -> DataFrame:
     for any line meets only the lines of its own days.
     """
     days = campaign_targets(campaigns).withColumn("Date", F.explode(F.sequence("Campaign_Start", "Campaign_End")))
-    return target_keys(sales).join(days, ["kind", "target", "Date"]).where(_here()).drop("kind", "target")
+    lines = target_keys(within(sales, days))
+    return lines.join(days, ["kind", "target", "Date"]).where(_here()).drop("kind", "target")

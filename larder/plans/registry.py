@@ -35,10 +35,8 @@ def portable(df: DataFrame) -> DataFrame:
         c, kind = F.col(f"`{field.name}`"), field.dataType
         if isinstance(kind, T.DecimalType):
             c = c.cast("double")
-        elif isinstance(kind, T.DateType):
+        elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             c = c.cast("string")
-        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(kind, T.BooleanType):
             c = c.cast("int")
         out.append(c.alias(field.name))

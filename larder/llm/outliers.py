@@ -30,8 +30,8 @@ SCALE = 1000  # statistics are kept as integers of thousandths
 #: Smallest standard deviation of each transformed statistic: differences below it are never called far.
 FLOOR = (0.6, 0.15, 0.10, 0.12, 0.12)
 LIMIT = 60.0  # no transformed statistic lies beyond it
-#: Chi-squared quantiles at five degrees of freedom (fixed values): median, 0.975 and 1 - 1e-6.
-CHI_HALF, CHI_MOST, CHI_FAR = 4.3515, 12.8325, 35.8882
+#: Chi-squared quantiles at five degrees of freedom (fixed values): median, 0.975 and 0.9999.
+CHI_HALF, CHI_MOST, CHI_FAR = 4.3515, 12.8325, 25.7448
 STARTS = ("spread", "signs", "ranks")
 BINS = 64  # per unit of log distance
 

@@ -33,11 +33,10 @@ SHARD = 20_000  # fingerprints a shard should hold at home
 BLOCK = 256  # fingerprints compared directly
 
 
-def shingle_hashes(text: Column, width: int = SHINGLE) -> Column:
-    """XXH64 (seed 42) of every shingle, repeats included."""
-    w = words(lower_ascii(whole(text)))
-    joined = lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + (k - 1)) for k in range(width)]))
+def shingle_hashes(w: Column, width: int = SHINGLE) -> Column:
+    """XXH64 (seed 42) of every shingle of the word column ``w``, repeats included."""
     n = F.size(w)
+    joined = lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + (k - 1)) for k in range(width)]))
     return F.when(n >= width, windows(w, n, width, joined)).when(n > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -66,7 +65,10 @@ def majority(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint", width: int = SHINGLE) -> DataFrame:
     """The other columns of ``docs`` with the fingerprint as a signed 64-bit number."""
     keep = [c for c in docs.columns if c != text]
-    hashed = docs.select(*[F.col(f"`{c}`") for c in keep], shingle_hashes(F.col(f"`{text}`"), width).alias(name))
+    columns = [F.col(f"`{c}`") for c in keep]
+    # The words are a column of their own: inside the window function they must not be split again.
+    split = docs.select(*columns, words(lower_ascii(whole(F.col(f"`{text}`")))).alias("~words"))
+    hashed = split.select(*columns, shingle_hashes(F.col("~words"), width).alias(name))
 
     def run(batches):
         import pyarrow as pa

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bytebpe, chat, decontaminate, outliers, simhash
+from larder.llm import bytebpe, chat, decontaminate, outliers, quality_gam, simhash, toxicity
 from larder.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,13 @@ def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], turns.schema)
     return chat.digest(materialise(chat.examples(turns.unionByName(tricky))))
+
+
+@query("op6_toxicity_chain")
+def toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels").select("doc_id", "toxic"))
+
+
+@query("op7_quality_classifier")
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_gam.classify(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels").select("doc_id", "quality"))

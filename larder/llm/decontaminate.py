@@ -49,6 +49,12 @@ def _scan(size: int, ends: list[int], hashes: list[int]) -> Column:
     return F.expr(f"transform({found}, at -> named_struct('at', at, 'size', {size}, 'part', slice(`~words`, at, {size})))")
 
 
+def _every(words: Column, n: Column, size: int) -> Column:
+    """All windows of ``size`` words."""
+    positions = F.when(n >= size, F.sequence(F.lit(1), n - (size - 1))).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(positions, lambda at: F.struct(at.alias("at"), F.lit(size).alias("size"), F.slice(words, at, F.lit(size)).alias("part")))
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                    width: int = WIDTH, set_windows: int = 200_000, set_bytes: int = 16 << 20) -> tuple[DataFrame, str, str]:
     """``docs`` without their text, plus ``key``, ``n_words`` and the verified hits ``(at, size, items)`` of each row.
@@ -68,7 +74,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
         cands = F.flatten(F.array(*found)) if found else F.expr("array()").cast("array<struct<at:int,size:int,part:array<string>>>")
     else:
         # The join sees every window; the distinct sizes are at most `width`.
-        cands = F.flatten(F.array(*[F.when(F.col("~n") >= s, F.transform(F.sequence(F.lit(1), F.col("~n") - (s - 1)), lambda at, s=s: F.struct(at.alias("at"), F.lit(s).alias("size"), F.slice("~words", at, F.lit(s)).alias("part")))).otherwise(F.expr("array()").cast("array<struct<at:int,size:int,part:array<string>>>")) for s in size.sizes]))
+        cands = F.flatten(F.array(*[_every(F.col("~words"), F.col("~n"), s) for s in size.sizes]))
     scanned = base.select(*keep, key, F.col("~n").cast("long").alias("n_words"), cands.alias("~cands"))
     if small:
         scanned = materialise(scanned)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bytebpe, chat, decontaminate, outliers, quality_gam, simhash, toxicity
+from larder.llm import bytebpe, chat, decontaminate, outliers, pii, quality_gam, simhash, toxicity
 from larder.session import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_quality_classifier")
 def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_gam.classify(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels").select("doc_id", "quality"))
+
+
+@query("op2_pii_boosting")
+def pii_boosting(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(table(spark, folder, "documents").select("doc_id", "text"))

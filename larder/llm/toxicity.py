@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 from larder.llm.text import whole
 
 SAMPLE = 12_000  # labelled documents a chain is fitted on
-TERMS = 800  # terms of the vocabulary
-LEAST = 5  # labelled documents a term must occur in
-STARTS = (5, 6, 7, 8)  # lengths of word beginnings
-FOLDS = 5
+TERMS = 300  # terms of the vocabulary
+LEAST = 4  # labelled documents a term must occur in
+STARTS = (4, 5, 6, 7, 8)  # lengths of word beginnings
+FOLDS = 4
 CLEAN_LOSS = 0.002  # share of clean labelled documents that the threshold may reject, out of fold
 #: English terms of open abuse (fixed values): they split the label into open and veiled toxicity.
 OPEN = ("trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron")
@@ -39,30 +39,33 @@ def letters(text: Column) -> Column:
 
 def terms_of(words: Column) -> Column:
     """Distinct words, and beginnings of longer words marked by a star."""
-    starts = [F.transform(F.filter(words, lambda w, k=k: F.char_length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STARTS]
-    return F.array_distinct(F.concat(words, *starts))
 
+    def starts(size: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.char_length(w) > size), lambda w: F.concat(F.substring(w, 1, size), F.lit("*")))
 
-def counts(text: str, terms: dict[str, int], gates: frozenset) -> np.ndarray:
-    """Occurrences of each term; ``gates`` holds the first five letters of every term."""
+    return F.array_distinct(F.concat(words, *[starts(k) for k in STARTS]))
+
+
+def gates_of(terms) -> frozenset:
+    """The first letters of all terms: other words need no further look."""
+    return frozenset(t.rstrip("*")[: STARTS[0]] for t in terms)
+
+
+def vector(text: str, terms: dict[str, int], gates: frozenset) -> np.ndarray:
+    """Logarithms of each term's occurrences, then of its occurrences per hundred words."""
     import regex
 
-    found = np.zeros(len(terms), np.float32)
-    for word in regex.findall(r"\p{L}+", text.lower()):
-        if word[:5] in gates:
-            k = terms.get(word)
-            if k is not None:
-                found[k] += 1
-            for size in STARTS:
-                if len(word) <= size:
-                    break
-                k = terms.get(word[:size] + "*")
+    found, words = np.zeros(len(terms), np.float32), regex.findall(r"\p{L}+", text.lower())
+    for word in words:
+        if word[: STARTS[0]] in gates:
+            for term in (word, *(word[:size] + "*" for size in STARTS if size < len(word))):
+                k = terms.get(term)
                 if k is not None:
                     found[k] += 1
-    return np.log1p(found)
+    return np.log1p(np.concatenate([found, found * (100 / max(len(words), 1))]))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 80, ridge: float = 2.0) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60, ridge: float = 2.0) -> np.ndarray:
     """Weights (last: intercept) of a ridge logistic model, by accelerated descent along scaled gradients."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     w = np.zeros(x.shape[1], np.float32)
@@ -126,20 +129,20 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     share = (F.lit(size.bad) + 0.5) / F.lit(size.n + 1)
     gap = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1)
     best = [r.term for r in each.filter(F.col("n") >= LEAST).orderBy(gap.desc(), "term").limit(TERMS).collect()]
-    terms = {t: k for k, t in enumerate(best)}
-    gates = frozenset(t.rstrip("*")[:5] for t in terms)
+    terms = {t: k for k, t in enumerate(dict.fromkeys([*OPEN, *best]))}
+    gates = gates_of(terms)
 
     def vectors(frames):
         import pandas as pd
         import regex
 
         for got in frames:
-            found = [counts(t, terms, gates) for t in got["text"]]
+            found = [vector(t, terms, gates) for t in got["text"]]
             seen = [not set(regex.findall(r"\p{L}+", t.lower())).isdisjoint(OPEN) for t in got["text"]]
             yield pd.DataFrame({"id": got["id"], "y": got["y"], "open": seen, "at": [np.flatnonzero(v) for v in found], "value": [v[v > 0] for v in found]})
 
     rows = labelled.select("id", "y", "text").mapInPandas(vectors, "id bigint, y int, open boolean, at array<int>, value array<float>").orderBy("id").collect()
-    x = np.zeros((len(rows), len(terms)), np.float32)
+    x = np.zeros((len(rows), 2 * len(terms)), np.float32)
     for k, r in enumerate(rows):
         x[k, r["at"]] = r["value"]
     y = np.array([r["y"] for r in rows], int)
@@ -151,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def score(docs: DataFrame, terms: dict[str, int], chain: Chain, text: str = "text", keep_text: bool = False) -> DataFrame:
     """The other columns of ``docs``, a probability per category and ``rejected``."""
     keep = [c for c in docs.columns if keep_text or c != text]
-    gates = frozenset(t.rstrip("*")[:5] for t in terms)
+    gates = gates_of(terms)
     out = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(f"p_{c}", T.DoubleType()) for c in CATEGORIES], T.StructField("rejected", T.BooleanType())])
 
     def run(batches):
@@ -161,7 +164,7 @@ def score(docs: DataFrame, terms: dict[str, int], chain: Chain, text: str = "tex
             texts = batch.column(batch.num_columns - 1).to_pylist()
             found = []
             for a in range(0, len(texts), 1024):
-                x = np.stack([counts(t, terms, gates) for t in texts[a : a + 1024]])
+                x = np.stack([vector(t, terms, gates) for t in texts[a : a + 1024]])
                 found.append(chain.predict(x))
             p = np.vstack(found) if found else np.zeros((0, len(CATEGORIES)))
             arrays = [*batch.columns[:-1], *[pa.array(p[:, k].astype(float)) for k in range(len(CATEGORIES))], pa.array(p[:, -1] > chain.threshold)]

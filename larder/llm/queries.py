@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bytebpe, chat, decontaminate, outliers, pii, quality_gam, simhash, toxicity
-from larder.session import materialise
+from larder.llm import bytebpe, chat, decontaminate, outliers, pii, quality_gam, repair, simhash, toxicity
+from larder.session import materialise, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -101,3 +101,12 @@ def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_pii_boosting")
 def pii_boosting(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op3_repair_tokens")
+def repair_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch_path(spark, "repair")
+    repair.write(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return repair.read(spark, path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bytebpe, chat, decontaminate, outliers, pii, quality_gam, repair, simhash, toxicity
+from larder.llm import bytebpe, chat, decontaminate, htmltree, outliers, pii, quality_gam, repair, simhash, toxicity
 from larder.session import materialise, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,8 @@ def repair_tokens(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "repair")
     repair.write(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), path)
     return repair.read(spark, path)
+
+
+@query("op5_html_extraction")
+def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltree.main_text(table(spark, folder, "pages").select("page_id", "url", "html"))

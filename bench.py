@@ -49,7 +49,7 @@ class Replica(Tables):
 
     @cached_property
     def lines(self):
-        return self._repeat(Tables(self.spark, self.folder).lines, "lines", {"Order_Item_ID": 8 * 10**9, "Order_ID": 10**9})
+        return self._repeat(Tables(self.spark, self.folder).lines, "lines", {"Order_Item_ID": 10**17, "Order_ID": 10**9})
 
 
 def drain(df) -> None:

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from larder.functions.windows import nth_per
 from larder.operators import facts
-from larder.session import scratch_path
 
 # Defects planted by expression in the raw text tables (see Tables.raw_orders / raw_lines).
 CHANNELS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -121,10 +120,15 @@ class Tables:
 
     @cached_property
     def raw_lineitem(self) -> DataFrame:
-        """Line items as they come: several lines may carry the same identifier."""
+        """Line items as they come: several lines may carry the same Order_Item_ID, none the same Line_ID.
+
+        Order, line number, part, supplier and quantity together identify a line. The last three enter by
+        their low bits, which tell apart the few lines that share the first two and leave room for 2^34 orders.
+        """
         price, qty = _money("l_extendedprice"), F.col("l_quantity").cast("decimal(10,0)")
         return self.source("lineitem").select(
             (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("Order_Item_ID"),
+            ((((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 4096 + F.col("l_partkey") % 4096) * 256 + F.col("l_suppkey") % 256) * 64 + F.col("l_quantity").cast("long") % 64).alias("Line_ID"),
             F.col("l_orderkey").alias("Order_ID"),
             F.col("l_partkey").alias("Item_ID"),
             F.col("l_quantity").cast("long").alias("Quantity"),
@@ -142,31 +146,16 @@ class Tables:
     def line_order() -> list[Column]:
         return [F.col(c) for c in ("Ship_Date", "Item_ID", "Supplier_ID", "Quantity", "Extended", "Tax_Percent")]
 
-    @cached_property
-    def unique_lineitem(self) -> DataFrame:
-        return nth_per(self.raw_lineitem, ["Order_Item_ID"], self.line_order())
-
     @cached_property
     def lines(self) -> DataFrame:
-        return self.unique_lineitem.select(
-            "Order_Item_ID", "Order_ID", "Item_ID", "Quantity", "Unit_Price", "Discount_Applied"
+        return self.raw_lineitem.select(
+            F.col("Line_ID").alias("Order_Item_ID"), "Order_ID", "Item_ID", "Quantity", "Unit_Price", "Discount_Applied"
         )
 
     @cached_property
     def sales(self) -> DataFrame:
         return facts.build_sales(self.lines, self.orders, self.menu)
 
-    @cached_property
-    def stored_sales(self) -> DataFrame:
-        """The clean sales written once to shared storage.
-
-        Reports that read the sales many times start here, as they would from a clean snapshot,
-        rather than repeating the joins below.
-        """
-        path = scratch_path(self.spark, "sales")
-        self.sales.write.parquet(path)
-        return self.spark.read.parquet(path)
-
     @cached_property
     def prices(self) -> DataFrame:
         """The first unit price an item was shipped at in each year."""
@@ -194,12 +183,12 @@ class Tables:
         """Returned lines: sampled days, so an absent record is unknown rather than zero."""
         wasted = F.floor(F.col("Quantity") / 10).cast("long") + F.when(F.col("Quantity") > 1, 1).otherwise(0)
         cost = self.menu.select("Item_ID", "Cost")
-        first = nth_per(self.raw_lineitem.where(F.col("Return_Flag") == "R"), ["Order_Item_ID"], self.line_order())
+        returned = self.raw_lineitem.where(F.col("Return_Flag") == "R")
         return (
-            first.join(self._site, "Supplier_ID")
+            returned.join(self._site, "Supplier_ID")
             .join(cost, "Item_ID")
             .select(
-                F.col("Order_Item_ID").alias("Wastage_ID"),
+                F.col("Line_ID").alias("Wastage_ID"),
                 "Item_ID",
                 "Location_ID",
                 F.col("Ship_Date").alias("Wastage_Date"),
@@ -215,10 +204,10 @@ class Tables:
     @cached_property
     def raw_ratings(self) -> DataFrame:
         """Feedback on accepted lines; one star value in six (the 6) is invalid."""
-        first = nth_per(self.raw_lineitem.where(F.col("Return_Flag") == "A"), ["Order_Item_ID"], self.line_order())
+        accepted = self.raw_lineitem.where(F.col("Return_Flag") == "A")
         who = self.orders.select("Order_ID", "Customer_ID")
-        return first.join(who, "Order_ID").select(
-            F.col("Order_Item_ID").alias("Rating_ID"),
+        return accepted.join(who, "Order_ID").select(
+            F.col("Line_ID").alias("Rating_ID"),
             "Order_ID",
             "Item_ID",
             "Customer_ID",
@@ -245,7 +234,7 @@ class Tables:
     def inventory(self) -> DataFrame:
         """One stock period per shipped line at the supplier's site; 1 % of ledgers do not balance."""
         return self.raw_lineitem.join(self._site, "Supplier_ID").select(
-            F.col("Order_Item_ID").alias("Inventory_ID"),
+            F.col("Line_ID").alias("Inventory_ID"),
             "Location_ID",
             "Item_ID",
             (F.col("Quantity") + F.when(F.col("Tax_Percent") == 8, 1).otherwise(0)).alias("Stock_Quantity"),
@@ -344,7 +333,8 @@ SQL = {
              THEN date_diff('day', DATE '1996-01-01', CAST(o_orderdate AS DATE)) // 60 + 1 END AS BIGINT) AS Promotion_ID,
         CASE WHEN o_orderstatus = 'P' THEN 'Cancelled' ELSE 'Completed' END AS Order_Status
         FROM orders JOIN customer ON o_custkey = c_custkey""",
-    "raw_lineitem": """SELECT l_orderkey * 8 + l_linenumber AS Order_Item_ID, l_orderkey AS Order_ID, l_partkey AS Item_ID,
+    "raw_lineitem": """SELECT l_orderkey * 8 + l_linenumber AS Order_Item_ID,
+        (((l_orderkey * 8 + l_linenumber) * 4096 + l_partkey % 4096) * 256 + l_suppkey % 256) * 64 + CAST(l_quantity AS BIGINT) % 64 AS Line_ID, l_orderkey AS Order_ID, l_partkey AS Item_ID,
         CAST(l_quantity AS BIGINT) AS Quantity,
         CAST((2 * CAST(round(l_extendedprice * 100) AS BIGINT) + CAST(l_quantity AS BIGINT))
              // (2 * CAST(l_quantity AS BIGINT)) / 100.0 AS DECIMAL(18,2)) AS Unit_Price,
@@ -353,7 +343,8 @@ SQL = {
         CAST(l_shipdate AS DATE) AS Ship_Date, l_suppkey AS Supplier_ID, l_linenumber AS Line_Number,
         CAST(l_extendedprice AS DECIMAL(18,2)) AS Extended, l_returnflag AS Return_Flag,
         CAST(round(l_tax * 100) AS BIGINT) AS Tax_Percent FROM lineitem""",
-    "lines": """SELECT Order_Item_ID, Order_ID, Item_ID, Quantity, Unit_Price, Discount_Applied FROM raw_lineitem
+    "lines": "SELECT Line_ID AS Order_Item_ID, Order_ID, Item_ID, Quantity, Unit_Price, Discount_Applied FROM raw_lineitem",
+    "first_lines_raw": """SELECT Order_Item_ID, Order_ID, Item_ID, Quantity, Unit_Price, Discount_Applied FROM raw_lineitem
         QUALIFY row_number() OVER (PARTITION BY Order_Item_ID
             ORDER BY Ship_Date, Item_ID, Supplier_ID, Quantity, Extended, Tax_Percent) = 1""",
     "sales": """SELECT l.*, o.Customer_ID, o.Location_ID, o.Order_DateTime, o.Channel, o.Promotion_ID,
@@ -367,24 +358,22 @@ SQL = {
         FROM raw_lineitem QUALIFY row_number() OVER (PARTITION BY Item_ID, year(Ship_Date)
             ORDER BY Ship_Date, Order_Item_ID, Unit_Price, Supplier_ID) = 1""",
     "site": "SELECT s_suppkey AS Supplier_ID, CAST(s_nationkey AS BIGINT) AS Location_ID FROM supplier",
-    "wastage": """SELECT Order_Item_ID AS Wastage_ID, w.Item_ID, Location_ID, Ship_Date AS Wastage_Date, Wasted AS Quantity_Wasted,
+    "wastage": """SELECT Line_ID AS Wastage_ID, w.Item_ID, Location_ID, Ship_Date AS Wastage_Date, Wasted AS Quantity_Wasted,
         CAST(Wasted * Cost AS DECIMAL(18,2)) AS Cost_Impact,
         ['Overproduction', 'Spoilage', 'Preparation Error', 'Customer Return', 'Expired Ingredients'][Line_Number % 5 + 1] AS Reason,
         Quantity - Wasted AS Demand_Quantity, Quantity AS Prepared_Quantity, Quantity - Wasted AS Quantity_Consumed
         FROM (SELECT *, Quantity // 10 + CASE WHEN Quantity > 1 THEN 1 ELSE 0 END AS Wasted FROM raw_lineitem
-              WHERE Return_Flag = 'R' QUALIFY row_number() OVER (PARTITION BY Order_Item_ID
-              ORDER BY Ship_Date, Item_ID, Supplier_ID, Quantity, Extended, Tax_Percent) = 1) w
+              WHERE Return_Flag = 'R') w
         JOIN site ON w.Supplier_ID = site.Supplier_ID JOIN menu ON w.Item_ID = menu.Item_ID""",
-    "raw_ratings": """SELECT Order_Item_ID AS Rating_ID, r.Order_ID, Item_ID, Customer_ID, (Quantity + Item_ID) % 6 + 1 AS Stars,
+    "raw_ratings": """SELECT Line_ID AS Rating_ID, r.Order_ID, Item_ID, Customer_ID, (Quantity + Item_ID) % 6 + 1 AS Stars,
         Ship_Date AS Rating_Date
-        FROM (SELECT * FROM raw_lineitem WHERE Return_Flag = 'A' QUALIFY row_number() OVER (PARTITION BY Order_Item_ID
-              ORDER BY Ship_Date, Item_ID, Supplier_ID, Quantity, Extended, Tax_Percent) = 1) r
+        FROM (SELECT * FROM raw_lineitem WHERE Return_Flag = 'A') r
         JOIN clean_orders o ON r.Order_ID = o.Order_ID""",
     "ratings": """SELECT * FROM raw_ratings WHERE Stars BETWEEN 1 AND 5
         AND Order_ID IN (SELECT Order_ID FROM clean_orders WHERE Order_Status = 'Completed')""",
     "event_ratings": """SELECT event_id AS Rating_ID, user_id AS Item_ID, CAST(ts AS DATE) AS Rating_Day,
         CAST(floor(value / 50) + 1 AS BIGINT) AS Stars FROM events""",
-    "inventory": """SELECT Order_Item_ID AS Inventory_ID, Location_ID, Item_ID,
+    "inventory": """SELECT Line_ID AS Inventory_ID, Location_ID, Item_ID,
         Quantity + CASE WHEN Tax_Percent = 8 THEN 1 ELSE 0 END AS Stock_Quantity, CAST(Line_Number * 3 AS BIGINT) AS Reorder_Level,
         Quantity AS Opening_Stock, CAST(Line_Number AS BIGINT) AS Received_Quantity, CAST(Line_Number AS BIGINT) AS Consumed_Quantity,
         0 AS Wasted_Quantity, Ship_Date AS Period_End, Extended

@@ -4,7 +4,7 @@ Ranks and exact quantiles of a column need to know how many values lie below eac
 window without partitioning would send the table to one task, and the built-in exact percentile
 keeps every distinct value in one buffer. Here the rows are first reduced to (value, count), the
 distinct values are split into ranges at approximate quantiles, counts are accumulated inside
-each range in parallel, and the at most ``MAX_RANGES`` range totals supply the offsets. However
+each range in parallel, and one total per range supplies the offsets. However
 many rows share one value, that value is a single row after the first aggregation.
 """
 
@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from larder.session import materialise
 
-# Distinct values one task accumulates, and the most ranges a column is split into.
+# Distinct values one task accumulates.
 PER_RANGE = 500_000
-MAX_RANGES = 1_000
 
 
 def _range_of(cuts: dict[str, list[float]]) -> Column:
@@ -35,7 +34,7 @@ def _range_of(cuts: dict[str, list[float]]) -> Column:
 def _marks(values: DataFrame, ranges: int) -> list[float]:
     """Numbers that split the distinct values into ranges of about equal size."""
     shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    return sorted(set(values.agg(F.percentile_approx("value", shares, F.lit(10_000))).first()[0]))
+    return sorted(set(values.agg(F.percentile_approx("value", shares, F.lit(max(10_000, 20 * ranges)))).first()[0]))
 
 
 def value_positions(
@@ -58,10 +57,10 @@ def value_positions(
         .agg(F.count(F.lit(1)).alias("ties"))
     )
     counted = counted if stored else materialise(counted)
-    # One count per column and at most MAX_RANGES - 1 numbers per large column reach the driver.
+    # One count per column and one number per range reach the driver.
     distinct = {r["metric"]: r["count"] for r in counted.groupBy("metric").count().collect()}
     cuts = {
-        metric: _marks(counted.where(F.col("metric") == metric), min(MAX_RANGES, n // PER_RANGE + 1))
+        metric: _marks(counted.where(F.col("metric") == metric), n // PER_RANGE + 1)
         for metric, n in distinct.items()
         if n > PER_RANGE
     }

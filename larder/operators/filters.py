@@ -137,7 +137,7 @@ def within(lines: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def target_keys(sales: DataFrame) -> DataFrame:
-    """Each line three times over: as its dish, as its category and as any line."""
+    """Each row of a reduced table three times over: as its dish, as its category and as any row."""
     kinds = F.array(
         F.struct(F.lit("item").alias("kind"), F.col("Item_ID").alias("target")),
         F.struct(F.lit("category").alias("kind"), F.col("Category_ID").alias("target")),
@@ -146,6 +146,22 @@ def target_keys(sales: DataFrame) -> DataFrame:
     return sales.select("*", F.inline(kinds))
 
 
+def on_target_days(lines: DataFrame, days: DataFrame) -> DataFrame:
+    """Lines beside every campaign day that applies to them.
+
+    Campaigns for a dish, for a category and for any line are joined apart, each on its own columns, so no
+    line is repeated before it meets a campaign and only campaigns for any line meet by date alone.
+    """
+    near = within(lines, days)
+    own = {"item": ["Item_ID"], "category": ["Category_ID"], "any": []}
+    parts = []
+    for kind, columns in own.items():
+        some = days.where(F.col("kind") == kind).drop("kind")
+        some = some.withColumnRenamed("target", columns[0]) if columns else some.drop("target")
+        parts.append(near.join(some, [*columns, "Date"]))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def campaign_targets(campaigns: DataFrame) -> DataFrame:
     """The kind and id a campaign applies to: a dish wins over a category, neither means any line."""
     item, category = F.col("Applicable_Item_ID"), F.col("Applicable_Category_ID")
@@ -173,9 +189,7 @@ def eligible_for(sales: DataFrame, item: int | None = None, category: int | None
 def eligible(sales: DataFrame, campaigns: DataFrame) -> DataFrame:
     """(campaign, line) pairs of lines inside the inclusive campaign dates.
 
-    A campaign is spread over its dates and joined on (date, kind, target), so even a campaign
-    for any line meets only the lines of its own days.
+    A campaign is spread over its dates, so even one for any line meets only the lines of its own days.
     """
     days = campaign_targets(campaigns).withColumn("Date", F.explode(F.sequence("Campaign_Start", "Campaign_End")))
-    lines = target_keys(within(sales, days))
-    return lines.join(days, ["kind", "target", "Date"]).where(_here()).drop("kind", "target")
+    return on_target_days(sales, days).where(_here())

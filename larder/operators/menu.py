@@ -42,7 +42,7 @@ def menu_facts(
     rated = metrics.rating_metrics(ratings.select("Order_ID", "Item_ID", "Stars").join(pairs, ["Order_ID", "Item_ID"]), scope)
     g = g.join(rated, keys, "left")
     if catalogue is not None:
-        g = metrics.with_unsold(g, catalogue, sales if history is None else history)
+        g = metrics.with_unsold(g, catalogue, sales if history is None else history, scope)
     return g
 
 
@@ -104,12 +104,18 @@ def class_evidence() -> Column:
     )
 
 
+def with_global_sales(g: DataFrame, sales: DataFrame) -> DataFrame:
+    """Units of each dish over all scopes."""
+    units = sales.groupBy("Item_ID").agg(F.sum("Quantity").alias("global_sales"))
+    return g.join(units, "Item_ID", "left").fillna({"global_sales": 0})
+
+
 def slow_facts(
     classified: DataFrame, sales: DataFrame, menu: DataFrame, snapshot: Column, opening: Column | None = None,
     scope_name: str = "GLOBAL",
 ) -> DataFrame:
     """History, recency and seasonality of each dish in one scope."""
-    g = metrics.history_days(classified, menu, snapshot, opening)
+    g = with_global_sales(metrics.history_days(classified, menu, snapshot, opening), sales)
     g = g.join(metrics.seasonality(sales), "Item_ID", "left").fillna({"active_months": 0, "seasonal_top3_share": 0.0})
     return g.withColumn("Scope", F.lit(scope_name))
 
@@ -120,6 +126,7 @@ def slow_facts_by_location(
     """The same for all locations at once; a dish is known from introduction or opening on."""
     opened = locations.select("Location_ID", "Opening_Date")
     g = metrics.history_days(rated.join(opened, "Location_ID"), menu, snapshot, F.col("Opening_Date")).drop("Opening_Date")
+    g = with_global_sales(g, sales)
     season = metrics.seasonality(sales, ["Location_ID", "Item_ID"])
     g = g.join(season, ["Location_ID", "Item_ID"], "left").fillna({"active_months": 0, "seasonal_top3_share": 0.0})
     return g.withColumn("Scope", F.concat(F.lit("LOCATION_"), F.col("Location_ID").cast("string")))

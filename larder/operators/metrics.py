@@ -303,11 +303,15 @@ UNSOLD_ZEROES = (
 )
 
 
-def with_unsold(grouped: DataFrame, catalogue: DataFrame, history: DataFrame, zeroes: Sequence[str] = UNSOLD_ZEROES) -> DataFrame:
-    """Add zero-history rows for catalogue items that were never sold anywhere."""
+def with_unsold(grouped: DataFrame, catalogue: DataFrame, history: DataFrame, scope: Sequence[str] = (), zeroes: Sequence[str] = UNSOLD_ZEROES) -> DataFrame:
+    """Add zero-history rows for catalogue items that were never sold anywhere, in every scope there is."""
     missing = catalogue.select("Item_ID", "Item_Name", "Category_ID").join(
         history.select("Item_ID").distinct(), "Item_ID", "left_anti"
     )
+    if scope:
+        # One value per scope, as many as there are selling locations.
+        places = history.select(F.struct(*scope).alias("place")).distinct().agg(F.collect_set("place")).scalar()
+        missing = missing.withColumn("_place", F.explode(places)).select("*", *[F.col(f"_place.{c}").alias(c) for c in scope]).drop("_place")
     kinds = dict(grouped.dtypes)
     blank = missing.select(
         "*", *[F.lit(0).cast(kinds[c]).alias(c) for c in zeroes if c in kinds]

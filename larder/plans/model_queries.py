@@ -220,39 +220,57 @@ def ml_wastage_grid(t):
     return shown(wastage.grid_features(wastage.weekly_grid(*by_category(t))))
 
 
-@query("win_rolling_strict_4", "SELECT Item_ID, Location_ID, CAST(Week AS VARCHAR) AS Week, rolling_waste_4, last_observed_waste FROM wfeat WHERE Wasted IS NOT NULL", CATEGORY_GRID)
-def win_rolling_strict_4(t):
-    built = shown(wastage.grid_features(wastage.weekly_grid(*by_category(t))))
-    return built.where(F.col("Wasted").isNotNull()).select("Item_ID", "Location_ID", "Week", "rolling_waste_4", "last_observed_waste")
+def sparse_sql(rows: str) -> dict[str, str]:
+    """The same features per item from the weeks that exist: earlier weeks are met by date, not by row."""
+    pair = "Item_ID, Location_ID"
+    on = lambda t: f"{t}.Item_ID = x.Item_ID AND {t}.Location_ID = x.Location_ID"
+    return {
+        "ww": f"SELECT {pair}, CAST(date_trunc('week', Wastage_Date) AS DATE) AS Week, CAST(sum(Quantity_Wasted) AS BIGINT) AS Wasted, CAST(sum(Prepared_Quantity) AS BIGINT) AS Prepared FROM wastage GROUP BY 1, 2, 3",
+        "wd": f"SELECT {pair}, CAST(date_trunc('week', Order_DateTime) AS DATE) AS Week, CAST(sum(Quantity) AS BIGINT) AS Demand FROM sales GROUP BY 1, 2, 3",
+        "kw": f"SELECT {pair}, Week, Wasted, Prepared, coalesce(Demand, 0) AS Demand FROM ww FULL JOIN wd USING ({pair}, Week)",
+        "kx": rows,
+        "four": f"SELECT x.Item_ID, x.Location_ID, x.Week, count(k.Wasted) AS nw, avg(k.Wasted) AS aw, sum(k.Demand) AS sd FROM kx x JOIN kw k ON {on('k')} AND k.Week BETWEEN x.Week - 28 AND x.Week - 7 GROUP BY 1, 2, 3",
+        "wfeat": f"""SELECT x.*, l1.Wasted AS lag_waste_1, l4.Wasted AS lag_waste_4, CASE WHEN x.Week >= lo + 7 THEN coalesce(l1.Demand, 0) END AS lag_demand_1, l1.Prepared AS lag_prepared_1,
+            CASE WHEN nw = 4 THEN round(aw, 8) END AS rolling_waste_4, CASE WHEN x.Week >= lo + 28 THEN round(coalesce(sd, 0) / 4.0, 8) END AS rolling_demand_4, month(x.Week) AS month, weekofyear(x.Week) AS week_of_year
+            FROM (SELECT *, last_value(Wasted IGNORE NULLS) OVER (PARTITION BY {pair} ORDER BY Week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_observed_waste FROM kx) x
+            LEFT JOIN kw l1 ON {on('l1')} AND l1.Week = x.Week - 7 LEFT JOIN kw l4 ON {on('l4')} AND l4.Week = x.Week - 28
+            LEFT JOIN four f ON {on('f')} AND f.Week = x.Week, (SELECT min(Week) AS lo FROM kw)""",
+    }
+
 
+KNOWN_WEEKS = sparse_sql("SELECT * FROM kw")
+NEXT_WEEK = sparse_sql("""SELECT * FROM kw UNION ALL SELECT Item_ID, Location_ID, (SELECT max(Week) FROM kw) + 7, NULL::BIGINT, NULL::BIGINT, 0
+    FROM (SELECT DISTINCT Item_ID FROM wd), (SELECT DISTINCT Location_ID FROM wd)""")
 
-def sparse(t: Tables, source=None):
-    spoilt, sold = source or (t.wastage, t.sales)
-    known = materialise(wastage.weekly(spoilt, sold))
+
+def sparse(t: Tables):
+    known = materialise(wastage.weekly(t.wastage, t.sales))
     first = known.agg(F.min("Week")).scalar()
     return known, lambda rows: wastage.sparse_features(rows, first)
 
 
-@query("ml_wastage_sparse", f"SELECT {SHOWN} FROM wfeat WHERE Wasted IS NOT NULL", CATEGORY_GRID)
+@query("win_rolling_strict_4", "SELECT Item_ID, Location_ID, CAST(Week AS VARCHAR) AS Week, rolling_waste_4, last_observed_waste FROM wfeat WHERE Wasted IS NOT NULL", KNOWN_WEEKS)
+def win_rolling_strict_4(t):
+    known, build = sparse(t)
+    return shown(build(known)).where(F.col("Wasted").isNotNull()).select("Item_ID", "Location_ID", "Week", "rolling_waste_4", "last_observed_waste")
+
+
+@query("ml_wastage_sparse", f"SELECT {SHOWN} FROM wfeat WHERE Wasted IS NOT NULL", KNOWN_WEEKS)
 def ml_wastage_sparse(t):
-    known, build = sparse(t, by_category(t))
+    known, build = sparse(t)
     return shown(build(known)).where(F.col("Wasted").isNotNull())
 
 
-@query("ml_wastage_next_week", f"""WITH g2 AS (SELECT * FROM wgrid UNION ALL SELECT DISTINCT Item_ID, Location_ID, (SELECT max(Week) FROM wgrid) + 7, NULL::BIGINT, NULL::BIGINT, 0 FROM wgrid), n AS ({CATEGORY_GRID['wfeat'].replace('FROM wgrid', 'FROM g2')})
-    SELECT {SHOWN} FROM n WHERE Week = (SELECT max(Week) FROM n)""", CATEGORY_GRID)
+@query("ml_wastage_next_week", f"SELECT {SHOWN} FROM wfeat WHERE Week = (SELECT max(Week) FROM kw) + 7", NEXT_WEEK)
 def ml_wastage_next_week(t):
-    history = wastage.weekly_grid(*by_category(t))
-    return shown(wastage.next_week(history, wastage.grid_features))
-
-
-ITERATIONS = 20
+    known, build = sparse(t)
+    return shown(wastage.next_week(known, wastage.every_pair(t.sales), build))
 
 
 def waste_models(t: Tables):
     known, build = sparse(t)
     split = materialise(wastage.split_weeks(build(known)))
-    return known, build, split, wastage.fit_wastage(split, iterations=ITERATIONS)
+    return known, build, split, wastage.fit_wastage(split)
 
 
 @query("ml_wastage_models")
@@ -267,7 +285,7 @@ def ml_wastage_models(t):
 @query("ml_wastage_serve")
 def ml_wastage_serve(t):
     known, build, _, models = waste_models(t)
-    scored = wastage.score(models, wastage.next_week(known, build))
+    scored = wastage.score(models, wastage.next_week(known, wastage.every_pair(t.sales), build))
     return wastage.wastage_page(scored.select(*wastage.PAIR, "Week", "Expected_Wastage", "Risk_Probability", "Risk"), limit=200)
 
 

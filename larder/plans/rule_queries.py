@@ -13,19 +13,19 @@ from larder.session import materialise
 
 
 def newest(t: Tables):
-    return t.stored_sales.agg(F.max("Order_DateTime")).scalar()
+    return t.sales.agg(F.max("Order_DateTime")).scalar()
 
 
 def last_day(t: Tables):
-    return t.stored_sales.agg(F.max("Date")).scalar()
+    return t.sales.agg(F.max("Date")).scalar()
 
 
 def graded(t: Tables):
-    return menu.classify_items(menu.menu_facts(t.stored_sales, t.wastage, t.ratings, newest(t), catalogue=t.menu))
+    return menu.classify_items(menu.menu_facts(t.sales, t.wastage, t.ratings, newest(t), catalogue=t.menu))
 
 
 def assessed(t: Tables):
-    g = menu.slow_facts(graded(t), t.stored_sales, t.menu, last_day(t))
+    g = menu.slow_facts(graded(t), t.sales, t.menu, last_day(t))
     return menu.assess_slow_moving(g)
 
 
@@ -76,10 +76,14 @@ def slow_sql(source: str, part: str, keys: str) -> str:
 
 SLOW_OUT = """Slow_Moving_Status, CASE Slow_Moving_Status WHEN 'INSUFFICIENT_HISTORY' THEN 'UNDETERMINED' WHEN 'NO_OBSERVED_SALES' THEN 'REVIEW' WHEN 'SEASONAL_REVIEW' THEN 'REVIEW'
     WHEN 'HIDDEN_OPPORTUNITY' THEN 'LOW' WHEN 'SLOW_MOVER' THEN CASE WHEN grave THEN 'HIGH' ELSE 'MEDIUM' END WHEN 'WATCHLIST' THEN 'LOW' ELSE 'NONE' END AS Severity,
-    CAST(history_days AS INTEGER) AS history_days, CAST(recency AS INTEGER) AS days_since_last_purchase"""
+    CAST(history_days AS INTEGER) AS history_days, CAST(recency AS INTEGER) AS days_since_last_purchase,
+    (SELECT CAST(sum(Quantity) AS BIGINT) FROM sales u WHERE u.Item_ID = w.Item_ID) AS global_sales"""
 SLOW = {**RULES, "slow": slow_sql("dated", "PARTITION BY Scope", "Item_ID")}
 
 
+SLOW_COLUMNS = ("Slow_Moving_Status", "Severity", "history_days", "days_since_last_purchase", "Evidence.global_sales")
+
+
 @query("rule_menu_class", """SELECT Item_ID, round(sales_percentile, 8) AS sales_percentile, round(margin_percentile, 8) AS margin_percentile, round(wastage_percent, 6) AS wastage_percent,
     round(evidence_score, 6) AS evidence_score, classification, CAST(insufficient_history AS INTEGER) AS insufficient_history FROM classed""", RULES)
 def rule_menu_class(t):
@@ -89,9 +93,11 @@ def rule_menu_class(t):
     )
 
 
-@query("prj_evidence")
+@query("prj_evidence", """SELECT Item_ID, round(sales_percentile, 4) AS sales_percentile, round(repeat_purchase_rate, 4) AS repeat_purchase_rate, round(promotion_dependency, 4) AS promotion_dependency,
+    CAST(insufficient_history AS INTEGER) AS insufficient_history FROM classed""", RULES)
 def prj_evidence(t):
-    return graded(t).select("Item_ID", F.to_json("classification_evidence").alias("evidence"))
+    evidence = graded(t).select("Item_ID", "classification_evidence.*")
+    return evidence.select("Item_ID", *[F.col(c).cast("double").alias(c) for c in ("sales_percentile", "repeat_purchase_rate", "promotion_dependency")], "insufficient_history")
 
 
 @query("flt_having", """SELECT Item_ID, classification, round(Average_Rating, 8) AS Average_Rating FROM classed WHERE classification = 'Volume Driver' AND Average_Rating >= 3.0""", RULES)
@@ -100,9 +106,9 @@ def flt_having(t):
     return filters.having(graded(t), f).select("Item_ID", "classification", F.round("Average_Rating", 8).alias("Average_Rating"))
 
 
-@query("rule_slow_moving", f"SELECT Item_ID, {SLOW_OUT} FROM slow", SLOW)
+@query("rule_slow_moving", f"SELECT Item_ID, {SLOW_OUT} FROM slow w", SLOW)
 def rule_slow_moving(t):
-    return assessed(t).select("Item_ID", "Slow_Moving_Status", "Severity", "history_days", "days_since_last_purchase")
+    return assessed(t).select("Item_ID", *SLOW_COLUMNS)
 
 
 PAIR = "Location_ID, Item_ID"
@@ -129,11 +135,11 @@ SCOPED_SLOW = {
 }
 
 
-@query("rule_slow_moving_scoped", f"SELECT Location_ID, Item_ID, {SLOW_OUT} FROM loc_slow", SCOPED_SLOW)
+@query("rule_slow_moving_scoped", f"SELECT Location_ID, Item_ID, {SLOW_OUT} FROM loc_slow w", SCOPED_SLOW)
 def rule_slow_moving_scoped(t):
-    rated = menu.with_rates(menu.menu_facts(t.stored_sales, t.wastage, t.ratings, newest(t), scope=["Location_ID"]))
-    g = menu.slow_facts_by_location(rated, t.stored_sales, t.menu, t.locations, last_day(t))
-    return menu.assess_slow_moving(g).select("Location_ID", "Item_ID", "Slow_Moving_Status", "Severity", "history_days", "days_since_last_purchase")
+    rated = menu.with_rates(menu.menu_facts(t.sales, t.wastage, t.ratings, newest(t), catalogue=t.menu, scope=["Location_ID"]))
+    g = menu.slow_facts_by_location(rated, t.sales, t.menu, t.locations, last_day(t))
+    return menu.assess_slow_moving(g).select("Location_ID", "Item_ID", *SLOW_COLUMNS)
 
 
 @query("agg_slow_status_counts", "SELECT Slow_Moving_Status, count(*) AS items FROM slow GROUP BY 1", SLOW)
@@ -170,7 +176,7 @@ def by_median(volume: str, profit: str) -> str:
 
 
 def item_classes(t):
-    return menu.median_classes(menu.item_stats(t.stored_sales, t.menu, t.raw_ratings, t.wastage))
+    return menu.median_classes(menu.item_stats(t.sales, t.menu, t.raw_ratings, t.wastage))
 
 
 @query("rule_menu_class_legacy", f"""SELECT Item_ID, Total_Quantity_Sold, CAST(Total_Profit AS DOUBLE) AS Total_Profit, Profit_Pct, Promotion_Dependency_Pct, Wastage_Pct,
@@ -223,8 +229,8 @@ def jn_interval(t):
 @query("rule_price_windows", """SELECT Item_ID, CAST(Effective_Date AS VARCHAR) AS Effective_Date, CAST(before_quantity AS BIGINT) AS Before_Quantity, CAST(after_quantity AS BIGINT) AS After_Quantity,
     round(100 * (p1 / p0 - 1), 6) AS List_Price_Change_Percent, round(100 * (n / o - 1), 6) AS Observed_Price_Change_Percent, round(100 * (after_quantity / before_quantity - 1), 6) AS Demand_Change_Percent,
     round(100 * (after_revenue / greatest(before_revenue, 1) - 1), 6) AS Revenue_Change_Percent, round(100 * (after_contribution - before_contribution) / greatest(abs(before_contribution), 1), 6) AS Contribution_Change_Percent,
-    CASE WHEN o <= 0 OR before_quantity <= 0 OR abs(n / o - 1) < 0.005 THEN 'NOT VERIFIABLE' WHEN (n / o - 1) * (after_quantity / before_quantity - 1) >= 0 THEN 'UNDETERMINED'
-         WHEN abs((after_quantity / before_quantity - 1) / (n / o - 1)) >= 1 THEN 'HIGH' WHEN abs((after_quantity / before_quantity - 1) / (n / o - 1)) >= 0.5 THEN 'MODERATE' ELSE 'LOW' END AS Sensitivity
+    CASE WHEN o <= 0 OR before_quantity <= 0 OR abs((n - o) / o) < 0.005 THEN 'NOT VERIFIABLE' WHEN ((n - o) / o) * ((after_quantity - before_quantity) / before_quantity) >= 0 THEN 'UNDETERMINED'
+         WHEN abs(((after_quantity - before_quantity) / before_quantity) / ((n - o) / o)) >= 1 THEN 'HIGH' WHEN abs(((after_quantity - before_quantity) / before_quantity) / ((n - o) / o)) >= 0.5 THEN 'MODERATE' ELSE 'LOW' END AS Sensitivity
     FROM (SELECT *, before_gross / before_quantity AS o, after_gross / after_quantity AS n FROM around WHERE before_quantity IS NOT NULL AND after_quantity IS NOT NULL)""", CHANGES)
 def rule_price_windows(t):
     w = events.price_windows(t.sales, t.prices)
@@ -232,8 +238,8 @@ def rule_price_windows(t):
     return w.withColumns(rounded).drop("Before_Avg_Price", "After_Avg_Price", "Previous_List_Price", "New_List_Price")
 
 
-@query("rule_sensitivity", """SELECT Sensitivity, count(*) AS changes FROM (SELECT CASE WHEN abs(p1 / p0 - 1) < 0.005 THEN 'NOT VERIFIABLE' WHEN (p1 / p0 - 1) * (a / b - 1) >= 0 THEN 'UNDETERMINED'
-    WHEN abs((a / b - 1) / (p1 / p0 - 1)) >= 1 THEN 'HIGH' WHEN abs((a / b - 1) / (p1 / p0 - 1)) >= 0.5 THEN 'MODERATE' ELSE 'LOW' END AS Sensitivity
+@query("rule_sensitivity", """SELECT Sensitivity, count(*) AS changes FROM (SELECT CASE WHEN abs((p1 - p0) / p0) < 0.005 THEN 'NOT VERIFIABLE' WHEN ((p1 - p0) / p0) * ((a - b) / b) >= 0 THEN 'UNDETERMINED'
+    WHEN abs(((a - b) / b) / ((p1 - p0) / p0)) >= 1 THEN 'HIGH' WHEN abs(((a - b) / b) / ((p1 - p0) / p0)) >= 0.5 THEN 'MODERATE' ELSE 'LOW' END AS Sensitivity
     FROM (SELECT p0, p1, before_quantity AS b, after_quantity AS a FROM around WHERE before_quantity IS NOT NULL AND after_quantity IS NOT NULL)) GROUP BY 1""", CHANGES)
 def rule_sensitivity(t):
     w = events.price_windows(t.sales, t.prices)
@@ -274,7 +280,7 @@ def phase_columns() -> str:
     FROM w LEFT JOIN (SELECT * FROM phase_sums WHERE phase = 'before') before ON before.c = w.Promotion_ID LEFT JOIN (SELECT * FROM phase_sums WHERE phase = 'during') during ON during.c = w.Promotion_ID
     LEFT JOIN (SELECT * FROM phase_sums WHERE phase = 'after') after ON after.c = w.Promotion_ID LEFT JOIN rep ON rep.c = w.Promotion_ID LEFT JOIN items ON items.c = w.Promotion_ID LEFT JOIN spoil ON spoil.c = w.Promotion_ID""", PHASED)
 def rule_promo_windows(t):
-    w = events.promo_windows(t.stored_sales, t.promotions, t.wastage)
+    w = events.promo_windows(t.sales, t.promotions, t.wastage)
     return w.drop("Discount_Percent", "Start_Date", "End_Date", *[f"{p}_aov" for p in events.PHASES])
 
 
@@ -303,7 +309,7 @@ CHURN = {
 @query("rule_churn", """SELECT r.Customer_ID, Recency_Days, recent_orders, previous_orders, CAST(previous_orders >= 2 AND recent_orders < previous_orders * 0.5 AS INTEGER) AS declining
     FROM rfm r JOIN activity a ON r.Customer_ID = a.Customer_ID WHERE Recency_Days > 90 OR (previous_orders >= 2 AND recent_orders < previous_orders * 0.5)""", CHURN)
 def rule_churn(t):
-    return customers.churn(t.stored_sales, metrics.rfm(t.stored_sales), newest(t)).select("Customer_ID", "Recency_Days", "recent_orders", "previous_orders", "declining")
+    return customers.churn(t.sales, metrics.rfm(t.sales), newest(t)).select("Customer_ID", "Recency_Days", "recent_orders", "previous_orders", "declining")
 
 
 LEGACY_RECENCY = """SELECT Customer_ID, CAST(floor((epoch((SELECT max(Order_DateTime) FROM clean_orders WHERE Order_Status = 'Completed')) + 86400 - epoch(max(Order_DateTime))) / 86400) AS BIGINT) AS Recency
@@ -324,7 +330,7 @@ def rule_churn_legacy(t):
 
 def place_profiles(t):
     """Five customer groups by usual location, as named-cluster input that SQL can reproduce."""
-    return metrics.rfm(t.stored_sales).groupBy((F.col("Preferred_Location") % 5).alias("Cluster")).agg(
+    return metrics.rfm(t.sales).groupBy((F.col("Preferred_Location") % 5).alias("Cluster")).agg(
         F.avg("Recency_Days").alias("Recency_Days"), F.avg("Frequency").alias("Frequency"),
         scalar.ratio(F.sum("Monetary"), F.count(F.lit(1))).alias("Monetary"), F.count(F.lit(1)).alias("size"),
     )
@@ -370,7 +376,7 @@ def pair_sql(item: str, least: int, lift: float) -> dict[str, str]:
     }
 
 
-BASKET = pair_sql("Category_ID", 50, 0.8)
+BASKET = pair_sql("Item_ID", 2, 1.05)
 
 
 @query("jn_basket_pairs", "SELECT l AS \"left\", r AS \"right\", k AS count FROM pair", pair_sql("Item_ID", 2, 0))
@@ -380,13 +386,13 @@ def jn_basket_pairs(t):
 
 @query("bsk_rules", """SELECT Antecedent_Item_ID, Consequent_Item_ID, Pair_Count, round(Support, 8) AS Support, round(Confidence, 8) AS Confidence, round(Lift, 8) AS Lift FROM found_rules""", BASKET)
 def bsk_rules(t):
-    found = basket.rules(t.sales, "Category_ID", min_pairs=50, min_lift=0.8)
+    found = basket.rules(t.sales, min_pairs=2)
     return found.withColumns({c: F.round(c, 8) for c in ("Support", "Confidence", "Lift")})
 
 
 @query("bsk_apriori_legacy")
 def bsk_apriori_legacy(t):
-    return basket.bundles(basket.fp_rules(t.sales, "Category_ID", min_support=0.01, min_lift=0.5), min_lift=0.6, n=1000)
+    return basket.bundles(basket.fp_rules(t.sales, min_support=0.0002), n=1000)
 
 
 @query("rule_recommendations", f"""SELECT 'slow_moving:' || Item_ID || ':all' AS rec_key, 'slow_moving' AS type, CASE WHEN Slow_Moving_Status = 'SLOW_MOVER' AND grave THEN 'High' WHEN Slow_Moving_Status = 'SLOW_MOVER' THEN 'Medium' ELSE 'Low' END AS priority
@@ -400,8 +406,8 @@ def bsk_apriori_legacy(t):
         AND d.quantity > b.quantity AND d.contribution < b.contribution""", {**SLOW, **CHURN, **BASKET, **PHASED})
 def rule_recommendations(t):
     profiles = customers.segment_labels(place_profiles(t)).withColumns({"average_recency": F.col("Recency_Days"), "average_monetary": F.col("Monetary")})
-    best = basket.best_first(basket.rules(t.stored_sales, "Category_ID", min_pairs=50, min_lift=0.8), 10)
-    advice_rows = advice.recommend(assessed(t), risk(t), profiles, best, events.promo_windows(t.stored_sales, t.promotions, t.wastage))
+    best = basket.best_first(basket.rules(t.sales, min_pairs=2), 10)
+    advice_rows = advice.recommend(assessed(t), risk(t), profiles, best, events.promo_windows(t.sales, t.promotions, t.wastage))
     return advice_rows.select("rec_key", "type", "priority")
 
 
@@ -531,7 +537,7 @@ FORECASTS = {"cases": """SELECT strftime(Date, '%Y-%m-%d') || ':' || Location_ID
 
 
 def cases(t):
-    daily = metrics.location_daily(t.stored_sales).select("Location_ID", "Date", F.col("Demand").cast("double").alias("Actual"))
+    daily = metrics.location_daily(t.sales).select("Location_ID", "Date", F.col("Demand").cast("double").alias("Actual"))
     lagged = windows.lags(daily, "Actual", "Location_ID", "Date", [7])
     return lagged.select(
         scalar.case_id(F.col("Date"), F.col("Location_ID")).alias("Case_ID"), "Location_ID", "Actual", F.col("lag_7").alias("seasonal"),
@@ -632,10 +638,10 @@ def count_sql(section: str, label: str, source: str) -> str:
 ]), REPORT)
 def rpt_sections(t):
     mean = stats.errors(cases(t), "Actual", {"seasonal": "seasonal", "rolling": "rolling"}).withColumn("mae", F.round("mae", 6))
-    rules = basket.rules(t.stored_sales, "Category_ID", min_pairs=50, min_lift=0.8).withColumn("Lift", F.round("Lift", 8))
+    rules = basket.rules(t.sales, min_pairs=2).withColumn("Lift", F.round("Lift", 8))
     return advice.report_sections(
         item_classes(t), metrics.wastage_q3(t.wastage, "Item_ID"), customers.segment_labels(place_profiles(t)), customers.churn_q3(visits(t)), rules, mean,
-        metrics.price_change_label(t.prices, t.lines), metrics.by_key_line_mean(t.stored_sales, ["Location_ID"]), simple_advice(t),
+        metrics.price_change_label(t.prices, t.lines), metrics.by_key_line_mean(t.sales, ["Location_ID"]), simple_advice(t),
     )
 
 
@@ -645,7 +651,7 @@ def rpt_sections(t):
 def agg_legacy_summary(t):
     compared = stats.agreement_median(cases(t), "seasonal", "rolling")
     return metrics.summary(
-        menu.item_stats(t.stored_sales, t.menu, t.raw_ratings, t.wastage), metrics.rfm(t.stored_sales), metrics.by_key_line_mean(t.stored_sales, ["Location_ID"]), simple_advice(t), compared
+        menu.item_stats(t.sales, t.menu, t.raw_ratings, t.wastage), metrics.rfm(t.sales), metrics.by_key_line_mean(t.sales, ["Location_ID"]), simple_advice(t), compared
     )
 
 

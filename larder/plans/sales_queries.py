@@ -232,19 +232,20 @@ def jn_anti(t):
     return facts.unknown(t.orders, t.lines, "Order_ID").select("Order_ID", "Channel")
 
 
-@query("jn_grid", """SELECT k.Item_ID, k.Location_ID, CAST(d.Week AS VARCHAR) AS Week, CAST(w.Wasted AS BIGINT) AS Wasted FROM
-    (SELECT DISTINCT Item_ID, Location_ID FROM wastage WHERE Reason = 'Overproduction') k
-    CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '2001-06-04', DATE '2001-10-29', INTERVAL 7 DAY)) AS DATE) AS Week) d
-    LEFT JOIN (SELECT Item_ID, Location_ID, CAST(date_trunc('week', Wastage_Date) AS DATE) AS Week, sum(Quantity_Wasted) AS Wasted
-               FROM wastage GROUP BY 1, 2, 3) w ON k.Item_ID = w.Item_ID AND k.Location_ID = w.Location_ID AND d.Week = w.Week""")
+@query("jn_grid", """WITH ww AS (SELECT Item_ID, Location_ID, CAST(date_trunc('week', Wastage_Date) AS DATE) AS Week, sum(Quantity_Wasted) AS Wasted FROM wastage GROUP BY 1, 2, 3),
+    d AS (SELECT CAST(unnest(generate_series((SELECT min(Week) FROM ww), (SELECT max(Week) FROM ww), INTERVAL 7 DAY)) AS DATE) AS Week)
+    SELECT k.Item_ID, k.Location_ID, year(d.Week) AS Year, count(*) AS weeks, count(w.Wasted) AS known_weeks, CAST(coalesce(sum(w.Wasted), 0) AS BIGINT) AS Wasted
+    FROM (SELECT DISTINCT Item_ID, Location_ID FROM ww) k CROSS JOIN d LEFT JOIN ww w ON k.Item_ID = w.Item_ID AND k.Location_ID = w.Location_ID AND d.Week = w.Week GROUP BY 1, 2, 3""")
 def jn_grid(t):
     pair = ["Item_ID", "Location_ID"]
     weekly = t.wastage.groupBy(*pair, F.to_date(F.date_trunc("week", "Wastage_Date")).alias("Week")).agg(
         F.sum("Quantity_Wasted").alias("Wasted")
     )
-    keys = listing.distinct_pairs(t.wastage.where(F.col("Reason") == "Overproduction"), pair)
-    weeks = facts.grid(keys, F.lit(date(2001, 6, 4)), F.lit(date(2001, 10, 29)), "7 DAYS", "Week")
-    return weeks.join(weekly, [*pair, "Week"], "left")
+    low, high = (weekly.agg(f("Week")).scalar() for f in (F.min, F.max))
+    weeks = facts.grid(listing.distinct_pairs(t.wastage, pair), low, high, "7 DAYS", "Week")
+    return weeks.join(weekly, [*pair, "Week"], "left").groupBy(*pair, F.year("Week").cast("long").alias("Year")).agg(
+        F.count(F.lit(1)).alias("weeks"), F.count("Wasted").alias("known_weeks"), F.coalesce(F.sum("Wasted"), F.lit(0)).alias("Wasted")
+    )
 
 
 @query("jn_lookup", """SELECT m.Item_ID, CAST(coalesce(wastage_quantity, 0) AS BIGINT) AS wastage_quantity, CAST(coalesce(wastage_cost, 0) AS DOUBLE) AS wastage_cost
@@ -432,10 +433,10 @@ def agg_promo_dependency(t):
     return metrics.promo_dependency(t.sales).withColumn("promotion_dependency", F.round("promotion_dependency", 8))
 
 
-@query("agg_repeat_rate", """SELECT Category_ID, round(avg(CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END), 8) AS repeat_purchase_rate FROM (
-    SELECT Category_ID, Customer_ID, count(DISTINCT Order_ID) AS n FROM sales GROUP BY 1, 2) GROUP BY 1""")
+@query("agg_repeat_rate", """SELECT Item_ID, round(avg(CASE WHEN n > 1 THEN 1.0 ELSE 0.0 END), 8) AS repeat_purchase_rate FROM (
+    SELECT Item_ID, Customer_ID, count(DISTINCT Order_ID) AS n FROM sales GROUP BY 1, 2) GROUP BY 1""")
 def agg_repeat_rate(t):
-    return metrics.repeat_rate(t.sales, "Category_ID").withColumn("repeat_purchase_rate", F.round("repeat_purchase_rate", 8))
+    return metrics.repeat_rate(t.sales).withColumn("repeat_purchase_rate", F.round("repeat_purchase_rate", 8))
 
 
 @query("agg_trend_30d", "SELECT Item_ID, recent_units, previous_units, round(sales_trend_percent, 6) AS sales_trend_percent FROM trend", SCOPED)

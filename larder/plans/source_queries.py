@@ -228,7 +228,7 @@ def cln_enum(t):
     return t.raw_orders.where(~known(F.col("Channel"), CHANNELS)).select("Order_ID", "Channel")
 
 
-@query("cln_dedup_first", "SELECT Order_Item_ID, Item_ID, Quantity, CAST(Unit_Price AS DOUBLE) AS Unit_Price FROM lines")
+@query("cln_dedup_first", "SELECT Order_Item_ID, Item_ID, Quantity, CAST(Unit_Price AS DOUBLE) AS Unit_Price FROM first_lines_raw")
 def cln_dedup_first(t):
     return cleaning.dedup_first(t.raw_lineitem, "Order_Item_ID", t.line_order()).select("Order_Item_ID", "Item_ID", "Quantity", "Unit_Price")
 

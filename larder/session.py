@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(name: str = "larder", cpus: str | int = "*", memory: str = "8g") -> SparkSession:
@@ -60,11 +61,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame, rows_per_task: int = 5_000) -> DataFrame:
-    """Give a stored training table enough partitions for compute-bound fitting.
+#: Partitions of a stored training table: the same for every cluster and size, as sampled models depend on it.
+TRAINING_PARTITIONS = 16
 
-    Partitions are sized by bytes after a shuffle, which leaves a few megabytes of training rows
-    to one core. ``df`` must be stored already, since its rows are counted first.
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a stored training table over a fixed number of partitions by its values, in order inside each.
+
+    Bagging and seeding draw per partition. With the place and order of every row given by its values, one
+    table fits one model, whatever the cores, files or row order.
     """
-    wanted = min(df.count() // rows_per_task + 1, df.sparkSession.sparkContext.defaultParallelism)
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
+    key = F.xxhash64(*[F.col(c) for c in df.columns])
+    return df.repartition(TRAINING_PARTITIONS, key).sortWithinPartitions(key)

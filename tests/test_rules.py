@@ -70,6 +70,9 @@ def test_sensitivity_and_trap(rows):
     df = rows("a double, b double, c double, d double", [(100.0, 100.0, 50.0, 20.0), (100.0, 140.0, 100.0, 10.0), (100.0, 140.0, 100.0, 75.0), (100.0, 140.0, 100.0, 110.0), (100.0, 140.0, 100.0, 95.0), (0.0, 1.0, 1.0, 1.0)])
     got = [r[0] for r in df.select(events.sensitivity(*[F.col(c) for c in "abcd"])).collect()]
     assert got == ["NOT VERIFIABLE", "HIGH", "MODERATE", "UNDETERMINED", "LOW", "NOT VERIFIABLE"]
+    # Exactly at the limits of one half, one and 0.005.
+    edge = rows("a double, b double, c double, d double", [(100.0, 110.0, 100.0, 90.0), (100.0, 60.0, 100.0, 120.0), (200.0, 201.0, 100.0, 99.9)])
+    assert [r[0] for r in edge.select(events.sensitivity(*[F.col(c) for c in "abcd"])).collect()] == ["HIGH", "MODERATE", "LOW"]
     pair = rows("o0 long, o1 long, q0 long, q1 long, c0 double, c1 double", [(0, 5, 1, 2, 2.0, 1.0), (3, 5, 1, 2, 2.0, 1.0), (3, 5, 1, 2, 1.0, 2.0)])
     trap = events.promo_trap(*[(F.col(f"{c}0"), F.col(f"{c}1")) for c in "oqc"])
     assert [r[0] for r in pair.select(trap).collect()] == [None, True, False]

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.scalar import same_text
+from larder.sources import contract
 
 # The filters each report accepts, the classes and the status names.
 SUPPORTED = {
@@ -30,7 +31,7 @@ RISKS = ("LOW", "MEDIUM", "HIGH")
 
 @dataclass(frozen=True)
 class Filters:
-    """Optional filters of a report; dates are inclusive local days."""
+    """Optional filters of a report; dates are inclusive local days. The field names are fixed by the contract."""
 
     date_from: date | None = None
     date_to: date | None = None
@@ -44,13 +45,15 @@ class Filters:
     slow_status: str | None = None
     rating: float | None = None
     wastage_risk: str | None = None
+    #: The channels there are; not a filter itself.
+    channels: tuple[str, ...] = contract.CHANNELS
 
     def __post_init__(self):
         if self.date_from and self.date_to and self.date_from > self.date_to:
-            raise ValueError("date_from must not be after date_to")
+            raise ValueError("date_from lies after date_to")
         if self.rating is not None and not 1 <= self.rating <= 5:
             raise ValueError("rating must be between 1 and 5")
-        for name, allowed in (("performance_class", CLASSES), ("slow_status", SLOW_STATUSES), ("wastage_risk", RISKS)):
+        for name, allowed in (("performance_class", CLASSES), ("slow_status", SLOW_STATUSES), ("wastage_risk", RISKS), ("channel", self.channels)):
             if getattr(self, name) not in (None, *allowed):
                 raise ValueError(f"unknown {name}")
         for name in ("location_id", "item_id", "category_id", "promotion_id"):
@@ -60,7 +63,7 @@ class Filters:
 
     def for_report(self, report: str) -> Filters:
         """The same filters, or an error if the report does not support one of them."""
-        given = {f.name for f in fields(self) if getattr(self, f.name) is not None}
+        given = {f.name for f in fields(self) if getattr(self, f.name) is not None} - {"channels"}
         extra = sorted(given - SUPPORTED[report])
         if extra:
             raise ValueError(f"unsupported {report} filter: {', '.join(extra)}")

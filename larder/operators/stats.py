@@ -37,14 +37,20 @@ def unusual_orders(sales: DataFrame, rate: float = 0.5, q: float = 0.999) -> Dat
     return orders.where(F.coalesce(share > rate, F.lit(False)) | (F.col("quantity") > F.lit(cut)))
 
 
-def rating_bursts(ratings: DataFrame, day: str, z: float = 3.0, min_n: int = 5) -> DataFrame:
-    """Item days with unusually many ratings, measured over the days that have any."""
+def rating_bursts(ratings: DataFrame, day: str, z: float = 3.0, min_n: int = 5, sold: DataFrame | None = None, n: int = 100) -> DataFrame:
+    """The ``n`` item days with the most unusual number of ratings, measured over the days that have any.
+
+    With ``sold`` lines, only ratings of an item in an order that sold it count.
+    """
+    if sold is not None:
+        ratings = ratings.join(sold.select("Order_ID", "Item_ID").distinct(), ["Order_ID", "Item_ID"], "left_semi")
     daily = ratings.groupBy("Item_ID", F.col(day).alias("Rating_Day")).agg(
         F.count(F.lit(1)).alias("count"), F.avg("Stars").alias("average_stars"),
         F.avg((F.col("Stars") == 5).cast("double")).alias("five_star_rate"),
     )
     scored = daily.withColumn("count_z_score", windows.zscore("count", ["Item_ID"], null_spread_as_one=True))
-    return scored.where((F.col("count") >= min_n) & (F.round("count_z_score", 9) > z))
+    flagged = scored.where((F.col("count") >= min_n) & (F.round("count_z_score", 9) > z))
+    return flagged.orderBy(F.round("count_z_score", 9).desc(), "Item_ID", "Rating_Day").limit(n)
 
 
 def errors(df: DataFrame, actual: str, predictions: dict[str, str], by: Sequence[str] = ()) -> DataFrame:

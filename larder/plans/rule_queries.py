@@ -524,7 +524,7 @@ def stat_unusual_orders(t):
 
 @query("stat_rating_burst", """SELECT Item_ID, CAST(Rating_Day AS VARCHAR) AS Rating_Day, n AS count, round(s, 8) AS average_stars, round(f, 8) AS five_star_rate, round(z, 6) AS count_z_score FROM
     (SELECT *, (n - avg(n) OVER w) / CASE WHEN coalesce(stddev_samp(n) OVER w, 1) = 0 THEN 1 ELSE coalesce(stddev_samp(n) OVER w, 1) END AS z FROM (SELECT Item_ID, Rating_Day, count(*) AS n, avg(Stars) AS s, avg(CASE WHEN Stars = 5 THEN 1.0 ELSE 0.0 END) AS f
-    FROM event_ratings WHERE Stars BETWEEN 1 AND 5 GROUP BY 1, 2) WINDOW w AS (PARTITION BY Item_ID)) WHERE n >= 5 AND round(z, 9) > 1.5""")
+    FROM event_ratings WHERE Stars BETWEEN 1 AND 5 GROUP BY 1, 2) WINDOW w AS (PARTITION BY Item_ID)) WHERE n >= 5 AND round(z, 9) > 1.5 ORDER BY round(z, 9) DESC, Item_ID, Rating_Day LIMIT 100""")
 def stat_rating_burst(t):
     valid = t.event_ratings.where(F.col("Stars").between(1, 5))
     found = stats.rating_bursts(valid, "Rating_Day", z=1.5)

@@ -6,7 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from larder.binding import Tables
+from larder.binding import CHANNELS, Tables
 from larder.functions import calendar, scalar, windows
 from larder.functions import ordering
 from larder.operators import facts, filters, listing, metrics
@@ -135,7 +135,7 @@ def flt_completed(t):
     return facts.completed(t.orders).groupBy("Channel").agg(F.count(F.lit(1)).alias("orders"))
 
 
-WINDOW = filters.Filters(date_from=date(1996, 3, 1), date_to=date(1999, 6, 30), channel="2-HIGH")
+WINDOW = filters.Filters(date_from=date(1996, 3, 1), date_to=date(1999, 6, 30), channel="2-HIGH", channels=CHANNELS)
 
 
 @query("flt_analytics", f"""SELECT Item_ID, {MEASURES} FROM sales WHERE Date BETWEEN DATE '1996-03-01' AND DATE '1999-06-30'
@@ -376,7 +376,7 @@ def agg_daily_demand(t):
     return metrics.daily_demand(t.sales)
 
 
-SCOPE = filters.Filters(date_from=date(1996, 1, 1), date_to=date(2000, 12, 31), category_id=7, channel="5-LOW")
+SCOPE = filters.Filters(date_from=date(1996, 1, 1), date_to=date(2000, 12, 31), category_id=7, channel="5-LOW", channels=CHANNELS)
 
 
 @query("agg_executive", """WITH s AS (SELECT * FROM sales WHERE Date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND Category_ID = 7 AND Channel = '5-LOW')

@@ -102,14 +102,20 @@ def src_required_enum(t):
     return raw.contract_violations(typed, ["Order_ID", "Customer_ID"], {"Channel": CHANNELS, "Order_Status": contract.STATUSES})
 
 
-@query("src_snapshot_manifest")
+@query("src_snapshot_manifest", """SELECT 'order_items_validated' AS table_name, 'same' AS verdict, (SELECT count(*) FROM lines) AS rows, 1 AS folders UNION ALL SELECT 'menu_items_validated', 'same', (SELECT count(*) FROM menu), 1
+    UNION ALL SELECT 'sales_validated', 'same', (SELECT count(*) FROM sales), (SELECT count(DISTINCT Location_ID) FROM sales)""")
 def src_snapshot_manifest(t):
     folder = scratch_path(t.spark, "snapshot")
-    names = ["order_items_validated", "menu_items_validated"]
-    snapshot.write_clean({names[0]: t.lines, names[1]: t.menu}, folder)
+    flat = {"order_items_validated": t.lines, "menu_items_validated": t.menu}
+    names = [*flat, "sales_validated"]
+    snapshot.write_clean(flat, folder)
+    snapshot.write_partitioned(t.sales, f"{folder}/sales_validated")
     snapshot.write_manifest(t.spark, folder, names)
     snapshot.verify_manifest(t.spark, folder, names)
-    return snapshot.manifest_differences(t.spark, folder, names)
+    rows = t.spark.read.json(f"{folder}/manifest").groupBy("table_name").agg(F.max("rows").alias("rows"))
+    place = F.regexp_extract("file", "^(.*/)?", 1)
+    verdicts = snapshot.manifest_differences(t.spark, folder, names).groupBy("table_name", "verdict").agg(F.count_distinct(place).alias("folders"))
+    return verdicts.join(rows, "table_name")
 
 
 @query("src_ingest_summary")

@@ -65,11 +65,12 @@ def materialise(df: DataFrame) -> DataFrame:
 TRAINING_PARTITIONS = 16
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Deal a stored training table over a fixed number of partitions by its values, in order inside each.
 
     Bagging and seeding draw per partition. With the place and order of every row given by its values, one
-    table fits one model, whatever the cores, files or row order.
+    table fits one model, whatever the cores, files or row order. ``columns`` name the values where others
+    are computed sums, whose last digits depend on that order.
     """
-    key = F.xxhash64(*[F.col(c) for c in df.columns])
+    key = F.xxhash64(*[F.col(c) for c in columns or df.columns])
     return df.repartition(TRAINING_PARTITIONS, key).sortWithinPartitions(key)

@@ -27,8 +27,10 @@ def header(spark: SparkSession, path: str) -> list[str]:
     """Column names of one CSV file (reads its first line only)."""
     try:
         return spark.read.option("header", True).csv(path).columns
-    except Exception as error:
-        raise IngestionError(f"missing or unreadable file {path}") from error
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise IngestionError(f"missing file {path}") from error
 
 
 def checked_header(spark: SparkSession, table: str, paths: Sequence[str]) -> list[str]:
@@ -163,16 +165,16 @@ def table_shapes(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def ingest_summary(frames: dict[str, DataFrame]) -> DataFrame:
-    """Rows, columns, schema text and partitions per loaded table."""
+    """Rows, columns, schema text and number of input files per loaded table."""
     shapes = table_shapes(frames)
     notes = F.create_map(
         *[x for name, df in frames.items() for x in (F.lit(name), F.lit(df.schema.json()))]
     )
     parts = F.create_map(
-        *[x for name, df in frames.items() for x in (F.lit(name), F.lit(df.rdd.getNumPartitions()))]
+        *[x for name, df in frames.items() for x in (F.lit(name), F.lit(len(df.inputFiles())))]
     )
     return shapes.withColumns(
-        {"schema": notes[F.col("table_name")], "input_partitions": parts[F.col("table_name")],
+        {"schema": notes[F.col("table_name")], "input_files": parts[F.col("table_name")],
          "schema_version": F.lit(contract.RAW_VERSION)}
     )
 

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from larder.sources import contract
 
 
+#: Rows of a data file at most, so that a digest can hold a file's bytes in one row (below 2 GB).
+ROWS_PER_FILE = 5_000_000
+
+
 def write_clean(frames: dict[str, DataFrame], folder: str) -> None:
     """One Parquet table per frame."""
     for name, df in frames.items():
-        df.write.parquet(f"{folder}/{name}")
+        df.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{folder}/{name}")
 
 
-def write_partitioned(sales: DataFrame, folder: str, column: str = "Location_ID", rows_per_file: int = 5_000_000) -> DataFrame:
+def write_partitioned(sales: DataFrame, folder: str, column: str = "Location_ID", rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Sales partitioned for pruning by a column; returns rows per partition.
 
     The rebalance hint gathers a location's rows into few files, and splits a location that
@@ -26,24 +30,33 @@ def write_partitioned(sales: DataFrame, folder: str, column: str = "Location_ID"
 
 
 def file_digests(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
-    """SHA-256 and size of every data file of the named tables, computed by the executors."""
+    """SHA-256 and size of every data file of the named tables, computed by the executors.
+
+    ``file`` is the path inside the table, so files of a partitioned table keep their partition folders.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
     found = files.load([f"{folder}/{n}" for n in names])
-    parts = F.split("path", "/")
+    place = r"/([^/=]+)/((?:[^/]+=[^/]*/)*[^/]+)$"
     return found.select(
-        F.element_at(parts, -2).alias("table_name"), F.element_at(parts, -1).alias("file"),
+        F.regexp_extract("path", place, 1).alias("table_name"), F.regexp_extract("path", place, 2).alias("file"),
         F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"),
     )
 
 
-def write_manifest(spark: SparkSession, folder: str, names: list[str], version: str = contract.CLEAN_VERSION) -> None:
-    """Record version, digest and size of every file and the row count of every table."""
+def row_counts(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """Rows of every named table, in one query."""
     counts = None
     for name in names:
         one = spark.read.parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("rows")).withColumn("table_name", F.lit(name))
         counts = one if counts is None else counts.unionByName(one)
-    listing = file_digests(spark, folder, names).join(counts, "table_name").withColumn("version", F.lit(version))
-    listing.write.json(f"{folder}/manifest")
+    return counts
+
+
+def write_manifest(spark: SparkSession, folder: str, names: list[str], version: str = contract.CLEAN_VERSION) -> None:
+    """Record version, digest and size of every file and the row count of every table; every file must belong to one."""
+    listing = file_digests(spark, folder, names).join(row_counts(spark, folder, names), "table_name", "left")
+    known = F.coalesce("rows", F.raise_error(F.concat(F.lit("no table for file "), "table_name", F.lit("/"), "file")).cast("long"))
+    listing.withColumns({"rows": known, "version": F.lit(version)}).write.json(f"{folder}/manifest")
 
 
 def manifest_differences(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
@@ -71,10 +84,10 @@ def verify_manifest(spark: SparkSession, folder: str, names: list[str], version:
         raise ValueError("unsupported snapshot version")
     if found["different"]:
         raise ValueError(f"snapshot hash mismatch or file set differs: {found['different']} files")
-    rows = spark.read.json(f"{folder}/manifest").groupBy("table_name").agg(F.max("rows").alias("rows"))
-    for r in rows.collect():
-        if spark.read.parquet(f"{folder}/{r['table_name']}").count() != r["rows"]:
-            raise ValueError(f"row count of {r['table_name']} differs from the manifest")
+    kept = spark.read.json(f"{folder}/manifest").groupBy("table_name").agg(F.max("rows").alias("kept"))
+    wrong = row_counts(spark, folder, names).join(kept, "table_name").where(F.col("rows") != F.col("kept")).select("table_name").collect()
+    if wrong:
+        raise ValueError(f"row counts of {sorted(r[0] for r in wrong)} differ from the manifest")
 
 
 def register(spark: SparkSession, folder: str, tables: dict[str, str] | None = None) -> list[str]:

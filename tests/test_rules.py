@@ -97,6 +97,8 @@ def test_filter_contract():
         filters.Filters(channel="App").for_report("wastage")
     with pytest.raises(ValueError):
         filters.Filters(location_id=0)
+    with pytest.raises(ValueError, match="channel"):
+        filters.Filters(channel="Carrier pigeon")
     assert filters.Filters(location_id=3).for_report("customers").location_id == 3
 
 

@@ -10,6 +10,7 @@ many rows share one value, that value is a single row after the first aggregatio
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,9 @@ from larder.session import materialise
 
 # Distinct values one task accumulates.
 PER_RANGE = 500_000
+# A wanted quantile is bracketed by shares this far to either side; a bracket is sorted in so many ranges.
+SLACK = 0.001
+RANGES = 200
 
 
 def _range_of(cuts: dict[str, list[float]]) -> Column:
@@ -124,14 +128,63 @@ def _quantile(metric: str, share: float) -> Column:
     return at(low) + (at(high) - at(low)) * F.max(F.when(mine, place - low))
 
 
+def _near_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> dict[str, float | None] | None:
+    """Exact quantiles without storing the column: two scans, and only values near the wanted ranks are sorted.
+
+    The first scan brackets every wanted rank by approximate quantiles, the second counts what lies below each
+    bracket and keeps the few values inside. None if a rank lies outside its bracket.
+    """
+    if not wanted:
+        return {}
+    value = {name: F.col(column).cast("double") for name, (column, _) in wanted.items()}
+    shares = {name: (max(share - SLACK, 0.0), min(share + SLACK, 1.0)) for name, (_, share) in wanted.items()}
+    first = df.agg(
+        *[F.percentile_approx(value[name], F.array(*map(F.lit, shares[name])), F.lit(10_000)).alias(f"cuts_{name}") for name in wanted],
+        *[F.count(value[name]).alias(f"n_{name}") for name in wanted],
+    ).first()
+    held = [name for name in wanted if first[f"n_{name}"]]
+    if not held:
+        return dict.fromkeys(wanted)
+    low = {name: first[f"cuts_{name}"][0] for name in held}
+    high = {name: first[f"cuts_{name}"][1] for name in held}
+    inside = {name: F.when(value[name].between(low[name], high[name]), value[name]) for name in held}
+    # Rows outside all brackets count as nulls of the reduced table, one row per set of values.
+    under = [F.sum(F.when(value[name] < low[name], F.lit(1)).otherwise(0)).alias(f"under_{name}") for name in held]
+    near = materialise(df.groupBy(*[inside[name].alias(name) for name in held]).agg(F.count(F.lit(1)).alias("rows"), *under))
+    below = near.agg(*[F.sum(f"under_{name}").alias(name) for name in held]).first()
+    found: dict[str, float | None] = dict.fromkeys(wanted)
+    for name in held:
+        counted = near.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.sum("rows").alias("ties"))
+        place = wanted[name][1] * (first[f"n_{name}"] - 1) - below[name]
+        run = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        steps = (high[name] - low[name]) / RANGES or 1.0
+        ranged = counted.withColumn("range", F.least(F.floor((F.col("value") - low[name]) / steps), F.lit(RANGES - 1)))
+        total = ranged.groupBy("range").agg(F.sum("ties").alias("inside"))
+        # At most RANGES rows.
+        offset = total.withColumn("before", F.sum("inside").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("inside"))
+        placed = ranged.withColumn("upto", F.sum("ties").over(run)).join(offset.select("range", "before"), "range").withColumn("upto", F.col("upto") + F.col("before"))
+        pick = lambda k: F.min(F.when(F.col("upto") > k, F.col("value")))
+        lower, upper = math.floor(place), math.ceil(place)
+        at = placed.agg(pick(lower).alias("low"), pick(upper).alias("high")).first()
+        if lower < 0 or at["high"] is None:
+            return None
+        found[name] = at["low"] + (at["high"] - at["low"]) * (place - lower)
+    return found
+
+
 def quantiles(df: DataFrame, column: str, shares: dict[str, float], by: Sequence[str] = (), stored: bool = False) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per group (one row in all without ``by``)."""
+    if not by and (found := _near_quantiles(df, {name: (column, share) for name, share in shares.items()})) is not None:
+        return df.sparkSession.range(1).select(*[F.lit(found[name]).cast("double").alias(name) for name in shares])
     positions = value_positions(df, [column], by, stored=stored)
     return positions.groupBy(*by).agg(*[_quantile(column, share).alias(name) for name, share in shares.items()])
 
 
 def quantile_values(df: DataFrame, wanted: dict[str, tuple[str, float]], stored: bool = False) -> dict[str, float | None]:
-    """Quantiles of several columns as numbers that steer later steps, in one pass."""
+    """Quantiles of several columns as numbers that steer later steps."""
+    found = _near_quantiles(df, wanted)
+    if found is not None:
+        return found
     positions = value_positions(df, list(dict.fromkeys(c for c, _ in wanted.values())), stored=stored)
     return positions.agg(*[_quantile(c, share).alias(name) for name, (c, share) in wanted.items()]).first().asDict()
 

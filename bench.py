@@ -26,7 +26,8 @@ from larder.sources.raw import replicate  # noqa: E402
 HEADLINE = (
     "agg_menu_profit", "agg_peaks", "agg_executive", "agg_rfm", "jn_integrated", "jn_asof_price", "cln_line_values", "dq_profile",
     "src_typed_csv", "rule_menu_class", "rule_slow_moving", "rule_price_windows", "rule_promo_windows", "rule_churn", "bsk_rules",
-    "stat_sales_anomaly", "stat_quantile", "fc_features", "ml_wastage_sparse", "rule_what_if",
+    "stat_sales_anomaly", "stat_quantile", "fc_features", "ml_wastage_sparse", "rule_what_if", "jn_basket_pairs", "dq_quality_report",
+    "rule_recommendations", "rpt_sections", "fc_location_rf", "ml_rfm_kmeans",
 )
 REPLICA_LINES = 5_000_000
 

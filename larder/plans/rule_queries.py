@@ -147,9 +147,9 @@ def agg_slow_status_counts(t):
     return metrics.slow_counts(assessed(t))
 
 
-@query("agg_item_one", f"SELECT Item_ID, {SLOW_OUT} FROM slow WHERE Item_ID = 17", SLOW)
+@query("agg_item_one", f"SELECT Item_ID, {SLOW_OUT} FROM slow w WHERE Item_ID = 17", SLOW)
 def agg_item_one(t):
-    return menu.menu_item(assessed(t), 17).select("Item_ID", "Slow_Moving_Status", "Severity", "history_days", "days_since_last_purchase")
+    return menu.menu_item(assessed(t), 17).select("Item_ID", *SLOW_COLUMNS)
 
 
 # -- median rules ------------------------------------------------------------------------------------

@@ -6,13 +6,14 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from larder.plans import catalogue
 
 duckdb = pytest.importorskip("duckdb")
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
-QUERIES, ORACLE = contract.queries(), contract.oracle_sql()
-# Model fits are covered by tests/test_series.py; here one of each kind is enough.
-SLOW_MODELS = {"fc_multigrain", "fc_serve", "fc_recursive", "ml_wastage_serve", "ml_segment_scope", "agg_profiles", "agg_segments_page"}
+QUERIES, ORACLE = catalogue.queries(), catalogue.oracle_sql()
+# The two boosted models of 120 rounds take minutes; tests/test_series.py covers their parts.
+SLOW_MODELS = {"ml_wastage_models", "ml_wastage_serve"}
 
 
 @pytest.fixture(scope="module")

@@ -110,6 +110,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", d
     body = whole(F.col(f"`{text}`"))
     columns = [F.col(f"`{c}`") for c in keep]
 
+    made: list[Codec] = []  # one per task: the function is unpacked anew for each
+
+    def own_codec() -> Codec:
+        if not made:
+            made.append(Codec(ranks, pattern))
+        return made[0]
+
     def result(codec: Codec, ids: list[int]) -> tuple:
         return _digest(codec, ids) if digest else (ids,)
 
@@ -120,18 +127,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", d
         return pd.concat([left, new], axis=1)
 
     def short(frames):
-        codec = Codec(ranks, pattern)
+        codec = own_codec()
         for got in frames:
             yield frame(got.iloc[:, :-1], [result(codec, codec.encode(t)) for t in got.iloc[:, -1]], len(keep))
 
     def cut(frames):
-        codec = Codec(ranks, pattern)
+        codec = own_codec()
         for got in frames:
             got["~cuts"] = [codec.starts(t, o, last) for t, o, last in zip(got["~part"], got["~offset"], got["~last"])]
             yield got
 
     def join(_, got):
-        codec = Codec(ranks, pattern)
+        codec = own_codec()
         got = got.sort_values("~offset")
         pieces = codec.stitch(list(zip(got["~offset"], got["~part"], got["~cuts"].map(list))))
         ids = [i for p in pieces for i in codec.piece(p)]

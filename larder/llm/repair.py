@@ -34,6 +34,7 @@ RULES = 65_536 - BASE
 SHARD = 2_000_000
 ROUNDS, PER_ROUND, LEAST = 8, 4_096, 8
 END = 1
+CACHE = 800_000  # distinct parts a worker process remembers
 MARK = "\ue000"  # stands alone between words that are encoded together
 
 RECORD = T.StructType([
@@ -44,15 +45,14 @@ RECORD = T.StructType([
 
 def _occurrences(seq: np.ndarray, inner: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions and rule numbers of all replaceable pairs. ``inner``: the next symbol is of the same document."""
-    roles = np.zeros((2, int(max(seq.max(), left.max(), right.max())) + 1), bool)
-    roles[0, left], roles[1, right] = True, True
-    at = np.flatnonzero(roles[0, seq[:-1]] & roles[1, seq[1:]] & inner)
-    keys = left.astype(np.uint64) << np.uint64(32) | right
-    order = np.argsort(keys)
-    own = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-    k = np.minimum(np.searchsorted(keys[order], own), len(keys) - 1)
-    hit = keys[order][k] == own
-    at, rule = at[hit], order[k[hit]]
+    lefts, rights = np.unique(left), np.unique(right)
+    row, column = np.zeros(BASE + RULES, np.int16), np.zeros(BASE + RULES, np.int16)
+    row[lefts], column[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
+    table = np.full((len(lefts) + 1, len(rights) + 1), -1, np.int16)
+    table[row[left], column[right]] = np.arange(len(left))
+    at = np.flatnonzero((row[seq[:-1]] > 0) & (column[seq[1:]] > 0) & inner)
+    rule = table[row[seq[at]], column[seq[at + 1]]]
+    at, rule = at[rule >= 0], rule[rule >= 0]
     same = seq[at] == seq[at + 1]
     if same.any():  # of a run of equal symbols, the pairs at even steps from its start
         run = at[same]
@@ -75,7 +75,7 @@ def compress(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         inner = np.ones(len(seq) - 1, bool)
         edges = starts[1:-1] - 1
         inner[edges[(edges >= 0) & (edges < len(inner))]] = False
-        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:])[inner]
+        pairs = (seq[:-1] << np.uint32(16) | seq[1:])[inner]  # symbols take sixteen bits
         pairs.sort()
         first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]]) if len(pairs) else np.zeros(0, int)
         many = np.diff(np.r_[first, len(pairs)])
@@ -86,7 +86,7 @@ def compress(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         role: dict[int, int] = {}
         chosen = []
         for key in pairs[first[able]].tolist():
-            a, b = key >> 32, key & 0xFFFFFFFF
+            a, b = key >> 16, key & 0xFFFF
             if a == b:
                 if a not in role:
                     role[a] = 2
@@ -98,7 +98,7 @@ def compress(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
                 break
         new = np.array(chosen, np.uint32)
         at, rule = _occurrences(seq, inner, new[:, 0], new[:, 1])
-        seq[at] = (BASE + len(left) + rule).astype(np.uint32)
+        seq[at] = rule.astype(np.uint32) + np.uint32(BASE + len(left))
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
@@ -163,10 +163,10 @@ class Ragged:
     """Growing lists of numbers under codes 0, 1, 2 ..."""
 
     def __init__(self):
-        self.flat, self.ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.flat = np.concatenate([self.flat, flat])
+        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
 
     def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +178,7 @@ class Ragged:
 
 #: Parts of these characters (ASCII and Latin letters, without the one whose lower case is two characters) are
 #: unchanged by the tokenizer's composition step.
-PLAIN = r"[!-~\u00c0-\u012f\u0131-\u024f]*"
+ODD = r"[^\n!-~\u00c0-\u012f\u0131-\u024f]"
 #: The tokenizer's own pre-token pattern (fixed value).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
@@ -203,13 +203,16 @@ class Words:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
-        self.plain, self.pretokens = regex.compile(PLAIN), regex.compile(PRETOKEN)
+        self.odd, self.pretokens = regex.compile(ODD), regex.compile(PRETOKEN + r"|\n")
         self.mark = self._alone(MARK)
         self.clear()
 
     def clear(self) -> None:
         self.parts, self.pieces = Codes(), Codes()
         self.part_ids, self.piece_ids = Ragged(), Ragged()
+        self.closer = self.pieces["\n"]
+        self.pieces.taken()
+        self.piece_ids.add(np.zeros(0, np.int64), np.zeros(1, np.int64))
 
     def _alone(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -240,31 +243,35 @@ class Words:
         return out
 
     def _learn(self, fresh: list[str]) -> None:
-        """Give the next codes to ``fresh``: a part's ids are its pieces' ids; odd parts are pieces of their own."""
-        codes, find, plain = self.pieces.__getitem__, self.pretokens.findall, self.plain.fullmatch
-        rows = [list(map(codes, find(part.lower()))) if plain(part) else None for part in fresh]
+        """The ids of ``fresh`` under the next codes: a part's ids are its pieces' ids, odd parts are encoded whole."""
+        text = "\n".join(fresh)
+        ends = np.cumsum([len(p) + 1 for p in fresh])
+        odd = np.unique(np.searchsorted(ends, [m.start() for m in self.odd.finditer(text)], "right")).tolist()
+        if odd:
+            aside = set(odd)
+            text = "\n".join("" if k in aside else p for k, p in enumerate(fresh))
+        # One pass over all parts; a new line is a piece that closes a part and has no ids.
+        found = self.pretokens.findall(text.lower() + "\n")
+        codes = np.fromiter(map(self.pieces.__getitem__, found), np.int64, len(found))
         self._learn_pieces(self.pieces.taken())
-        odd = [k for k, row in enumerate(rows) if row is None]
+        ids, run = self.piece_ids.take(codes)
+        sizes = np.diff(run[np.concatenate([[0], np.flatnonzero(codes == self.closer) + 1])])
         if odd:
             usual = [fresh[k] for k in odd if MARK not in fresh[k]]
-            found, more, sizes = dict(zip(usual, self._marked(usual))), [], []
-            for k in odd:
-                ids = found[fresh[k]] if fresh[k] in found else self._alone(fresh[k])
-                rows[k] = [self.pieces[" " + fresh[k]]]  # no plain piece holds a space
-                more += ids
-                sizes.append(len(ids))
-            self.pieces.taken()
-            self.piece_ids.add(np.array(more, np.int64), np.array(sizes, np.int64))
-        ids, run = self.piece_ids.take(np.array([k for row in rows for k in row], np.int64))
-        pieces_of = np.cumsum([0, *map(len, rows)])
-        self.part_ids.add(ids, np.diff(run[pieces_of]))
+            known = dict(zip(usual, self._marked(usual)))
+            more = [np.array(known[fresh[k]] if fresh[k] in known else self._alone(fresh[k]), np.int64) for k in odd]
+            starts = np.concatenate([[0], np.cumsum(sizes)])[odd]
+            sizes[odd] = [len(m) for m in more]
+            ids = np.insert(ids, np.repeat(starts, sizes[odd]), np.concatenate(more))
+        self.part_ids.add(ids, sizes)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each closed by the end id, and where each text's begin (one more than texts)."""
-        if len(self.parts) > 1_000_000:
+        if len(self.parts) > CACHE:
             self.clear()
         code = self.parts.__getitem__
-        rows = [np.array(list(map(code, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))), np.int64) for text in texts]
+        split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
+        rows = [np.fromiter(map(code, parts), np.int64, len(parts)) for parts in split]
         if self.parts.fresh:
             self._learn(self.parts.taken())
         flat, run = self.part_ids.take(np.concatenate(rows) if rows else np.zeros(0, np.int64))
@@ -272,6 +279,17 @@ class Words:
         return np.insert(flat, cuts, END).astype(np.uint32), np.concatenate([[0], cuts + np.arange(1, len(rows) + 1)])
 
 
+def worker_words(model: str) -> Words:
+    """The words of this worker process, kept from task to task: functions come by value, so a module of its own holds them."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_larder_worker_words", types.ModuleType("_larder_worker_words"))
+    if getattr(held, "model", None) != model:
+        held.model, held.words = model, Words(model)
+    return held.words
+
+
 def write(docs: DataFrame, model_path: str, path: str, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> None:
     """Tokenise and compress ``docs`` into the record table at ``path``."""
     with open(model_path, encoding="utf-8") as file:
@@ -283,7 +301,7 @@ def write(docs: DataFrame, model_path: str, path: str, doc_id: str = "doc_id", t
     def run(batches):
         import pyarrow as pa
 
-        words, number = Words(model), 0
+        words, number = worker_words(model), 0
         kept: list = []
         size = 0
 

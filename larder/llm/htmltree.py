@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.text import whole
+from larder.llm.text import hashed_sample, whole
 
 SAMPLE = 600
 NODES = 400  # nodes of a page that training uses at most
@@ -242,7 +242,9 @@ def _training_rows(source: str) -> list[tuple[list[float], bool, int]]:
 
 
 def train(pages: DataFrame, page_id: str = "page_id", source: str = "html", sample: int = SAMPLE) -> Model:
-    chosen = pages.filter(F.col(f"`{source}`").rlike(r"(?i)<(article|main)[\s>]")).orderBy(F.xxhash64(F.col(f"`{page_id}`"), F.col(f"`{source}`"))).limit(sample).select(F.col(f"`{source}`").alias("html"))
+    # Counting reads no page; the pages near the start of the hash order are then looked at for article markup.
+    some = pages.select(F.col(f"`{page_id}`").alias("id"), F.col(f"`{source}`").alias("html"))
+    chosen = hashed_sample(some.filter(F.col("html").rlike(r"(?i)<(article|main)[\s>]")), sample, pages.count(), "id", spare=4.0).select("html")
 
     def run(frames):
         import pandas as pd

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.text import free_name, lower_ascii, whole, windows, words
+from larder.llm.text import free_name, hashed_sample, lower_ascii, whole, windows, words
 from larder.session import materialise
 
 SHINGLE, MAX_BITS = 3, 3
@@ -175,7 +175,7 @@ def links(nodes: DataFrame, name: str = "fingerprint", bits: int = MAX_BITS, sam
     """Links (a, b) between distinct fingerprints that connect exactly those within ``bits`` of each other."""
     spark = nodes.sparkSession
     total = nodes.count()
-    chosen = nodes.orderBy(F.xxhash64(F.lit(7), name)).limit(sample).select(name)
+    chosen = hashed_sample(nodes.select(name), sample, total, name)
     taken = np.array([r[0] for r in chosen.collect()], np.int64).view(np.uint64)
     leaf = max(int(shard * len(taken) / max(total, 1)), 8)
     trees = [grow(halves(taken, h), leaf) for h in (0, 1)]

@@ -41,3 +41,15 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def hashed_sample(df: DataFrame, rows: int, total: int, *columns: str, spare: float = 2.0) -> DataFrame:
+    """``rows`` rows in the order of a hash of ``columns``, out of about ``total``.
+
+    Only rows whose hash lies in a small enough share of all hashes reach the final sort, so one task sorts
+    about ``spare`` times the sample, however large ``df`` is.
+    """
+    mark, range_of = F.xxhash64(*[F.col(f"`{c}`") for c in columns]), 1 << 40
+    share = min(1.0, spare * max(rows, 1000) / max(total, 1))
+    near = df if share == 1.0 else df.filter(F.pmod(mark, F.lit(range_of)) < int(share * range_of))
+    return near.orderBy(F.pmod(mark, F.lit(range_of)), *[F.col(f"`{c}`") for c in columns]).limit(rows)

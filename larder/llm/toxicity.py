@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.text import whole
+from larder.llm.text import hashed_sample, whole
 
 SAMPLE = 12_000  # labelled documents a chain is fitted on
 TERMS = 300  # terms of the vocabulary
@@ -120,7 +120,7 @@ class Chain:
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> tuple[dict[str, int], Chain]:
     """The vocabulary and the fitted chain."""
     known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{toxic}`").cast("int").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
+    chosen = hashed_sample(known, sample, known.count(), "id")
     texts = docs.select(F.col(f"`{doc_id}`").alias("id"), letters(F.col(f"`{text}`")).alias("words"), whole(F.col(f"`{text}`")).alias("text"))
     # `chosen` has at most `sample` rows of two numbers.
     labelled = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"])

@@ -11,8 +11,12 @@ a few thousand partial sums, no rows are gathered, and integer moments make the
 the order of rows.
 
 Groups of fewer than ``min_group`` rows are judged together with the small groups of their language, and
-small languages together. Every covariance has ``FLOOR`` squared added to its diagonal, so constant
-statistics stay invertible. Null language or source is a value of its own.
+small languages together. Null language or source is a value of its own.
+
+A statistic that is the same in half of a group (most texts repeat no line) has no spread there that could
+tell ordinary from far. Its spread is then taken from the group's own rows that are near by the other
+statistics, at their 0.95 quantile, and squared it is added to the diagonal of the group's covariances. What
+19 in 20 of these rows show is ordinary; ``FLOOR`` only keeps statistics without any spread invertible.
 """
 
 from __future__ import annotations
@@ -27,8 +31,11 @@ from larder.session import materialise
 
 SYMBOLS = r"[#*$%&|<>]"
 SCALE = 1000  # statistics are kept as integers of thousandths
-#: Smallest standard deviation of each transformed statistic: differences below it are never called far.
-FLOOR = (0.6, 0.15, 0.10, 0.12, 0.12)
+#: Least standard deviation of each transformed statistic, for invertibility: of a share, 0.02 lets 1 % pass.
+FLOOR = (0.01, 0.01, 0.02, 0.02, 0.02)
+SHARES = (2, 3, 4)  # the statistics that are roots of a share, on one scale
+NEAR = 2.5  # robust deviations within which a row is near
+TAIL, TAIL_SD = (19, 20), 1.96  # quantile of the spread of a statistic that half of the rows share, in deviations
 LIMIT = 60.0  # no transformed statistic lies beyond it
 #: Chi-squared quantiles at five degrees of freedom (fixed values): median, 0.975 and 0.9999.
 CHI_HALF, CHI_MOST, CHI_FAR = 4.3515, 12.8325, 25.7448
@@ -90,11 +97,11 @@ def _moments(p: int) -> list[Column]:
 
 
 def _estimate(sums: DataFrame, p: int, inflate: float, keys: list[str]) -> DataFrame:
-    """Mean, Cholesky factor of the floored covariance times ``inflate``, and its log determinant, per row of sums."""
+    """Mean, Cholesky factor of the covariance times ``inflate`` with f{j} squared added, and its log determinant, per row of sums."""
     n = F.col("n").cast("double")
     mean = [F.col(f"s{j}").cast("double") / n for j in range(p)]
     frame = sums.select(*keys, *[(mean[j] / SCALE).alias(f"m{j}") for j in range(p)], *[
-        ((F.col(f"q{j}_{k}").cast("double") / n - mean[j] * mean[k]) / (SCALE * SCALE) * inflate + F.lit(FLOOR[j] ** 2 if j == k else 0.0)).alias(f"c{j}_{k}") for j, k in _pairs(p)])
+        ((F.col(f"q{j}_{k}").cast("double") / n - mean[j] * mean[k]) / (SCALE * SCALE) * inflate + (F.col(f"f{j}") * F.col(f"f{j}") if j == k else F.lit(0.0))).alias(f"c{j}_{k}") for j, k in _pairs(p)])
     for j, k in _pairs(p):  # row by row, each entry from those before it
         rest = total([F.col(f"c{j}_{k}"), *[-F.col(f"l{j}_{i}") * F.col(f"l{k}_{i}") for i in range(k)]])
         frame = frame.withColumn(f"l{j}_{k}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if j == k else rest / F.col(f"l{k}_{k}"))
@@ -119,27 +126,40 @@ def _nearest_half(binned: DataFrame, p: int, keys: list[str]) -> DataFrame:
     return reached.groupBy(*keys).agg(F.min_by(F.struct(*names), "bin").alias("s")).select(*keys, "s.*")
 
 
+def _quantile(table: DataFrame, value: str, name: str, share: tuple[int, int] = (1, 2)) -> DataFrame:
+    """The least value per group and statistic up to which ``share`` of the ``n`` rows lie."""
+    run = Window.partitionBy("g", "j").orderBy(value)
+    marked = table.withColumns({"~upto": F.sum("n").over(run.rangeBetween(Window.unboundedPreceding, 0)), "~all": F.sum("n").over(Window.partitionBy("g", "j"))})
+    return marked.filter(F.col("~upto") * share[1] >= F.col("~all") * share[0]).groupBy("g", "j").agg(F.min(value).alias(name))
+
+
 def _starts(vectors: DataFrame, p: int) -> DataFrame:
-    """First estimates per group and start: robust centre and spread, with three ways to correlate.
+    """Median m{j}, robust spread d{j} and floor f{j} of every statistic per group.
 
-    Medians and deviations come from one histogram per group and statistic, so they are exact to a thousandth.
+    Quantiles come from one histogram per group and statistic, so they are exact to a thousandth.
     """
     long = vectors.select("g", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"x{j}").alias("x")) for j in range(p)])).alias("v")).select("g", "v.*")
     hist = materialise(long.groupBy("g", "j", "x").agg(F.count("*").alias("n")))
-
-    def median(table: DataFrame, value: str, name: str) -> DataFrame:
-        run = Window.partitionBy("g", "j").orderBy(value)
-        marked = table.withColumns({"~upto": F.sum("n").over(run.rangeBetween(Window.unboundedPreceding, 0)), "~all": F.sum("n").over(Window.partitionBy("g", "j"))})
-        return marked.filter(F.col("~upto") * 2 >= F.col("~all")).groupBy("g", "j").agg(F.min(value).alias(name))
-
-    centre = median(hist, "x", "centre")
+    centre = _quantile(hist, "x", "centre")
     off = hist.join(centre, ["g", "j"]).withColumn("off", F.abs(F.col("x") - F.col("centre"))).groupBy("g", "j", "off").agg(F.sum("n").alias("n"))
-    both = centre.join(median(off, "off", "spread"), ["g", "j"])
-    return materialise(both.groupBy("g").agg(*[F.max(F.when(F.col("j") == j, F.col("centre") / SCALE)).alias(f"m{j}") for j in range(p)], *[F.max(F.when(F.col("j") == j, F.greatest(F.col("spread") * 1.4826 / SCALE, F.lit(FLOOR[j])))).alias(f"d{j}") for j in range(p)]))
-
-
-def _first_estimates(vectors: DataFrame, p: int) -> DataFrame:
-    centre = _starts(vectors, p)
+    both = centre.join(_quantile(off, "off", "spread"), ["g", "j"])
+    wide = materialise(both.groupBy("g").agg(*[F.max(F.when(F.col("j") == j, F.col(c))).alias(f"{c}{j}") for c in ("centre", "spread") for j in range(p)]))
+    # Statistics without a spread in half of the rows take it from the rows that the other statistics call near.
+    offs = [F.abs(F.col(f"x{j}") - F.col(f"centre{j}")) for j in range(p)]
+    near = vectors.join(wide.filter(F.least(*[F.col(f"spread{j}") for j in range(p)]) == 0), "g")
+    for j in range(p):
+        near = near.filter((F.col(f"spread{j}") == 0) | (offs[j] <= NEAR * 1.4826 * F.col(f"spread{j}")))
+    flat = near.select("g", F.explode(F.filter(F.array(*[F.struct(F.lit(j).alias("j"), F.when(F.col(f"spread{j}") == 0, offs[j]).alias("off")) for j in range(p)]), lambda v: v["off"].isNotNull())).alias("v")).select("g", "v.*")
+    tail = _quantile(flat.groupBy("g", "j", "off").agg(F.count("*").alias("n")), "off", "tail", TAIL)
+    tails = tail.groupBy("g").agg(*[F.max(F.when(F.col("j") == j, F.col("tail") / (TAIL_SD * SCALE))).alias(f"t{j}") for j in range(p)])
+    # A share is not held to less than half of what the most variable of the flat shares shows.
+    most = F.greatest(F.lit(0.0), *[F.col(f"t{j}") for j in SHARES])
+    floors = [F.greatest(F.lit(FLOOR[j]), F.col(f"t{j}"), *([F.when(F.col(f"t{j}").isNotNull(), most / 2)] if j in SHARES else [])) for j in range(p)]
+    joined = wide.join(tails, "g", "left").select("*", *[f.alias(f"f{j}") for j, f in enumerate(floors)])
+    return materialise(joined.select("g", *[(F.col(f"centre{j}") / SCALE).alias(f"m{j}") for j in range(p)], *[F.greatest(F.col(f"spread{j}") * 1.4826 / SCALE, F.col(f"f{j}")).alias(f"d{j}") for j in range(p)], *[f"f{j}" for j in range(p)]))
+
+
+def _first_estimates(vectors: DataFrame, centre: DataFrame, p: int) -> DataFrame:
     z = [(F.col(f"x{j}") / SCALE - F.col(f"m{j}")) / F.col(f"d{j}") for j in range(p)]
     size = F.greatest(F.sqrt(total([c * c for c in z])), F.lit(1e-9))
     ways = {"spread": None, "signs": [c / size for c in z], "ranks": [F.tanh(c) for c in z]}
@@ -165,18 +185,20 @@ def mcd(vectors: DataFrame, p: int, first_steps: int = 2, more_steps: int = 4) -
     Every start takes ``first_steps`` concentration steps; the one with the smallest determinant in a
     group takes ``more_steps`` further ones.
     """
-    now = _first_estimates(vectors, p)
+    centre = _starts(vectors, p)
+    floors = centre.select("g", *[f"f{j}" for j in range(p)])
+    now = _first_estimates(vectors, centre, p)
     for step in range(first_steps + more_steps):
         near = vectors.join(now.drop("logdet"), "g").withColumn("bin", _bin(_distance(p)))
         half = _nearest_half(near.groupBy("g", "start", "bin").agg(*_moments(p)), p, ["g", "start"])
-        now = _estimate(half, p, 1.0, ["g", "start"])
+        now = _estimate(half.join(floors, "g"), p, 1.0, ["g", "start"])
         if step == first_steps - 1:
             now = now.groupBy("g").agg(F.min_by(F.struct(*[c for c in now.columns if c != "g"]), F.struct("logdet", "start")).alias("e")).select("g", "e.*")
         now = materialise(now)
     # Consistency at the normal model for the half, then one reweighting at the 0.975 quantile.
     half_factor, most_factor = 0.5 / _chi7(CHI_HALF), 0.975 / _chi7(CHI_MOST)
     inner = vectors.join(now.drop("logdet", "start"), "g").filter(_distance(p) <= CHI_MOST * half_factor)
-    return materialise(_estimate(inner.groupBy("g").agg(*_moments(p)), p, most_factor, ["g"]).drop("logdet"))
+    return materialise(_estimate(inner.groupBy("g").agg(*_moments(p)).join(floors, "g"), p, most_factor, ["g"]).drop("logdet"))
 
 
 def _chi7(x: float) -> float:

@@ -57,6 +57,21 @@ def test_planted_outliers_and_clean_rows(spark):
     assert sum(got[i] for i in range(1200)) >= 1197
 
 
+def test_bars_after_every_word_are_far(spark):
+    """A statistic that is 0 in most texts takes its spread from the group, not from a constant."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    rows = [(i, " ".join(text(rng.randint(80, 400))), "en", "a") for i in range(900)]
+    for i in range(900, 1000):  # ordinary texts that repeat a passage
+        w = text(rng.randint(100, 300))
+        rows.append((i, " ".join(w + w[:10]), "en", "a"))
+    rows += [(5000 + i, " | ".join(text(120)), "en", "a") for i in range(30)]
+    got = {r["doc_id"]: r["kept"] for r in outliers.quality_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not any(got[5000 + i] for i in range(30))
+    assert sum(got[i] for i in range(1000)) >= 995
+
+
 def test_estimate_is_the_concentrated_half(spark):
     """After the last step, the kept half is the nearest half of its own estimate."""
     rng = np.random.default_rng(5)

@@ -140,6 +140,26 @@ def test_redaction(spark):
             assert r["text"] == before
 
 
+def test_loose_forms_are_added(spark):
+    """Spelled-out addresses and numbers go although the sample holds them; numbers of a table stay."""
+    rng = random.Random(11)
+    pick = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows, planted, plain = [], [], []
+    for k in range(1500):
+        rows.append((k, f"{pick(6)} mail {pick(5)}@{pick(5)}.org or call +1 (2{digits(2)}) {digits(3)}-{digits(4)} {pick(5)}, ref {digits(7)} and 300.{digits(2)}.1.1 {pick(4)}"))
+    for k in range(1500, 1800):
+        planted.append((k, f"{pick(5)} [at] {pick(5)} [dot] org", f"(2{digits(2)}) {digits(3)}-{digits(4)}"))
+        rows.append((k, f"{pick(6)} mail {planted[-1][1]} or call {planted[-1][2]} {pick(5)}"))
+    for k in range(1800, 2400):
+        plain.append((k, f"{digits(2)} {digits(3)} {digits(3)}"))
+        rows.append((k, f"{pick(6)}\n{plain[-1][1]}\n{pick(5)}"))
+    got = {r["doc_id"]: r["text"] for r in pii.redact(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert np.mean([mail not in got[k] for k, mail, _ in planted]) >= 0.9
+    assert np.mean([phone not in got[k] for k, _, phone in planted]) >= 0.9
+    assert np.mean([number in got[k] for k, number in plain]) >= 0.9
+
+
 def test_long_runs_take_linear_time(spark):
     df = spark.createDataFrame([(1, "a" * 300_000), (2, "1" * 300_000), (3, "a@" + "b." * 100_000), (4, "+1" + " " * 200_000)], "doc_id bigint, text string")
     assert pii.report(df).count() == 4

@@ -242,9 +242,10 @@ def _training_rows(source: str) -> list[tuple[list[float], bool, int]]:
 
 
 def train(pages: DataFrame, page_id: str = "page_id", source: str = "html", sample: int = SAMPLE) -> Model:
-    # Counting reads no page; the pages near the start of the hash order are then looked at for article markup.
+    # The share of the hash is one of the pages with article markup, so as many train however many others there are.
     some = pages.select(F.col(f"`{page_id}`").alias("id"), F.col(f"`{source}`").alias("html"))
-    chosen = hashed_sample(some.filter(F.col("html").rlike(r"(?i)<(article|main)[\s>]")), sample, pages.count(), "id", spare=4.0).select("html")
+    marked = some.filter(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
+    chosen = hashed_sample(marked, sample, marked.count(), "id", spare=4.0).select("html")
 
     def run(frames):
         import pandas as pd

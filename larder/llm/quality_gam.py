@@ -167,7 +167,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     rows = materialise(features(slim).withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))))
     known = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{quality}`").cast("int").alias("y")).filter("y IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
     learn = rows.filter(~F.col("held_out")).join(known, "doc_id").dropDuplicates(["doc_id"])
-    taken = hashed_sample(learn.select("doc_id", "x", "y"), sample, known.count(), "doc_id").collect()
+    taken = hashed_sample(learn.select("doc_id", "x", "y"), sample, learn.count(), "doc_id").collect()
     taken.sort(key=lambda r: r.doc_id)
     model = Gam.fit(np.array([r.x for r in taken], float).reshape(len(taken), len(FEATURES)), np.array([r.y > 0 for r in taken], float))
     out = T.StructType([*[rows.schema[c] for c in ("doc_id", "held_out")], T.StructField("score", T.DoubleType())])

@@ -44,6 +44,13 @@ def test_quality_held_out(spark):
     assert right >= 0.93 and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_labels_of_unknown_documents_take_no_place(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet").select("doc_id", "quality")
+    unknown = spark.range(10**9, 10**9 + 400_000).select(F.col("id").alias("doc_id"), F.lit(1).cast(labels.schema["quality"].dataType).alias("quality"))
+    few, many = ({r["doc_id"]: r["score"] for r in quality_gam.classify(docs, each).collect()} for each in (labels, labels.unionByName(unknown)))
+    assert few == many
+
+
 def test_gam_finds_an_interaction():
     rng = np.random.default_rng(2)
     x = rng.random((3000, 3))
@@ -101,6 +108,13 @@ def test_page(spark, none):
     assert htmltree.main_text(df.limit(0)).count() == 0
 
 
+def test_few_marked_pages_all_train(spark):
+    pages = spark.read.parquet(f"{LARGER}/pages.parquet").select("page_id", "html").orderBy("page_id").limit(30)
+    others = spark.range(10**6, 10**6 + 100_000).select(F.col("id").alias("page_id"), F.lit("<p>no mark</p>").alias("html"))
+    few, many = htmltree.train(pages), htmltree.train(pages.unionByName(others))
+    assert np.allclose(few.weights, many.weights) and np.allclose(few.edge, many.edge)
+
+
 def test_articles_of_the_pages(spark):
     import html
     import re

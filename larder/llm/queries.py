@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import bytebpe, chat, decontaminate, htmltree, outliers, pii, quality_gam, repair, simhash, toxicity
+from larder.llm import bytebpe, chat, decontaminate, htmltree, minhash, ns_kmeans, outliers, pii, quality_gam, repair, runs, simhash, toxicity
+from larder.llm.text import whole, words
 from larder.session import materialise, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +116,34 @@ def repair_tokens(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_html_extraction")
 def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return htmltree.main_text(table(spark, folder, "pages").select("page_id", "url", "html"))
+
+
+@query("op11_ns_bounds_clustering", sql=ns_kmeans.comparison_sql())
+def ns_bounds_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    found = ns_kmeans.inertia(ns_kmeans.cluster(table(spark, folder, "embeddings").select("vec_id", "embedding")))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.transform("centroid", lambda v: v.cast("string")), ","), 256).alias("centroid_sha256"))
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """The contract's texts: one document in ten, by the checksum of its id, ends in copies of some of its words. A null id has no checksum."""
+    mark = F.crc32(F.col("doc_id").cast("string"))
+    marked = docs.select("doc_id", whole(F.col("text")).alias("text"), F.when(mark % 10 == 0, words(whole(F.col("text")))).alias("w"), F.floor(mark / 10).cast("long").alias("g"))
+    placed = marked.withColumn("a", F.col("g") % F.nullif(F.size("w"), F.lit(0)))
+    placed = placed.withColumn("p", F.lit(1) + F.floor((F.size("w") - F.col("a")) / (F.lit(3) + F.col("g") % 8)).cast("long"))
+    source = lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    tailed = F.array_join(F.transform("w", source), " ")
+    return placed.select("doc_id", F.when(F.size("w") > 0, tailed).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = with_periodic_tails(table(spark, folder, "documents").select("doc_id", "text"))
+    found = runs.find_runs(docs).withColumn("best", runs.strongest(F.col("runs")))
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    exponent = F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, exponent, F.sha2(runs.listing(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_minhash_near_dedup")
+def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))

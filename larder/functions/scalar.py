@@ -80,9 +80,33 @@ def band(value: Column, cut: Column | float, names: tuple[str, str, str] = ("LOW
     )
 
 
-def half_up(value: Column, digits: int) -> Column:
-    """Rounded double, used for evidence and reports."""
-    return F.round(value.cast("double"), digits)
+def _halves(value: Column) -> tuple[Column, Column]:
+    """A double as the exact sum of two with half the digits each."""
+    wide = value * F.lit(134217729.0)
+    high = wide - (wide - value)
+    return high, value - high
+
+
+def round_exact(value: Column, digits: int) -> Column:
+    """The decimal of ``digits`` places that is nearest to the exact binary value of a double, ties to even.
+
+    ``F.round`` rounds the printed form, so 0.20375, stored just below itself, would go up. Here the product with
+    10^digits is known without error: its rounded value and the rest of a two-part multiplication. The rest
+    decides where the rounded product looks like a tie. Numbers too large to have such places stay as they are.
+    """
+    x, scale = value.cast("double"), F.lit(float(10**digits))
+    product = x * scale
+    (xh, xl), (sh, sl) = _halves(x), _halves(scale)
+    rest = ((xh * sh - product) + xh * sl + xl * sh) + xl * sl
+    nearest = F.rint(product)
+    tie = F.abs(product - nearest) == 0.5
+    whole = F.when(tie & (rest > 0), product + 0.5).when(tie & (rest < 0), product - 0.5).otherwise(nearest)
+    return F.when(F.abs(product) < float(2**52), whole / scale).otherwise(x)
+
+
+def round_exact_sql(value: str, digits: int) -> str:
+    """The same in comparison SQL, by exact printing."""
+    return f"CAST(format('{{:.{digits}f}}', CAST({value} AS DOUBLE)) AS DOUBLE)"
 
 
 def cents(value: Column) -> Column:

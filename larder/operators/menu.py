@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import ordering
-from larder.functions.scalar import clip, half_up, ratio
+from larder.functions.scalar import clip, ratio, round_exact
 from larder.operators import metrics
 from larder.session import materialise
 
@@ -93,13 +93,13 @@ def classify_items(g: DataFrame) -> DataFrame:
 def class_evidence() -> Column:
     """What a class rests on, rounded."""
     return F.struct(
-        half_up(F.col("sales_percentile"), 4).alias("sales_percentile"),
-        half_up(F.col("profit_percent"), 2).alias("profit_percent"),
-        half_up(F.col("Average_Rating"), 2).alias("rating"),
-        half_up(F.col("repeat_purchase_rate"), 4).alias("repeat_purchase_rate"),
-        half_up(F.col("wastage_percent"), 2).alias("wastage_percent"),
-        half_up(F.col("promotion_dependency"), 4).alias("promotion_dependency"),
-        half_up(F.col("sales_trend_percent"), 2).alias("sales_trend_percent"),
+        round_exact(F.col("sales_percentile"), 4).alias("sales_percentile"),
+        round_exact(F.col("profit_percent"), 2).alias("profit_percent"),
+        round_exact(F.col("Average_Rating"), 2).alias("rating"),
+        round_exact(F.col("repeat_purchase_rate"), 4).alias("repeat_purchase_rate"),
+        round_exact(F.col("wastage_percent"), 2).alias("wastage_percent"),
+        round_exact(F.col("promotion_dependency"), 4).alias("promotion_dependency"),
+        round_exact(F.col("sales_trend_percent"), 2).alias("sales_trend_percent"),
         F.col("insufficient_history"),
     )
 
@@ -183,17 +183,17 @@ def assess_slow_moving(g: DataFrame, scope: str = "Scope") -> DataFrame:
     known_everywhere = F.col("global_sales").cast("long") if "global_sales" in g.columns else F.lit(None).cast("long")
     evidence = F.struct(
         F.col("sales").cast("long").alias("sales"),
-        half_up(F.col("_volume"), 4).alias("volume_percentile"),
+        round_exact(F.col("_volume"), 4).alias("volume_percentile"),
         F.col("orders").cast("long").alias("orders"),
-        half_up(F.col("_orders_per_30_days"), 2).alias("orders_per_30_days"),
-        half_up(F.col("_frequency"), 4).alias("order_frequency_percentile"),
+        round_exact(F.col("_orders_per_30_days"), 2).alias("orders_per_30_days"),
+        round_exact(F.col("_frequency"), 4).alias("order_frequency_percentile"),
         recency.cast("int").alias("days_since_last_purchase"),
-        half_up(trend, 2).alias("recent_trend_percent"),
-        half_up(repeat, 4).alias("repeat_purchase_rate"),
-        half_up(F.col("profit_percent"), 2).alias("profit_percent"),
-        half_up(F.col("contribution"), 2).alias("contribution"),
-        half_up(waste, 2).alias("wastage_percent"),
-        half_up(F.col("seasonal_top3_share"), 4).alias("seasonal_top3_month_share"),
+        round_exact(trend, 2).alias("recent_trend_percent"),
+        round_exact(repeat, 4).alias("repeat_purchase_rate"),
+        round_exact(F.col("profit_percent"), 2).alias("profit_percent"),
+        round_exact(F.col("contribution"), 2).alias("contribution"),
+        round_exact(waste, 2).alias("wastage_percent"),
+        round_exact(F.col("seasonal_top3_share"), 4).alias("seasonal_top3_month_share"),
         F.col("active_months").cast("int").alias("active_months"),
         F.col("history_days").cast("int").alias("history_days"),
         F.col(scope).alias("location_context"),

@@ -93,11 +93,15 @@ def rule_menu_class(t):
     )
 
 
-@query("prj_evidence", """SELECT Item_ID, round(sales_percentile, 4) AS sales_percentile, round(repeat_purchase_rate, 4) AS repeat_purchase_rate, round(promotion_dependency, 4) AS promotion_dependency,
+EVIDENCE = {"sales_percentile": ("sales_percentile", 4), "profit_percent": ("profit_percent", 2), "rating": ("Average_Rating", 2), "repeat_purchase_rate": ("repeat_purchase_rate", 4),
+            "wastage_percent": ("wastage_percent", 2), "promotion_dependency": ("promotion_dependency", 4), "sales_trend_percent": ("sales_trend_percent", 2)}
+
+
+@query("prj_evidence", f"""SELECT Item_ID, {', '.join(f'{scalar.round_exact_sql(*source)} AS {name}' for name, source in EVIDENCE.items())},
     CAST(insufficient_history AS INTEGER) AS insufficient_history FROM classed""", RULES)
 def prj_evidence(t):
     evidence = graded(t).select("Item_ID", "classification_evidence.*")
-    return evidence.select("Item_ID", *[F.col(c).cast("double").alias(c) for c in ("sales_percentile", "repeat_purchase_rate", "promotion_dependency")], "insufficient_history")
+    return evidence.select("Item_ID", *[F.col(c).cast("double").alias(c) for c in EVIDENCE], "insufficient_history")
 
 
 @query("flt_having", """SELECT Item_ID, classification, round(Average_Rating, 8) AS Average_Rating FROM classed WHERE classification = 'Volume Driver' AND Average_Rating >= 3.0""", RULES)

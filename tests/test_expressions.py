@@ -1,5 +1,7 @@
 """Column expressions and window semantics that are easy to get wrong."""
 
+import math
+import random
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -35,6 +37,16 @@ def test_band_is_right_closed(rows):
     assert one(df.select(scalar.band(F.col("v"), 10.0))) == ["LOW", "MEDIUM", "MEDIUM", "HIGH", None]
 
 
+def test_rounding_follows_the_binary_value(rows):
+    rng = random.Random(1)
+    values = [0.20375, 2.675, 1.005, 0.5, 1.5, 2.5, -2.5, 0.125, 0.375, 1e300, -1e17, 5e-324, 0.0, 2.0**52 + 1, 2.0**40 + 0.00012207, float("inf"), None]
+    values += [(rng.randrange(-(10**7), 10**7) + 0.5) / 10 ** rng.choice((0, 1, 2, 4, 6)) for _ in range(4000)]
+    values += [k / 2000 for k in range(2001)] + [rng.uniform(-1e4, 1e4) for _ in range(1000)] + [math.nextafter(k / 80, rng.choice((-9, 9))) for k in range(800)]
+    for digits in (0, 2, 4):
+        got = one(rows("v double", [(v,) for v in values]).select(scalar.round_exact(F.col("v"), digits)))
+        assert got == [v if v is None or math.isinf(v) else round(v, digits) for v in values]
+
+
 def test_weekday_starts_monday_and_weeks_are_iso(rows):
     df = rows("d date", [(date(2025, 1, 5),), (date(2025, 1, 6),)])
     built = calendar.calendar_features(df, "d").collect()

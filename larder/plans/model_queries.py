@@ -5,10 +5,11 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.ml.regression import RandomForestRegressionModel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.binding import Tables
-from larder.operators import filters, forecast, metrics, segments, stats, wastage
+from larder.operators import demand, filters, forecast, metrics, segments, stats, wastage
 from larder.operators.menu import waste_ratio_q3
 from larder.plans.registry import query
 from larder.session import materialise, scratch_path
@@ -83,26 +84,36 @@ def fc_global_legacy(t):
     return forecast.fit_global(forecast.ratio_split(forecast.global_features(t.sales), "Date"))
 
 
-def category_backtest(t: Tables):
-    return forecast.backtest(forecast.daily_series(t.sales, "Category_ID"), "category")
+GRAINS = {"location": "Location_ID", "item": "Item_ID", "category": "Category_ID"}
 
 
-@query("fc_multigrain")
-def fc_multigrain(t):
-    rows = category_backtest(t).unionByName(forecast.backtest(location_series(t), "location"))
-    return forecast.horizon_metrics(rows)
+def grain_series(t: Tables, grain: str) -> demand.Series:
+    """Demand of one grain; a dish begins when it was introduced."""
+    starts = t.menu.select(F.col("Item_ID").alias("Entity_ID"), F.col("Introduced_Date").alias("Start")) if grain == "item" else None
+    return demand.series(t.sales, GRAINS[grain], starts)
+
 
+def all_grains(build) -> DataFrame:
+    rows = [build(grain) for grain in GRAINS]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
-def location_model(t: Tables):
-    daily = materialise(location_series(t))
-    return daily, forecast.fit_rf(forecast.features(daily), trees=40)
+
+#: The window before the newest day that the serving forests leave out of their training.
+TEST_WINDOW = (("test", 30),)
+
+
+@query("fc_multigrain")
+def fc_multigrain(t):
+    return forecast.horizon_metrics(all_grains(lambda grain: demand.backtest(grain_series(t, grain), grain)[1]))
 
 
 @query("fc_recursive")
 def fc_recursive(t):
-    daily, model = location_model(t)
-    newest = daily.agg(F.max("Date")).first()[0]
-    return forecast.recursive(model, forecast.histories_before(daily, newest), date.fromordinal(newest.toordinal() + 1), 30)
+    def ahead(grain):
+        s = grain_series(t, grain)
+        return demand.future(demand.fit(s, s.last), s, 30).withColumn("Grain", F.lit(grain.upper()))
+
+    return all_grains(ahead)
 
 
 @query("fc_next_day")
@@ -119,12 +130,20 @@ def fc_next_day_features(t):
     return built.withColumn("rolling_7", F.round("rolling_7", 8))
 
 
+#: The entity each grain is served for, and the horizon.
+SERVED, SERVED_DAYS = {"location": 7, "item": 17, "category": 2}, 14
+
+
 @query("fc_serve")
 def fc_serve(t):
-    daily, model = location_model(t)
-    future = forecast.serve_future(model, daily, 7, 14).withColumns({"mode": F.lit("future"), "Actual": F.lit(None).cast("double")})
-    past = forecast.serve_backtest(forecast.backtest(daily, "location"), "location", 7, 14).withColumn("mode", F.lit("backtest"))
-    return future.unionByName(past.select(*future.columns))
+    def served(grain):
+        s = grain_series(t, grain)
+        model, holdout = demand.backtest(s, grain, windows=TEST_WINDOW)
+        future = forecast.served(demand.future(model, s, SERVED_DAYS), SERVED[grain], SERVED_DAYS).withColumns({"Grain": F.lit(grain.upper()), "mode": F.lit("future"), "Actual": F.lit(None).cast("double")})
+        past = forecast.serve_backtest(holdout, grain, SERVED[grain], SERVED_DAYS).withColumn("mode", F.lit("backtest"))
+        return future.unionByName(past.select(*future.columns))
+
+    return all_grains(served)
 
 
 @query("ml_persist_reload")

@@ -526,15 +526,33 @@ def stat_unusual_orders(t):
     return stats.unusual_orders(t.sales, rate=0.09)
 
 
-@query("stat_rating_burst", """SELECT Item_ID, CAST(Rating_Day AS VARCHAR) AS Rating_Day, n AS count, round(s, 8) AS average_stars, round(f, 8) AS five_star_rate, round(z, 6) AS count_z_score FROM
-    (SELECT *, (n - avg(n) OVER w) / CASE WHEN coalesce(stddev_samp(n) OVER w, 1) = 0 THEN 1 ELSE coalesce(stddev_samp(n) OVER w, 1) END AS z FROM (SELECT Item_ID, Rating_Day, count(*) AS n, avg(Stars) AS s, avg(CASE WHEN Stars = 5 THEN 1.0 ELSE 0.0 END) AS f
-    FROM event_ratings WHERE Stars BETWEEN 1 AND 5 GROUP BY 1, 2) WINDOW w AS (PARTITION BY Item_ID)) WHERE n >= 5 AND round(z, 9) > 1.5 ORDER BY round(z, 9) DESC, Item_ID, Rating_Day LIMIT 100""")
-def stat_rating_burst(t):
-    valid = t.event_ratings.where(F.col("Stars").between(1, 5))
-    found = stats.rating_bursts(valid, "Rating_Day", z=1.5)
+def burst_sql(source: str, day: str, least: int) -> str:
+    return f"""SELECT Item_ID, CAST(Rating_Day AS VARCHAR) AS Rating_Day, n AS count, round(s, 8) AS average_stars, round(f, 8) AS five_star_rate, round(z, 6) AS count_z_score FROM
+    (SELECT *, (n - avg(n) OVER w) / CASE WHEN coalesce(stddev_samp(n) OVER w, 1) = 0 THEN 1 ELSE coalesce(stddev_samp(n) OVER w, 1) END AS z FROM (SELECT Item_ID, {day} AS Rating_Day, count(*) AS n, avg(Stars) AS s, avg(CASE WHEN Stars = 5 THEN 1.0 ELSE 0.0 END) AS f
+    FROM {source} WHERE Stars BETWEEN 1 AND 5 GROUP BY 1, 2) WINDOW w AS (PARTITION BY Item_ID)) WHERE n >= {least} AND round(z, 9) > 1.5 ORDER BY round(z, 9) DESC, Item_ID, Rating_Day LIMIT 100"""
+
+
+def rounded_bursts(found):
     return found.withColumns({"average_stars": F.round("average_stars", 8), "five_star_rate": F.round("five_star_rate", 8), "count_z_score": F.round("count_z_score", 6)})
 
 
+#: A dish of the sample tables has few ratings, so two on one day are already a burst.
+FEW_RATINGS = 2
+
+
+@query("stat_rating_burst", burst_sql("(SELECT r.* FROM raw_ratings r JOIN (SELECT DISTINCT Order_ID, Item_ID FROM sales) s ON r.Order_ID = s.Order_ID AND r.Item_ID = s.Item_ID)", "Rating_Date", FEW_RATINGS))
+def stat_rating_burst(t):
+    """Ratings of dishes that their order really sold: cancelled orders and unsold dishes do not count."""
+    valid = t.raw_ratings.where(F.col("Stars").between(1, 5))
+    return rounded_bursts(stats.rating_bursts(valid, "Rating_Date", z=1.5, min_n=FEW_RATINGS, sold=t.sales))
+
+
+@query("stat_rating_burst_events", burst_sql("event_ratings", "Rating_Day", 5))
+def stat_rating_burst_events(t):
+    """The dense event log, which has no orders to check against."""
+    return rounded_bursts(stats.rating_bursts(t.event_ratings.where(F.col("Stars").between(1, 5)), "Rating_Day", z=1.5))
+
+
 # Two simple predictions of location demand: the value seven rows back and the mean of the last seven.
 FORECASTS = {"cases": """SELECT strftime(Date, '%Y-%m-%d') || ':' || Location_ID AS Case_ID, Location_ID, d AS Actual, lag(d, 7) OVER w AS seasonal, CASE WHEN count(d) OVER p = 7 THEN avg(d) OVER p END AS rolling FROM
     (SELECT Location_ID, Date, CAST(sum(Quantity) AS DOUBLE) AS d FROM sales GROUP BY 1, 2) WINDOW w AS (PARTITION BY Location_ID ORDER BY Date), p AS (PARTITION BY Location_ID ORDER BY Date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"""}

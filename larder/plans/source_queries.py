@@ -66,16 +66,39 @@ def src_legacy_convert(t):
     return done.withColumn("Pricing_ID", F.col("Pricing_ID").cast("long"))
 
 
-@query("src_parquet_views", """SELECT o.Channel, count(*) AS lines, CAST(sum(l.Quantity) AS BIGINT) AS units FROM clean_orders o JOIN lines l ON o.Order_ID = l.Order_ID GROUP BY 1""")
+#: Every clean view with a column of numbers to add up.
+VIEW_SUMS = {
+    "clean_orders": "Order_ID", "clean_customers": "Customer_ID", "clean_lines": "Quantity", "clean_menu": "Base_Price", "clean_categories": "Category_ID",
+    "clean_locations": "Location_ID", "clean_promotions": "Discount_Percent", "clean_prices": "Price", "clean_ratings": "Stars", "clean_inventory": "Stock_Quantity",
+    "clean_wastage": "Cost_Impact", "authoritative_sales": "Net_Revenue",
+}
+BOUND = {"clean_orders": "clean_orders", "authoritative_sales": "sales", **{f"clean_{n}": n for n in ("customers", "lines", "menu", "categories", "locations", "promotions", "prices", "ratings", "inventory", "wastage")}}
+
+
+def clean_snapshot(t: Tables) -> str:
+    """All clean tables and their manifest, written under the names of the contract."""
+    frames = {
+        "clean_orders": t.orders, "clean_customers": t.customers, "clean_lines": t.lines, "clean_menu": t.menu, "clean_categories": t.categories, "clean_locations": t.locations,
+        "clean_promotions": t.promotions, "clean_prices": t.prices, "clean_ratings": t.ratings, "clean_inventory": t.inventory, "clean_wastage": t.wastage, "authoritative_sales": t.sales,
+    }
+    folder = scratch_path(t.spark, "snapshot")
+    snapshot.write_clean({contract.CLEAN_TABLES[view]: df for view, df in frames.items()}, folder)
+    snapshot.write_manifest(t.spark, folder, list(contract.CLEAN_TABLES.values()))
+    return folder
+
+
+def view_totals(select: str) -> str:
+    return " UNION ALL ".join(select.format(view=view, table=BOUND[view], column=column) for view, column in VIEW_SUMS.items())
+
+
+@query("src_parquet_views", f"""SELECT v.*, l.units FROM ({view_totals("SELECT '{view}' AS view, count(*) AS rows, CAST(sum({column}) AS DOUBLE) AS total FROM {table}")}) v,
+    (SELECT CAST(sum(l.Quantity) AS BIGINT) AS units FROM clean_orders o JOIN lines l USING (Order_ID) JOIN menu USING (Item_ID) JOIN categories USING (Category_ID) JOIN customers USING (Customer_ID) JOIN locations USING (Location_ID)) l""")
 def src_parquet_views(t):
-    folder = scratch_path(t.spark, "views")
-    snapshot.write_clean({"orders_validated": t.orders, "order_items_validated": t.lines}, folder)
-    wanted = {v: n for v, n in contract.CLEAN_TABLES.items() if v in ("clean_orders", "clean_lines")}
-    snapshot.register(t.spark, folder, wanted)
-    return t.spark.sql(
-        "SELECT o.Channel, count(*) AS lines, sum(l.Quantity) AS units FROM clean_orders o "
-        "JOIN clean_lines l ON o.Order_ID = l.Order_ID GROUP BY o.Channel"
-    )
+    bound = snapshot.bind(t.spark, clean_snapshot(t))
+    joined = """SELECT sum(l.Quantity) AS units FROM clean_orders o JOIN clean_lines l USING (Order_ID) JOIN clean_menu USING (Item_ID) JOIN clean_categories USING (Category_ID)
+        JOIN clean_customers USING (Customer_ID) JOIN clean_locations ON o.Location_ID = clean_locations.Location_ID"""
+    totals = t.spark.sql(view_totals("SELECT '{view}' AS view, CAST(sum({column}) AS DOUBLE) AS total FROM {view}"))
+    return bound.select("view", "rows").join(totals, "view").withColumn("units", t.spark.sql(joined).scalar())
 
 
 @query("src_table_shape", """SELECT 'orders' AS table_name, count(*) AS rows, 7 AS columns FROM clean_orders UNION ALL
@@ -118,9 +141,22 @@ def src_snapshot_manifest(t):
     return verdicts.join(rows, "table_name")
 
 
-@query("src_ingest_summary")
+#: Fields and types of the summarised tables.
+SUMMARY_FIELDS = {
+    "orders": "Order_ID:long,Customer_ID:long,Location_ID:long,Order_DateTime:timestamp_ntz,Channel:string,Promotion_ID:long,Order_Status:string",
+    "lines": "Order_Item_ID:long,Order_ID:long,Item_ID:long,Quantity:long,Unit_Price:decimal(18,2),Discount_Applied:decimal(18,2)",
+    "menu": "Item_ID:long,Item_Name:string,Category_ID:long,Base_Price:decimal(18,2),Cost:decimal(18,2),Introduced_Date:date",
+}
+
+
+@query("src_ingest_summary", " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, count(*) AS rows, {len(fields.replace('18,2', '').split(','))} AS columns, '{fields}' AS fields, '{contract.RAW_VERSION}' AS schema_version FROM {'clean_orders' if name == 'orders' else name}"
+    for name, fields in SUMMARY_FIELDS.items()))
 def src_ingest_summary(t):
-    return raw.ingest_summary({"orders": t.orders, "lines": t.lines, "menu": t.menu})
+    summary = raw.ingest_summary({"orders": t.orders, "lines": t.lines, "menu": t.menu})
+    parsed = F.from_json("schema", "struct<fields:array<struct<name:string,type:string>>>")
+    fields = F.array_join(F.transform(parsed["fields"], lambda f: F.concat(f["name"], F.lit(":"), f["type"])), ",")
+    return summary.withColumn("fields", fields).drop("schema", "input_files")
 
 
 @query("snk_partitioned", "SELECT CAST(Location_ID AS INTEGER) AS Location_ID, count(*) AS rows FROM sales GROUP BY 1")

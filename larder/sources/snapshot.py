@@ -90,9 +90,23 @@ def verify_manifest(spark: SparkSession, folder: str, names: list[str], version:
         raise ValueError(f"row counts of {sorted(r[0] for r in wrong)} differ from the manifest")
 
 
-def register(spark: SparkSession, folder: str, tables: dict[str, str] | None = None) -> list[str]:
-    """Register the clean tables as temporary views."""
+def bind(spark: SparkSession, folder: str, tables: dict[str, str] | None = None, version: str = contract.CLEAN_VERSION) -> DataFrame:
+    """Register the views of a snapshot whose manifest holds: version, file set, digests and row counts, in one job.
+
+    Returns a row per view with its table, files and rows. A view is registered only if every wanted table is whole, so a query
+    never meets half a snapshot.
+    """
     tables = tables or contract.CLEAN_TABLES
+    names = sorted(set(tables.values()))
+    kept = spark.read.schema("table_name string, file string, sha256 string, bytes long, rows long, version string").json(f"{folder}/manifest")
+    per_table = kept.groupBy("table_name").agg(F.max("rows").alias("rows"), F.count(F.lit(1)).alias("files"), F.count_if(F.col("version") != version).alias("versions"))
+    differ = manifest_differences(spark, folder, names).groupBy("table_name").agg(F.count_if(F.col("verdict") != "same").alias("differ"))
+    counted = row_counts(spark, folder, names).withColumnRenamed("rows", "found")
+    listed = spark.createDataFrame([(n,) for n in names], "table_name string").join(per_table, "table_name", "left").join(differ, "table_name", "left").join(counted, "table_name", "left")
+    state = {r["table_name"]: r for r in listed.collect()}
+    wrong = [n for n, r in state.items() if r["rows"] is None or r["versions"] or r["differ"] or r["found"] != r["rows"]]
+    if wrong:
+        raise ValueError(f"the snapshot does not hold what its manifest says of {sorted(wrong)}")
     for view, name in tables.items():
         spark.read.parquet(f"{folder}/{name}").createOrReplaceTempView(view)
-    return list(tables)
+    return spark.createDataFrame([(v, n, state[n]["files"], state[n]["rows"]) for v, n in tables.items()], "view string, table_name string, files long, rows long")

@@ -106,6 +106,21 @@ def test_altered_snapshot_is_rejected(spark, tmp_path):
         snapshot.verify_manifest(spark, folder, ["menu"], version="other")
 
 
+def test_views_need_a_whole_snapshot(spark, tmp_path):
+    folder, tables = str(tmp_path / "bound"), {"v_menu": "menu", "v_lines": "lines"}
+    snapshot.write_clean({"menu": spark.range(10).toDF("Item_ID"), "lines": spark.range(7).toDF("Order_ID")}, folder)
+    snapshot.write_manifest(spark, folder, ["menu", "lines"])
+    assert sorted((r["view"], r["rows"]) for r in snapshot.bind(spark, folder, tables).collect()) == [("v_lines", 7), ("v_menu", 10)]
+    assert spark.sql("SELECT count(*) FROM v_menu JOIN v_lines ON Item_ID = Order_ID").first()[0] == 7
+    with pytest.raises(ValueError, match="lines"):
+        snapshot.bind(spark, folder, tables, version="other")
+    with pytest.raises(Exception, match="absent"):
+        snapshot.bind(spark, folder, {"v_none": "absent"})
+    next((tmp_path / "bound" / "lines").glob("*.parquet")).write_bytes(next((tmp_path / "bound" / "menu").glob("*.parquet")).read_bytes())
+    with pytest.raises(Exception, match="lines"):
+        snapshot.bind(spark, folder, tables)
+
+
 def test_partitioned_write_prunes_and_splits(spark, tmp_path):
     sales = spark.range(3000).select("id", (F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 7)).alias("Location_ID"))
     counts = {r["Location_ID"]: r["rows"] for r in snapshot.write_partitioned(sales, str(tmp_path / "p"), rows_per_file=400).collect()}

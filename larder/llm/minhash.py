@@ -1,12 +1,12 @@
 """MinHash near-dedup: bottom-k sketches from one hash function, exact Jaccard over word pairs.
 
 A document's set holds the hashes of its distinct shingles; the k smallest are its sketch. Copies (equal sets)
-become one node. Inverted lists of retained values propose pairs: a list is keyed by a run of three
-neighbouring values of a sketch, since single values of common shingles would give lists that grow with the
-corpus. Two sets that are similar enough share such a run: below k values always (the few values they do not
-share cannot break up the rest; the smallest sets use runs of two), beyond it except with a probability near
-1e-10 at the threshold itself and far less above it. The union sketch then estimates the similarity, and
-exact counts on the full sets confirm every link.
+become one node. Inverted lists of retained values propose pairs: a list is keyed by a run of neighbouring values
+of a sketch, since single values of common shingles would give lists that grow with the corpus. Up to k values
+similar sets always share a run, as the few values they do not share cannot break up the rest: of four values where
+the union has 16 or more, of three or two in smaller unions. Larger sets use runs of three and must share three of
+them, which similar ones fail to do with a probability near 1e-8 at the threshold itself and far less above it. The
+union sketch then estimates the similarity, and exact counts on the full sets confirm every link.
 
 A list never becomes all pairs of its members. Its most connected member leads it; every node is compared with its
 best leader first, then with its other leaders where the component still differs, then the members outside a list's
@@ -29,10 +29,11 @@ from larder.llm.text import lower_ascii, whole, windows, words
 from larder.session import materialise
 
 SKETCH = 64  # retained values
-RUN = 3  # neighbouring values that key a list
 SIMILARITY = 80  # per cent
 SLACK = 30  # per cent points an estimate may lie below the threshold
-SMALL = 5  # sets up to this size also use runs of two
+#: The least union in which two sets that are 80 per cent alike share a run of so many neighbouring values: of u values at most u // 5 lie apart.
+RUNS = {2: 5, 3: 6, 4: 16}
+LONG_RUN, LONG_SHARED = 3, 3  # beyond the sketch: values in a run, runs that must be shared
 NONE = "array<bigint>"
 
 
@@ -40,7 +41,7 @@ def shingle_set(w: Column, width: int) -> Column:
     """Sorted distinct hashes of the ``width``-word shingles; the whole sequence where there are fewer words."""
     n = F.size(w)
     each = windows(w, n, width, lambda i: F.xxhash64(*[F.get(w, i + (j - 1)) for j in range(width)]))
-    return F.array_sort(F.array_distinct(F.when(n >= width, each).when(n > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast(NONE))))
+    return F.sort_array(F.array_distinct(F.when(n >= width, each).when(n > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast(NONE))))
 
 
 def with_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -50,25 +51,29 @@ def with_sets(docs: DataFrame, width: int) -> DataFrame:
     return split.select(*rest, shingle_set(F.col("w"), width).alias("set"))
 
 
-def run_keys(sketch: Column, n: Column) -> Column:
+def run_keys(sketch: Column, n: Column, k: int) -> Column:
     """The list keys of a sketch: hashes of runs of neighbouring values. Smaller sets than four values link with equal ones only."""
-    size = F.size(sketch)
-    runs = lambda width: windows(sketch, size, width, lambda i: F.xxhash64(*[F.get(sketch, i + (j - 1)) for j in range(width)]))
-    return F.when(n > SMALL, runs(RUN)).when(n >= 4, F.concat(runs(2), runs(RUN))).otherwise(F.array().cast(NONE))
+    size, most = F.size(sketch), F.floor(n * 100 / 80)  # the largest union with a similar set
+    runs = lambda width: windows(sketch, size, width, lambda i: F.xxhash64(F.lit(width), *[F.get(sketch, i + (j - 1)) for j in range(width)]))
+    upto = {2: RUNS[3] - 1, 3: RUNS[4] - 1, 4: k}  # the largest own size that may need the width
+    needed = {width: (n <= upto[width]) & (most >= RUNS[width]) for width in RUNS}
+    needed[LONG_RUN] = needed[LONG_RUN] | (most > k)
+    return F.flatten(F.array(*[F.when(needed[width], runs(width)).otherwise(F.array().cast(NONE)) for width in RUNS]))
 
 
-def estimate(a: Column, b: Column, k: int) -> Column:
-    """Per cent of the union sketch of two sketches that both hold."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
-    common = F.filter(F.array_intersect(a, b), lambda v: v <= F.element_at(union, -1))
-    return F.size(common) * 100 / F.size(union)
+def similar_size(a: str, b: str, similarity: int) -> Column:
+    return F.least(a, b) * 100 >= F.greatest(a, b) * similarity
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, k: int, similarity: int) -> DataFrame:
     """Those of ``pairs`` (x, y) that are links: sizes, union sketch, then the full sets."""
     printed = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
-    near = pairs.join(printed("x"), "x").join(printed("y"), "y").filter(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * similarity)
-    near = materialise(near.filter(estimate(F.col("sx"), F.col("sy"), k) >= similarity - SLACK).select("x", "y", "nx", "ny"))
+    near = pairs.join(printed("x"), "x").join(printed("y"), "y").filter(similar_size("nx", "ny", similarity))
+    # Columns of their own, so that each is made once a pair: the union sketch, its last value, what both hold up to there.
+    near = near.select("x", "y", "nx", "ny", F.slice(F.sort_array(F.array_union("sx", "sy")), 1, k).alias("union"), F.array_intersect("sx", "sy").alias("common"))
+    near = near.select("x", "y", "nx", "ny", F.size("union").alias("of"), F.element_at("union", -1).alias("last"), "common")
+    hits = F.size(F.filter("common", lambda v: v <= F.col("last")))
+    near = materialise(near.filter(hits * 100 >= F.col("of") * (similarity - SLACK)).select("x", "y", "nx", "ny"))
     full = lambda s: sets.select(F.col("node").alias(s), F.col("set").alias(f"f{s}"))
     counted = near.join(full("x"), "x").join(full("y"), "y").select("x", "y", "nx", "ny", F.size(F.array_intersect("fx", "fy")).alias("common"))
     return counted.filter(F.col("common") * 100 >= (F.col("nx") + F.col("ny") - F.col("common")) * similarity).select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -82,14 +87,14 @@ def labelled(df: DataFrame, label: DataFrame, column: str, name: str) -> DataFra
 
 def links(nodes: DataFrame, sets_of, k: int = SKETCH, similarity: int = SIMILARITY) -> DataFrame:
     """Links (a, b) that connect exactly the similar ones of ``nodes`` (node, n, sketch); ``sets_of(frame of nodes)`` has their full sets."""
-    listed = nodes.select("node", F.explode(run_keys(F.col("sketch"), F.col("n"))).alias("key"))
+    listed = nodes.select("node", "n", F.explode(run_keys(F.col("sketch"), F.col("n"), k)).alias("key"))
     lists = listed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     listed = materialise(listed.join(lists, "key"))
     weight = listed.groupBy("node").agg(F.sum("members").alias("weight"))
-    listed = materialise(listed.select("key", "node").join(weight, "node"))
+    listed = materialise(listed.select("key", "node", "n").join(weight, "node"))
     sets = materialise(sets_of(listed.select("node").distinct()))
-    leaders = listed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("lead"))
-    led = listed.join(leaders, "key").filter(F.col("node") != F.col("lead.node"))
+    leaders = listed.groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("lead"))
+    led = listed.join(leaders, "key").filter((F.col("node") != F.col("lead.node")) & similar_size("n", "lead.n", similarity))
     led = materialise(led.groupBy(F.col("node").alias("x"), F.col("lead.node").alias("y")).agg(F.max("lead.weight").alias("weight")))
 
     first = led.groupBy("x").agg(F.max(F.struct("weight", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
@@ -97,15 +102,16 @@ def links(nodes: DataFrame, sets_of, k: int = SKETCH, similarity: int = SIMILARI
     apart = labelled(labelled(led.select("x", "y"), label := components(found), "x", "cx"), label, "y", "cy").filter("cx <> cy").select("x", "y")
     found = materialise(found.union(confirmed(apart, nodes, sets, k, similarity)))
 
-    members = labelled(listed.select("key", "node"), components(found), "node", "root")
+    members = labelled(listed.select("key", "node", "n"), components(found), "node", "root")
     by_root = members.groupBy("key", "root").agg(F.count(F.lit(1)).alias("members"))
     main = by_root.groupBy("key").agg(F.max(F.struct("members", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", F.col("main.root").alias("main"))
     mixed = materialise(members.join(main, "key"))
-    outside = mixed.filter("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("cx"))
-    inside = mixed.select("key", F.col("node").alias("y"), F.col("root").alias("cy"), (F.col("root") == F.col("main")).alias("in_main"))
-    # Both outside: the pair comes twice, once is enough.
-    crossing = outside.join(inside, "key").filter((F.col("cx") != F.col("cy")) & (F.col("in_main") | (F.col("x") < F.col("y"))))
-    crossing = crossing.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    outside = mixed.filter("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("cx"), F.col("n").alias("nx"))
+    inside = mixed.select("key", F.col("node").alias("y"), F.col("root").alias("cy"), F.col("n").alias("ny"), (F.col("root") == F.col("main")).alias("in_main"))
+    # Both outside: the pair comes twice, once is enough. A pair of two components meets in every list it shares.
+    crossing = outside.join(inside, "key").filter((F.col("cx") != F.col("cy")) & similar_size("nx", "ny", similarity) & (F.col("in_main") | (F.col("x") < F.col("y"))))
+    crossing = crossing.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("nx", "ny")).alias("least"))
+    crossing = crossing.filter((F.col("shared") >= LONG_SHARED) | (F.col("least") <= k)).select("x", "y")
     tried = led.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     return found.union(confirmed(crossing.join(tried, ["x", "y"], "left_anti"), nodes, sets, k, similarity))
 

@@ -194,6 +194,15 @@ def near_texts():
     return rows
 
 
+def test_similar_sets_always_share_a_run():
+    """The widths of the lists against the worst places for the values that two sets do not share."""
+    for union in range(5, 400):
+        apart = union // 5
+        longest = -(-(union - apart) // (apart + 1))
+        width = max(w for w, least in minhash.RUNS.items() if union >= least)
+        assert longest >= width
+
+
 def test_components(spark):
     rows = near_texts()
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))

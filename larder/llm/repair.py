@@ -32,7 +32,7 @@ from larder.llm.text import whole
 BASE = 49_408  # first symbol that is a rule; ids lie below
 RULES = 65_536 - BASE
 SHARD = 2_000_000
-ROUNDS, PER_ROUND, LEAST = 8, 4_096, 8
+PER_ROUND, LEAST = 4_096, 8
 END = 1
 CACHE = 800_000  # distinct parts a worker process remembers
 MARK = "\ue000"  # stands alone between words that are encoded together
@@ -68,7 +68,7 @@ def compress(ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """(symbols, symbol starts, left, right, lengths) of the ids of consecutive documents."""
     seq, starts = ids.astype(np.uint32), starts.astype(np.int64)
     left, right, lengths = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.ones(BASE, np.uint32)
-    for _ in range(ROUNDS):
+    while True:  # until no pair is frequent or the symbols are used up
         room = min(PER_ROUND, RULES - len(left))
         if len(seq) < 2 or room <= 0:
             break
@@ -188,7 +188,8 @@ class Words:
 
     The tokenizer drops white space and never merges across it, so a text's ids are its parts' ids in order.
     Parts of plain characters are cut into pre-tokens, and distinct pre-tokens are encoded many at a time, as
-    each closes with an end-of-word token. Other parts are encoded whole, a marker between them.
+    each closes with an end-of-word token. Other parts, and parts that hold the text of a special token, which the
+    library reads as that token, are encoded whole, a marker between them.
     """
 
     def __init__(self, model: str):
@@ -199,11 +200,15 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= BASE:
+            raise ValueError(f"ids from {BASE} on are rules; the vocabulary needs ids up to {max(vocabulary.values())}")
+        special = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(not t or regex.search(r"\s", t) for t in special):
+            raise ValueError("a special token with white space reaches over the parts of a text")
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
-        self.odd, self.pretokens = regex.compile(ODD), regex.compile(PRETOKEN + r"|\n")
+        self.odd, self.pretokens = regex.compile("|".join([ODD, *map(regex.escape, special)])), regex.compile(PRETOKEN + r"|\n")
         self.mark = self._alone(MARK)
         self.clear()
 
@@ -346,9 +351,11 @@ def write(docs: DataFrame, model_path: str, path: str, doc_id: str = "doc_id", t
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, decoded from the records at ``path``."""
     records = spark.read.schema(RECORD).parquet(path)
-    # One row per shard, not per document: where each shard's ids begin.
-    order = Window.orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
-    before = records.select("part", "block", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).drop("n_ids")
+    # Where each shard's ids begin: those of the range partitions before its own (a row per partition), then of the shards before it there.
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = records.groupBy("part").agg(F.sum("n_ids").alias("ids")).select("part", F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = records.select("part", "block", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("inside")).join(parts, "part").select("part", "block", (F.col("start") + F.col("inside")).alias("before"))
     placed = records.join(before, ["part", "block"]).select("before", *[f.name for f in RECORD if f.name not in ("first_id", "part", "block", "n_ids")])
 
     def run(batches):

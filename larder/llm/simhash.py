@@ -20,7 +20,7 @@ component unless all ids of it are null; an empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,26 +40,27 @@ def shingle_hashes(w: Column, width: int = SHINGLE) -> Column:
     return F.when(n >= width, windows(w, n, width, joined)).when(n > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
 
 
+#: For each byte, its eight bits as the eight bytes of a number: up to 255 of them add up without a carry.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+PIECE = 1 << 15  # hashes counted together
+
+
 def majority(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Per row, the bits set in over half of its hashes; rows are consecutive runs of ``hashes``."""
-    out, row, start = np.zeros(len(ends) - 1, np.uint64), 0, 0
-    while row < len(out):
-        last = max(int(np.searchsorted(ends, ends[row] + (1 << 18), "right")) - 1, row + 1)
-        sizes = np.diff(ends[row : last + 1])
-        full = np.flatnonzero(sizes)
-        if len(full):
-            counts = np.zeros((len(full), 64), np.int64)
-            at = ends[row : last][full]
-            for begin in range(0, int(ends[last] - ends[row]), 1 << 19):  # a single very long row is counted piece by piece
-                lo = ends[row] + begin
-                hi = min(lo + (1 << 19), ends[last])
-                bits = np.unpackbits(hashes[lo:hi].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                inside = np.flatnonzero((at < hi) & (at + sizes[full] > lo))
-                counts[inside] += np.add.reduceat(bits, np.maximum(at[inside], lo) - lo, axis=0, dtype=np.int64)
-            chosen = counts * 2 > sizes[full][:, None]
-            out[row + full] = np.packbits(chosen, axis=1, bitorder="little").view(np.uint64).ravel()
-        row = last
-    return out
+    sizes = np.diff(ends)
+    counts = np.zeros((len(sizes), 64), np.int64)
+    for low in range(int(ends[0]), int(ends[-1]), PIECE):
+        high = min(low + PIECE, int(ends[-1]))
+        first, last = np.searchsorted(ends, low, "right") - 1, np.searchsorted(ends, high, "left")
+        begin, stop = np.maximum(ends[first:last], low), np.minimum(ends[first + 1 : last + 1], high)
+        full = np.flatnonzero(stop > begin)
+        begin, parts = begin[full] - low, -(-(stop - begin)[full] // 255)
+        at = np.cumsum(parts) - parts
+        cuts = np.repeat(begin, parts) + 255 * (np.arange(parts.sum()) - np.repeat(at, parts))
+        lanes = LANES[hashes[low:high].view(np.uint8)].reshape(-1, 8)
+        summed = np.add.reduceat(lanes, cuts, axis=0).view(np.uint8)
+        counts[first + full] += np.add.reduceat(summed, at, axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint", width: int = SHINGLE) -> DataFrame:
@@ -224,21 +225,36 @@ def components(edges: DataFrame) -> DataFrame:
     return label if label is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links; one row per row."""
-    ids = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    printed = materialise(fingerprints(ids, "text", "fp", width))
+def labelled(rows: DataFrame, width: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
+    """The other columns of ``rows`` (doc_id, text, ...) with fp, its component's root and component_id, the smallest id of the component."""
+    printed = materialise(fingerprints(rows, "text", "fp", width))
     nodes = materialise(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     label = components(links(nodes, "fp", bits))
     rooted = nodes.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return printed.join(materialise(named), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return printed.join(materialise(named), "fp")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links; one row per row."""
+    found = labelled(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), width, bits)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, bits: int = MAX_BITS) -> DataFrame:
+    """``docs`` with one row of every component: that of the smallest id, a missing id last.
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with only the smallest id of every component; a row without an id cannot be named and stays."""
-    keeper = free_name(docs, "keeper")
+    An id that occurs in several components keeps a row in each where it is the smallest. Of rows of one id in one component
+    the one whose text, then whole row, hashes smallest stays.
+    """
+    id_mark, text_mark, place = (free_name(docs, n) for n in ("id_mark", "text_mark", "place"))
     own = F.col(f"`{doc_id}`")
-    kept = near_duplicates(docs.select(own, F.col(f"`{text}`")), doc_id, text, **options).select(F.col("component_id").alias(keeper)).distinct()
-    named = docs.filter(own.isNotNull()).join(kept, docs[doc_id] == kept[keeper], "left_semi").dropDuplicates([doc_id])
-    return named.unionByName(docs.filter(own.isNull()))
+    # The two marks find a row again: rows with both equal have one component.
+    marks = {id_mark: F.xxhash64(own.isNull(), own), text_mark: F.xxhash64(whole(F.col(f"`{text}`")))}
+    marked = docs.withColumns(marks)
+    rows = marked.select(own.alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(id_mark).alias("~i"), F.col(text_mark).alias("~t"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "~t", "~i"))
+    keepers = labelled(rows, width, bits).groupBy("root").agg(first.alias("k")).select(F.col("k.~i").alias(id_mark), F.col("k.~t").alias(text_mark))
+    kept = marked.join(keepers.distinct(), [id_mark, text_mark], "left_semi")
+    order = Window.partitionBy(id_mark, text_mark).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return kept.withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -262,6 +264,15 @@ def test_near_copies(spark, odd, docs):
     assert sorted(i for i in kept if i is not None) == sorted(least.values()) and kept.count(None) == 1
 
 
+def test_one_id_with_unlike_texts(spark):
+    """Only near copies go: an id's other texts stay, and rows without an id go where a copy has one."""
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, "x y z", "a"), (1, "x y z", "b"), (1, "other words here entirely", "c"), (2, long, "d"), (None, long, "e"), (None, "alone without an id", "f"), (None, "alone without an id", "f"), (3, "x y z", "g")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, text_hash string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "alone without an id"), (1, "other words here entirely"), (1, "x y z"), (2, long)]
+    assert kept[0].asDict().keys() == {"doc_id", "text", "text_hash"}
+
+
 def test_small_shards_lose_no_link(spark):
     """Many tiny shards and a dense ball: the same components as all pairs."""
     rng = random.Random(4)
@@ -310,6 +321,30 @@ def test_bpe_round_trip(spark, odd, docs):
     same([(r["doc_id"], bytes(r["bytes"])) for r in back], [(i, (t or "").encode()) for i, t in pairs(df)])
 
 
+def test_chunks_of_one_text_are_encoded_apart(spark, none):
+    """Ids of long texts equal the library's, whether chunks meet or one pre-token spans them; clashing columns stay."""
+    rng, e = random.Random(6), encoding()
+    words = ["the", "naïve", "x1", "  ", "\n\n", "don't", "🙂🙂", "中文", "!!!", "3.14", "\t"]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (400, 701, 3000)] + ["y" * 2500, "a b " * 300 + "z" * 1500 + " c d" * 300, "é" * 700 + "ab", " " * 1500, "k " * 350 + "qq"]
+    df = spark.createDataFrame([(k, t, "kept", k) for k, t in enumerate(texts)], "doc_id bigint, text string, ids string, n_tokens int")
+    got = bytebpe.encode(df, RANKS, PATTERN, step=700, overlap=20)
+    assert got.columns == ["doc_id", "ids", "n_tokens", "ids_"]
+    assert {r["doc_id"]: (list(r["ids_"]), r["ids"], r["n_tokens"]) for r in got.collect()} == {k: (e.encode_ordinary(t), "kept", k) for k, t in enumerate(texts)}
+    assert bytebpe.encode(none, RANKS, PATTERN, digest=True).count() == 0
+
+
+def test_long_texts_take_linear_time():
+    """Stitching and meeting four times the text takes about four times as long."""
+    codec, took = bytebpe.Codec(open(RANKS, "rb").read(), PATTERN), []
+    for size in (1 << 20, 1 << 22):
+        text = ("some words 12 and more, " * (size // 24 + 1))[:size]
+        begin = time.process_time()
+        chunks = [(o, text[o : o + 24_512], codec.starts(text[o : o + 24_512], o, o + 24_512 >= size)) for o in range(0, size, 24_000) if not o or size - o > 512]
+        assert "".join(codec.stitch(chunks)) == text
+        took.append(time.process_time() - begin)
+    assert took[1] <= 6 * took[0] + 0.5
+
+
 def test_stitching_equals_whole_text():
     codec, e, rng = bytebpe.Codec(open(RANKS, "rb").read(), PATTERN), encoding(), random.Random(1)
     signs = ["a", "b", " ", "  ", "\n", "'", "re", "ll", "'s", "1", "é", " ", "　", "\x1c", "\x85", "中", "🙂", "!", "\t", "the ", "\r\n", "́"]
@@ -342,8 +377,8 @@ def test_repair_file(spark, odd, docs):
 
     model = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(model)
-    tokenizer.encode_special_tokens = True
-    df = docs.select("doc_id", "text").filter("doc_id > 20").unionByName(odd.select("doc_id", "text")).unionByName(spark.createDataFrame([(9, "a  b <|endoftext|> İ ﬁ Å \x0b it's")], "doc_id bigint, text string"))
+    special = [(9, "a  b <|endoftext|> İ ﬁ Å \x0b it's"), (10, "hello <|endoftext|> world <|startoftext|>"), (11, "x<|endoftext|>y <|ENDOFTEXT|> <|endoftext|"), (12, "<|startoftext|><|endoftext|>"), (13, "é<|endoftext|>é\ue000 a<|endoftext|>")]
+    df = docs.select("doc_id", "text").filter("doc_id > 20").unionByName(odd.select("doc_id", "text")).unionByName(spark.createDataFrame(special, "doc_id bigint, text string"))
     path = scratch_path(spark, "tokens")
     repair.write(df, model, path, shard=20_000)
     got = sorted((tuple(r) for r in repair.read(spark, path).collect()), key=lambda r: r[1])
@@ -354,6 +389,21 @@ def test_repair_file(spark, odd, docs):
         expected.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert got == expected
+    assert tokenizer.encode(special[1][1], add_special_tokens=False).ids == [3306, 49407, 1002, 49406]
+
+
+def test_repair_uses_up_its_symbols():
+    """Rounds go on until no pair is frequent: one round's grammar is a plain search's, however many rounds it takes."""
+    ids = np.tile(np.arange(7, dtype=np.uint32), 5000)
+    symbols, _, left, right, lengths = repair.compress(ids, np.array([0, len(ids)]))
+    assert len(symbols) < 40 and lengths.max() > 1000 and len(left) < 60
+
+
+def test_repair_refuses_large_vocabularies(tmp_path):
+    model = json.load(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8"))
+    model["added_tokens"].append(dict(model["added_tokens"][0], id=repair.BASE, content="<|more|>"))
+    with pytest.raises(ValueError, match="vocabulary"):
+        repair.Words(json.dumps(model))
 
 
 def test_repair_empty(spark, none):

@@ -91,7 +91,7 @@ def chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_toxicity_chain")
 def toxicity_chain(spark: SparkSession, folder: str) -> DataFrame:
-    return toxicity.classify(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels").select("doc_id", "toxic"))
+    return toxicity.classify(table(spark, folder, "documents").select("doc_id", "text", "lang"), table(spark, folder, "labels").select("doc_id", "toxic")).drop("lang")
 
 
 @query("op7_quality_classifier")

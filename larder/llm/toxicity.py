@@ -4,23 +4,30 @@ Texts become counts of a learned vocabulary of words and word beginnings. A chai
 category; model k sees the vocabulary and the probabilities of categories 1 to k-1. For training these are
 out-of-fold predictions, so a later model learns from probabilities as uncertain as those it will meet.
 
+The labels know one kind, toxic. The earlier categories come from the labelled sample: a toxic document is openly
+abusive if it holds one of the ``TELLING`` terms that set toxic documents of its language apart most, as counted in the
+other folds, so no document names its own terms; it is veiled if it holds none. Languages only split that count; a score
+reads nothing but the text.
+
 Training is bounded by ``SAMPLE`` labelled documents, chosen by a hash of their ids, and by ``TERMS`` terms;
-scoring reads every document whole.
+scoring reads every document, however long, whole.
 
 Defined cases: null and empty texts have no terms; a category without both kinds of labels scores 0
 everywhere, so that without positive labels nothing is rejected; labels that are null, or of unknown
 documents, are left out; repeated labels of an id count by their largest value; repeated documents are
-scored each.
+scored each; without the language column all documents count as of one language; an empty table gives an empty
+result; a result whose name the input has already is lengthened by an underscore.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.text import hashed_sample, whole
+from larder.llm.text import free_name, hashed_sample, whole
+from larder.session import materialise
 
 SAMPLE = 12_000  # labelled documents a chain is fitted on
 TERMS = 300  # terms of the vocabulary
@@ -28,8 +35,7 @@ LEAST = 4  # labelled documents a term must occur in
 STARTS = (4, 5, 6, 7, 8)  # lengths of word beginnings
 FOLDS = 4
 CLEAN_LOSS = 0.002  # share of clean labelled documents that the threshold may reject, out of fold
-#: English terms of open abuse (fixed values): they split the label into open and veiled toxicity.
-OPEN = ("trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron")
+TELLING, APART = 12, 3.0  # terms per language that make a toxic document an open one, and the gap they need, in deviations
 CATEGORIES = ("open_abuse", "veiled_abuse", "toxic")
 
 
@@ -117,37 +123,74 @@ class Chain:
         return cls(models, min(threshold, 0.999))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE) -> tuple[dict[str, int], Chain]:
+def counted(labelled: DataFrame) -> DataFrame:
+    """(lang, term) with the documents and toxic documents that hold it, over all and per fold."""
+    by_fold = [agg for f in range(FOLDS) for agg in (F.count_if(F.col("fold") == f).alias(f"n{f}"), F.sum(F.when(F.col("fold") == f, F.col("y")).otherwise(0)).alias(f"bad{f}"))]
+    exploded = labelled.select("lang", "fold", "y", F.explode(terms_of(F.array_distinct("words"))).alias("term"))
+    return exploded.groupBy("lang", "term").agg(F.count("*").alias("n"), F.sum("y").alias("bad"), *by_fold)
+
+
+def gap(n: Column, bad: Column, share: Column) -> Column:
+    """How many deviations more toxic documents hold a term than its frequency lets expect."""
+    return (bad - n * share) / F.sqrt(n * share * (1 - share) + 1)
+
+
+def telling_terms(each: DataFrame, labelled: DataFrame) -> dict[tuple, frozenset]:
+    """Per (language, fold), the terms that tell toxic documents of the other folds apart; ``TELLING`` of each at most."""
+    sizes = labelled.groupBy("lang").agg(*[F.count_if(F.col("fold") != f).alias(f"all{f}") for f in range(FOLDS)], *[F.sum(F.when(F.col("fold") != f, F.col("y")).otherwise(0)).alias(f"toxic{f}") for f in range(FOLDS)])
+    joined = each.join(sizes, each.lang.eqNullSafe(sizes.lang)).drop(sizes.lang)
+    rest = [(F.col("n") - F.col(f"n{f}"), F.col("bad") - F.col(f"bad{f}"), (F.col(f"toxic{f}") + 0.5) / (F.col(f"all{f}") + 1)) for f in range(FOLDS)]
+    scores = F.explode(F.array(*[F.struct(F.lit(f).alias("fold"), n.alias("n"), gap(n, bad, share).alias("gap")) for f, (n, bad, share) in enumerate(rest)]))
+    rows = joined.select("lang", "term", scores.alias("s")).filter((F.col("s.n") >= LEAST) & (F.col("s.gap") >= APART))
+    best = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang", "s.fold").orderBy(F.col("s.gap").desc(), "term"))).filter(F.col("place") <= TELLING)
+    found: dict[tuple, set] = {}
+    for r in best.select("lang", "s.fold", "term").collect():
+        found.setdefault((r["lang"], r["fold"]), set()).add(r["term"])
+    return {key: frozenset(terms) for key, terms in found.items()}
+
+
+def holds(text: str, telling: frozenset, gates: frozenset) -> bool:
+    """Whether a text has one of the terms."""
+    import regex
+
+    near = (w for w in regex.findall(r"\p{L}+", text.lower()) if w[: STARTS[0]] in gates)
+    return any(w in telling or any(size < len(w) and w[:size] + "*" in telling for size in STARTS) for w in near)
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE, lang: str = "lang") -> tuple[dict[str, int], Chain]:
     """The vocabulary and the fitted chain."""
     known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{toxic}`").cast("int").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.max("y").alias("y"))
     chosen = hashed_sample(known, sample, known.count(), "id")
-    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), letters(F.col(f"`{text}`")).alias("words"), whole(F.col(f"`{text}`")).alias("text"))
-    # `chosen` has at most `sample` rows of two numbers.
-    labelled = texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"])
-    each = labelled.select("y", F.explode(terms_of(F.array_distinct("words"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("bad"))
-    size = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("bad")).first()
-    share = (F.lit(size.bad) + 0.5) / F.lit(size.n + 1)
-    gap = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1)
-    best = [r.term for r in each.filter(F.col("n") >= LEAST).orderBy(gap.desc(), "term").limit(TERMS).collect()]
-    terms = {t: k for k, t in enumerate(dict.fromkeys([*OPEN, *best]))}
+    language = F.col(f"`{lang}`").cast("string") if lang in docs.columns else F.lit(None).cast("string")
+    texts = docs.select(F.col(f"`{doc_id}`").alias("id"), letters(F.col(f"`{text}`")).alias("words"), whole(F.col(f"`{text}`")).alias("text"), language.alias("lang"))
+    # `chosen` has at most `sample` rows of two numbers. Of rows with one id the smallest text trains.
+    labelled = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min(F.struct("text", "lang", "words")).alias("d"))
+    labelled = materialise(labelled.select("id", "y", "d.*", F.pmod(F.xxhash64("id"), F.lit(FOLDS)).cast("int").alias("fold")))
+    each = materialise(counted(labelled))
+    size = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("bad")).first()
+    overall = each.groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter(F.col("n") >= LEAST)
+    best = overall.orderBy(gap(F.col("n"), F.col("bad"), (F.lit(size.bad) + 0.5) / F.lit(size.n + 1)).desc(), "term").limit(TERMS)
+    telling = telling_terms(each, labelled)
+    terms = {t: k for k, t in enumerate(dict.fromkeys([*sorted(frozenset().union(*telling.values())), *[r.term for r in best.collect()]]))}
     gates = gates_of(terms)
 
     def vectors(frames):
         import pandas as pd
-        import regex
 
         for got in frames:
             found = [vector(t, terms, gates) for t in got["text"]]
-            seen = [not set(regex.findall(r"\p{L}+", t.lower())).isdisjoint(OPEN) for t in got["text"]]
-            yield pd.DataFrame({"id": got["id"], "y": got["y"], "open": seen, "at": [np.flatnonzero(v) for v in found], "value": [v[v > 0] for v in found]})
+            own = [telling.get((None if pd.isna(g) else g, f), frozenset()) for g, f in zip(got["lang"], got["fold"])]
+            seen = [holds(t, o, gates_of(o)) for t, o in zip(got["text"], own)]
+            yield pd.DataFrame({"id": got["id"], "y": got["y"], "fold": got["fold"], "open": seen, "at": [np.flatnonzero(v) for v in found], "value": [v[v > 0] for v in found]})
 
-    rows = labelled.select("id", "y", "text").mapInPandas(vectors, "id bigint, y int, open boolean, at array<int>, value array<float>").orderBy("id").collect()
+    kind = labelled.schema["id"].dataType.simpleString()
+    rows = labelled.select("id", "y", "fold", "lang", "text").mapInPandas(vectors, f"id {kind}, y int, fold int, open boolean, at array<int>, value array<float>").orderBy("id").collect()
     x = np.zeros((len(rows), 2 * len(terms)), np.float32)
     for k, r in enumerate(rows):
         x[k, r["at"]] = r["value"]
     y = np.array([r["y"] for r in rows], int)
     seen = np.array([r["open"] for r in rows], bool)
-    fold = np.array([(r["id"] * 2654435761 >> 7) % FOLDS for r in rows], int)
+    fold = np.array([r["fold"] for r in rows], int)
     return terms, Chain.fit(x, np.column_stack([(y > 0) & seen, (y > 0) & ~seen, y > 0]) if len(rows) else np.zeros((0, 3), bool), fold)
 
 
@@ -155,7 +198,8 @@ def score(docs: DataFrame, terms: dict[str, int], chain: Chain, text: str = "tex
     """The other columns of ``docs``, a probability per category and ``rejected``."""
     keep = [c for c in docs.columns if keep_text or c != text]
     gates = gates_of(terms)
-    out = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(f"p_{c}", T.DoubleType()) for c in CATEGORIES], T.StructField("rejected", T.BooleanType())])
+    names = [free_name(docs, n) for n in (*[f"p_{c}" for c in CATEGORIES], "rejected")]
+    out = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(n, T.DoubleType()) for n in names[:-1]], T.StructField(names[-1], T.BooleanType())])
 
     def run(batches):
         import pyarrow as pa
@@ -173,13 +217,14 @@ def score(docs: DataFrame, terms: dict[str, int], chain: Chain, text: str = "tex
     return docs.select(*[F.col(f"`{c}`") for c in keep], whole(F.col(f"`{text}`")).alias("~text")).mapInArrow(run, out)
 
 
-def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Every document with its category probabilities and whether it is rejected."""
-    terms, chain = train(docs, labels, doc_id, text)
+    terms, chain = train(docs, labels, doc_id, text, lang=lang)
     return score(docs, terms, chain, text)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` without the rejected rows."""
-    terms, chain = train(docs, labels, doc_id, text)
-    return score(docs, terms, chain, text, keep_text=True).filter(~F.col("rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    terms, chain = train(docs, labels, doc_id, text, lang=lang)
+    rejected = free_name(docs, "rejected")
+    return score(docs, terms, chain, text, keep_text=True).filter(~F.col(rejected)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,12 +13,23 @@ LARGER = "/root/testdata/sf0.01"
 
 
 def test_toxicity_held_out(spark):
-    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
+    """Held-out accuracy in every language, and a chain whose earlier categories have positives in each."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
     held = labels.filter("doc_id % 4 = 0")
     terms, chain = toxicity.train(docs, labels.filter("doc_id % 4 <> 0"))
-    got = toxicity.score(docs.join(held, "doc_id"), terms, chain).groupBy("toxic").agg(F.avg(F.col("rejected").cast("int"))).collect()
-    rate = {r[0]: r[1] for r in got}
-    assert rate[1] >= 0.93 and rate[0] <= 0.005
+    rows = toxicity.score(docs.join(held, "doc_id"), terms, chain).groupBy("lang", "toxic").agg(F.avg(F.col("rejected").cast("int")).alias("rate"), F.count("*").alias("n"), F.max("p_open_abuse").alias("open"), F.max("p_veiled_abuse").alias("veiled")).collect()
+    total = {t: sum(r["rate"] * r["n"] for r in rows if r["toxic"] == t) / sum(r["n"] for r in rows if r["toxic"] == t) for t in (0, 1)}
+    assert total[1] >= 0.93 and total[0] <= 0.005
+    assert all(w is not None for w in chain.models)
+    assert all(r["rate"] >= 0.8 and r["open"] > 0.5 for r in rows if r["toxic"] == 1)
+    assert max(r["veiled"] for r in rows) > 0.2
+
+
+def test_toxicity_in_one_language(spark):
+    """A chain of three fitted models from documents that hold no English word."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang").filter("lang <> 'en'"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
+    terms, chain = toxicity.train(docs.drop("lang"), labels)
+    assert all(w is not None for w in chain.models)
 
 
 def test_chain_feeds_earlier_categories():
@@ -35,6 +46,9 @@ def test_toxicity_odd(spark, odd, none):
     assert toxicity.classify(odd, labels).filter("NOT rejected").count() == odd.count()
     assert toxicity.classify(none, labels.limit(0)).count() == 0
     assert toxicity.drop_toxic(odd, labels).columns == odd.columns
+    clashing = odd.withColumns({"rejected": F.lit("x"), "p_toxic": F.lit(1)})
+    assert toxicity.drop_toxic(clashing, labels).columns == clashing.columns
+    assert {"rejected", "rejected_", "p_toxic_"} <= set(toxicity.classify(clashing, labels).columns)
 
 
 def test_quality_held_out(spark):

@@ -32,8 +32,8 @@ def _verdict(rule: Rule) -> Column:
     return F.coalesce(rule.bad, F.lit(True))
 
 
-def quarantine(df: DataFrame, table: str, key: str, rules: Sequence[Rule], first_only: bool = False) -> DataFrame:
-    """One row per record and failed rule; with ``first_only`` the first failure of a record."""
+def _failures(rules: Sequence[Rule], first_only: bool = False) -> Column:
+    """The failed rules of a row as an array of (rule, reason)."""
     failed = F.filter(
         F.array(
             *[
@@ -43,13 +43,21 @@ def quarantine(df: DataFrame, table: str, key: str, rules: Sequence[Rule], first
         ),
         lambda x: x.isNotNull(),
     )
-    failed = F.slice(failed, 1, 1) if first_only else failed
-    return df.select(F.col(key).cast("string").alias("record_identifier"), F.explode(failed).alias("failure")).select(
+    return F.slice(failed, 1, 1) if first_only else failed
+
+
+def _listed(df: DataFrame, table: str, record: Column, failed: Column) -> DataFrame:
+    return df.select(record.cast("string").alias("record_identifier"), F.explode(failed).alias("failure")).select(
         "record_identifier", F.lit(table).alias("source_table"), "failure.rule", "failure.reason",
         F.lit("quarantined").alias("action"),
     )
 
 
+def quarantine(df: DataFrame, table: str, key: str, rules: Sequence[Rule], first_only: bool = False) -> DataFrame:
+    """One row per record and failed rule; with ``first_only`` the first failure of a record."""
+    return _listed(df, table, F.col(key), _failures(rules, first_only))
+
+
 def accepted(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     for rule in rules:
         df = df.where(~_verdict(rule))
@@ -65,6 +73,22 @@ def dedup_first(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     return nth_per(df, [key], order)
 
 
+def first_of_sound(df: DataFrame, key: str, sound: Column, order: Sequence[Column]) -> DataFrame:
+    """The first row per key of the sound rows, and every unsound row.
+
+    Each unsound row is a group of its own: it meets no sound row and does not gather in one task. Both kinds pass the
+    same limit of one row per group, which Spark applies before the shuffle.
+    """
+    marked = df.withColumns({"_key": F.when(sound, F.col(key)), "_alone": F.when(~sound, F.monotonically_increasing_id())})
+    return nth_per(marked, ["_key", "_alone"], order).drop("_key", "_alone")
+
+
+def routed(judged: DataFrame, table: str) -> Cleaned:
+    """Accepted rows and rejections of rows that carry all their verdicts: ``_failed`` and the ``_record`` they are reported under."""
+    rows = judged.where(F.size("_failed") == 0).drop("_failed", "_record")
+    return Cleaned(rows, _listed(judged, table, F.col("_record"), F.col("_failed")))
+
+
 def with_known(df: DataFrame, dimension: DataFrame, key: str, flag: str, name: str | None = None) -> DataFrame:
     """Add a flag telling whether the key exists in a table."""
     keys = dimension.select(F.col(name or key).alias(key)).distinct().withColumn(flag, F.lit(True))
@@ -130,28 +154,28 @@ def clean_orders(raw: DataFrame, customers: DataFrame, locations: DataFrame, cha
     return Cleaned(accepted(flagged, [reference]).drop("_customer", "_location"), rejections)
 
 
-def clean_lines(raw: DataFrame, orders: DataFrame, menu: DataFrame, order: Sequence[Column]) -> Cleaned:
-    """Finite whole quantities, first row per id, valid values, known order and dish."""
+def judged_lines(raw: DataFrame, orders: DataFrame, menu: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Order lines with all their verdicts, from one pass over ``raw``: finite whole quantities, first row per id, valid
+    values, known order and dish."""
     shape = [*finite_rules(["Quantity", "Unit_Price", "Discount_Applied"], "Nonfinite financial or quantity value"), integer_rule()]
-    numbers = accepted(raw, shape).withColumns(
+    numbers = raw.withColumns({"_record": F.col("Order_Item_ID").cast("string"), "_shape": _failures(shape, first_only=True)}).withColumns(
         {
             **{c: F.col(c).try_cast("long") for c in ("Order_Item_ID", "Order_ID", "Item_ID")},
-            "Quantity": F.col("Quantity").try_cast("double").cast("long"),
+            "Quantity": F.col("Quantity").try_cast("double").try_cast("long"),
             "Unit_Price": F.col("Unit_Price").try_cast("decimal(20,4)"),
             "Discount_Applied": F.col("Discount_Applied").try_cast("decimal(20,4)"),
         }
     )
-    first = dedup_first(numbers, "Order_Item_ID", order)
-    value = line_value_rule()
-    valid = accepted(first, [value])
-    flagged = with_known(with_known(valid, menu, "Item_ID", "_item"), orders, "Order_ID", "_order")
+    first = first_of_sound(numbers, "Order_Item_ID", F.size("_shape") == 0, order)
+    flagged = with_known(with_known(first, menu, "Item_ID", "_item"), orders, "Order_ID", "_order")
     reference = reference_rule("known_line_references", "Unknown order or valid item", "_item", "_order")
-    rejections = (
-        quarantine(raw, "Order_Items", "Order_Item_ID", shape, first_only=True)
-        .unionByName(quarantine(first, "Order_Items", "Order_Item_ID", [value]))
-        .unionByName(quarantine(flagged, "Order_Items", "Order_Item_ID", [reference]))
-    )
-    return Cleaned(accepted(flagged, [reference]).drop("_item", "_order"), rejections)
+    later = _failures([line_value_rule(), reference], first_only=True)
+    return flagged.withColumn("_failed", F.when(F.size("_shape") > 0, F.col("_shape")).otherwise(later)).drop("_shape", "_item", "_order")
+
+
+def clean_lines(raw: DataFrame, orders: DataFrame, menu: DataFrame, order: Sequence[Column]) -> Cleaned:
+    """Accepted order lines and the rejected ones."""
+    return routed(judged_lines(raw, orders, menu, order), "Order_Items")
 
 
 def clean_menu(menu: DataFrame, prices: DataFrame, order: Sequence[Column]) -> Cleaned:
@@ -200,23 +224,22 @@ WASTE_VALUES = ("Quantity_Wasted", "Cost_Impact", "Demand_Quantity", "Prepared_Q
 
 
 def clean_wastage(raw: DataFrame, menu: DataFrame, locations: DataFrame, order: Sequence[Column]) -> Cleaned:
-    """Finite balanced amounts, first row per id, known dish and location, valid date and values."""
+    """Finite balanced amounts, first row per id, known dish and location, valid date and values; one pass over ``raw``."""
     shape = [
         *finite_rules(WASTE_VALUES, "Nonfinite wastage value"),
         Rule("preparation_balance", "Consumed plus wasted exceeds prepared",
              F.col("Quantity_Consumed") + F.col("Quantity_Wasted") > F.col("Prepared_Quantity")),
     ]
-    first = dedup_first(accepted(raw, shape), "Wastage_ID", order)
+    marked = raw.withColumns({"_record": F.col("Wastage_ID").cast("string"), "_shape": _failures(shape, first_only=True)})
+    first = first_of_sound(marked, "Wastage_ID", F.size("_shape") == 0, order)
     flagged = with_known(with_known(first, menu, "Item_ID", "_item"), locations, "Location_ID", "_location")
     reference = reference_rule("known_wastage_references", "Unknown item or location", "_item", "_location")
     good = F.col("Wastage_Date").isNotNull() & (F.col("Quantity_Wasted") <= F.col("Prepared_Quantity"))
     for c in WASTE_VALUES:
         good = good & (F.col(c) >= 0)
     value = Rule("valid_wastage_values", "Invalid date or negative/impossible wastage value", ~good)
-    rejections = quarantine(raw, "Wastage", "Wastage_ID", shape, first_only=True).unionByName(
-        quarantine(flagged, "Wastage", "Wastage_ID", [reference, value])
-    )
-    return Cleaned(accepted(flagged, [reference, value]).drop("_item", "_location"), rejections)
+    failed = F.when(F.size("_shape") > 0, F.col("_shape")).otherwise(_failures([reference, value]))
+    return routed(flagged.withColumn("_failed", failed).drop("_shape", "_item", "_location"), "Wastage")
 
 
 def fk_reject(df: DataFrame, key: str, dimension: DataFrame) -> Cleaned:

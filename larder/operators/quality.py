@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,11 +94,11 @@ def dq_basic(lines: DataFrame, orders: DataFrame) -> DataFrame:
     ])
 
 
-def quality_report(stages: dict[str, DataFrame]) -> DataFrame:
-    """Rows at each stage of the pipeline."""
-    return stack([
-        df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("stage"), "rows") for name, df in stages.items()
-    ])
+def quality_report(stages: dict[str, DataFrame], split: Sequence[tuple[DataFrame, dict[str, Column]]] = ()) -> DataFrame:
+    """Rows at each stage of the pipeline; ``split`` names several stages of one frame, counted in one pass."""
+    counted = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("stage"), "rows") for name, df in stages.items()]
+    together = [_long(df.agg(*[F.count_if(c).alias(n) for n, c in conditions.items()]), list(conditions), "stage", "rows") for df, conditions in split]
+    return stack([*counted, *together])
 
 
 def reconcile(integrated: DataFrame, authority: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from larder.functions.scalar import finite, fractional, known
 from larder.operators import cleaning, facts, quality
 from larder.plans.registry import query
 from larder.plans.sales_queries import STAR, star
-from larder.session import scratch_path
+from larder.session import materialise, scratch_path
 from larder.sources import contract, raw, sinks, snapshot
 
 LINE_FIELDS = ["Order_Item_ID", "Order_ID", "Item_ID", "Quantity", "Unit_Price", "Discount_Applied"]
@@ -402,11 +402,17 @@ def dq_profile_basic(t):
         WHERE valid AND resolved AND Order_ID IN (SELECT Order_ID FROM ok_orders WHERE Order_Status = 'Completed')
     UNION ALL SELECT 'valid_wastage', count(*) FROM waste_known WHERE resolved AND valid""", CLEAN)
 def dq_quality_report(t):
-    orders, lines = ok_orders(t).rows, ok_lines(t).rows
-    return quality.quality_report({
-        "raw_orders": t.raw_orders, "raw_lines": t.raw_lines, "valid_orders": orders, "completed_orders": facts.completed(orders),
-        "valid_lines": lines, "clean_completed_lines": facts.build_sales(lines, orders, ok_menu(t)), "valid_wastage": ok_wastage(t).rows,
-    })
+    # One narrow row per order and per dish; every raw table is judged once.
+    orders, dishes = materialise(ok_orders(t).rows.select("Order_ID", "Order_Status")), materialise(ok_menu(t).select("Item_ID", "Category_ID"))
+    lines = cleaning.clean_lines(t.raw_lines, orders, dishes, t.line_order()).rows
+    done = facts.completed(orders).select("Order_ID", F.lit(True).alias("_done"))
+    sold = lines.select("Order_ID").join(done, "Order_ID", "left")
+    spoilt = cleaning.clean_wastage(t.raw_wastage, dishes, t.locations, [F.col("Wastage_Date"), F.col("Item_ID"), F.col("Location_ID")]).rows
+    every = F.lit(True)
+    return quality.quality_report({"raw_orders": t.raw_orders, "raw_lines": t.raw_lines, "valid_wastage": spoilt}, [
+        (orders, {"valid_orders": every, "completed_orders": F.col("Order_Status") == "Completed"}),
+        (sold, {"valid_lines": every, "clean_completed_lines": F.coalesce("_done", F.lit(False))}),
+    ])
 
 
 @query("dq_reconcile", """WITH a AS (SELECT * FROM tagged JOIN asof_sales USING (Order_Item_ID))

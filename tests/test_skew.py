@@ -73,3 +73,59 @@ def test_copies_of_one_key(rows, spark):
     assert first.where("k = 1").first()["v"] == 8997
     plan = first._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def split_rules(found, total, least):
+    """Every split of every set, by brute force."""
+    out = {}
+    for items, n in found.items():
+        for size in range(1, len(items)):
+            for right in combinations(sorted(items), size):
+                left = tuple(sorted(set(items) - set(right)))
+                if n >= least * found[left]:
+                    out[left, right] = (n / found[left], n / found[left] / (found[right] / total), n / total)
+    return out
+
+
+@pytest.mark.parametrize("least", [0.0, 0.5])
+def test_grown_rules_are_all_splits(rows, least):
+    held = [set(i for i in range(6) if (o * 7 + i * i) % (i + 2) < 2) for o in range(80)]
+    found = {s: n for size in range(1, 7) for s in combinations(range(6), size) if (n := sum(set(s) <= h for h in held))}
+    df = rows("items array<long>, freq long", [(list(reversed(s)), n) for s, n in found.items()])
+    got = {(tuple(r["antecedent"]), tuple(r["consequent"])): (r["confidence"], r["lift"], r["support"]) for r in basket.itemset_rules(df, len(held), least).collect()}
+    expected = split_rules(found, len(held), least)
+    assert got.keys() == expected.keys()
+    assert all(got[k] == pytest.approx(expected[k]) for k in got)
+    assert basket.itemset_rules(df.limit(0), 5).collect() == []
+
+
+def test_a_set_of_forty_items_does_not_explode(rows):
+    """Two items may be concluded from the other 39, and each from the 38 without both; nothing else is sure enough to grow."""
+    every = list(range(40))
+    sets = [(every, 10), *[([i for i in every if i != k], 10 if k in (3, 30) else 1000) for k in every], ([i for i in every if i not in (3, 30)], 12), *[([k], 1000) for k in every], ([3, 30], 500)]
+    got = basket.itemset_rules(rows("items array<long>, freq long", sets), 10_000, 0.8).collect()
+    assert sorted((len(r["antecedent"]), tuple(r["consequent"])) for r in got) == [(38, (3,)), (38, (3, 30)), (38, (30,)), (39, (3,)), (39, (30,))]
+
+
+def test_unsound_rows_take_no_part_in_the_first_row_of_a_key(rows):
+    from pyspark.sql import functions as F
+
+    data = [(1, 1, False), (1, 2, True), (1, 3, True), (None, 4, False), (None, 5, False), (2, 6, False), (None, 7, True), (None, 8, True)] + [(9, 100 + i, True) for i in range(500)]
+    got = cleaning.first_of_sound(rows("k long, n long, ok boolean", data), "k", F.col("ok"), [F.col("n")]).collect()
+    assert sorted(r["n"] for r in got) == [1, 2, 4, 5, 6, 7, 100]
+
+
+def test_lines_are_read_once(spark):
+    """Rows and rejections of one pass: every raw row is accepted, rejected or a later copy."""
+    from pyspark.sql import functions as F
+
+    raw = spark.createDataFrame(
+        [("1", "1", "5", "2", "3.0", "0", 1), ("1", "1", "5", "9", "3.0", "0", 2), ("2", "1", "5", "1.5", "3.0", "0", 1), ("2", "1", "5", "1", "3.0", "0", 3), ("3", "1", "5", "many", "x", "0", 1),
+         ("4", "7", "5", "1", "3.0", "0", 1), ("5", "1", "6", "1", "3.0", "9", 1), (None, "1", "5", "1", "3.0", "0", 1), ("6", "1", "5", "1e30", "3.0", "0", 1)],
+        "Order_Item_ID string, Order_ID string, Item_ID string, Quantity string, Unit_Price string, Discount_Applied string, place int")
+    done = cleaning.clean_lines(raw, spark.createDataFrame([(1,)], "Order_ID long"), spark.createDataFrame([(5,)], "Item_ID long"), [F.col("place")])
+    assert sorted((r["Order_Item_ID"], r["Quantity"]) for r in done.rows.collect()) == [(1, 2), (2, 1)]
+    assert sorted((str(r["record_identifier"]), r["rule"]) for r in done.rejections.collect()) == [
+        ("2", "integer_quantity"), ("3", "finite_Quantity"), ("4", "known_line_references"), ("5", "valid_line_values"), ("6", "valid_line_values"), ("None", "valid_line_values")]
+    plan = done.rejections._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Quantity") and plan.count("LogicalRDD") + plan.count("LocalRelation") == 3

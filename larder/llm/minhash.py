@@ -65,18 +65,22 @@ def similar_size(a: str, b: str, similarity: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * similarity
 
 
+def estimate(a: Column, b: Column, k: int) -> Column:
+    """Per cent of the union sketch of two sketches that both hold. The one-row transform makes union and intersection once a pair."""
+    both = F.struct(F.slice(F.sort_array(F.array_union(a, b)), 1, k).alias("union"), F.array_intersect(a, b).alias("common"))
+    share = lambda r: F.size(F.filter(r["common"], lambda v: v <= F.element_at(r["union"], -1))) * 100 / F.size(r["union"])
+    return F.get(F.transform(F.array(both), share), F.lit(0))
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, k: int, similarity: int) -> DataFrame:
     """Those of ``pairs`` (x, y) that are links: sizes, union sketch, then the full sets."""
     printed = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"s{s}"))
     near = pairs.join(printed("x"), "x").join(printed("y"), "y").filter(similar_size("nx", "ny", similarity))
-    # Columns of their own, so that each is made once a pair: the union sketch, its last value, what both hold up to there.
-    near = near.select("x", "y", "nx", "ny", F.slice(F.sort_array(F.array_union("sx", "sy")), 1, k).alias("union"), F.array_intersect("sx", "sy").alias("common"))
-    near = near.select("x", "y", "nx", "ny", F.size("union").alias("of"), F.element_at("union", -1).alias("last"), "common")
-    hits = F.size(F.filter("common", lambda v: v <= F.col("last")))
-    near = materialise(near.filter(hits * 100 >= F.col("of") * (similarity - SLACK)).select("x", "y", "nx", "ny"))
+    near = materialise(near.filter(estimate(F.col("sx"), F.col("sy"), k) >= similarity - SLACK).select("x", "y", "nx", "ny"))
     full = lambda s: sets.select(F.col("node").alias(s), F.col("set").alias(f"f{s}"))
-    counted = near.join(full("x"), "x").join(full("y"), "y").select("x", "y", "nx", "ny", F.size(F.array_intersect("fx", "fy")).alias("common"))
-    return counted.filter(F.col("common") * 100 >= (F.col("nx") + F.col("ny") - F.col("common")) * similarity).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # 100 * common >= similarity * (nx + ny - common), with the count written once.
+    same = F.size(F.array_intersect("fx", "fy")) * (100 + similarity) >= (F.col("nx") + F.col("ny")) * similarity
+    return near.join(full("x"), "x").join(full("y"), "y").filter(same).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def labelled(df: DataFrame, label: DataFrame, column: str, name: str) -> DataFrame:

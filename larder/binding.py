@@ -9,6 +9,7 @@ mapping as text for the SQL comparison.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.windows import nth_per
 from larder.operators import facts
+from larder.session import materialise
 
 # Defects planted by expression in the raw text tables (see Tables.raw_orders / raw_lines).
 CHANNELS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -36,6 +38,13 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._kept: dict[str, DataFrame] = {}
+
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A reduced table that several parts of one query read: made and stored at the first call."""
+        if name not in self._kept:
+            self._kept[name] = materialise(build())
+        return self._kept[name]
 
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

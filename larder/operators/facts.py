@@ -100,14 +100,25 @@ def price_intervals(prices: DataFrame) -> DataFrame:
     return daily.select("Item_ID", F.col("Price"), F.col("Effective_Date"), following.alias("Until"))
 
 
-def asof_price(sales: DataFrame, prices: DataFrame, day: str = "Date", horizon: Column | None = None) -> DataFrame:
+#: Lines of one dish from which on it is dealt over several keys.
+HOT_LINES = 2_000_000
+
+
+def hot_items(lines: DataFrame, target: int = HOT_LINES) -> DataFrame:
+    """(Item_ID, parts) of the dishes with more than ``target`` lines; at most one dish per ``target`` lines of all."""
+    counted = lines.groupBy("Item_ID").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > target)
+    return counted.select("Item_ID", F.ceil(F.col("n") / target).cast("int").alias("parts"))
+
+
+def asof_price(sales: DataFrame, prices: DataFrame, day: str = "Date", horizon: Column | None = None, hot: DataFrame | None = None) -> DataFrame:
     """The price in force on the sale date, null before an item's first price.
 
     ``horizon`` is a date no sale lies after; by default it is read from the sales.
 
     A price range is spread over the calendar quarters it touches, so that the join is an equi
     join on (item, quarter) with at most one quarter's price events per line, rather than a
-    range join against an item's whole history.
+    range join against an item's whole history. ``hot`` (from ``hot_items``) names dishes whose lines are dealt over
+    several keys, by a hash of the line; only their few price ranges are repeated.
     """
     if horizon is None:
         horizon = sales.agg(F.max(F.col(day))).scalar()
@@ -122,14 +133,23 @@ def asof_price(sales: DataFrame, prices: DataFrame, day: str = "Date", horizon:
             F.sequence(F.trunc("Effective_Date", "quarter"), F.trunc("last", "quarter"), F.expr("INTERVAL 3 MONTHS"))
         ).alias("_quarter"),
     )
+    if hot is None:
+        dealt, part = sales, F.lit(0)
+        spread = spread.withColumn("_part", F.lit(0))
+    else:
+        parts = hot.select(F.col("Item_ID").alias("_hot"), "parts")
+        spread = spread.join(parts, F.col("_item") == F.col("_hot"), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("_hot", "parts")
+        dealt = sales.join(parts, F.col("Item_ID") == F.col("_hot"), "left").withColumn("_deal", F.pmod(F.xxhash64("Order_Item_ID"), F.coalesce("parts", F.lit(1))).cast("int")).drop("_hot", "parts")
+        part = F.col("_deal")
     at = F.col(day)
     match = (
         (F.col("Item_ID") == F.col("_item"))
         & (F.trunc(at, "quarter") == F.col("_quarter"))
+        & (part == F.col("_part"))
         & (at >= F.col("Effective_Date"))
         & (F.col("_until").isNull() | (at < F.col("_until")))
     )
-    return sales.join(spread, match, "left").drop("_item", "_until", "_quarter")
+    return dealt.join(spread, match, "left").drop("_item", "_until", "_quarter", "_part", "_deal")
 
 
 def campaign_flag(df: DataFrame, day: str = "Date") -> Column:

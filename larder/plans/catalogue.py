@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.plans import model_queries, rule_queries, sales_queries, source_queries  # noqa: F401
+from larder.plans import fitted_queries, model_queries, rule_queries, sales_queries, source_queries  # noqa: F401
 from larder.plans.registry import ORACLE, QUERIES, runner
 
 

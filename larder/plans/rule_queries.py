@@ -180,7 +180,7 @@ def by_median(volume: str, profit: str) -> str:
 
 
 def item_classes(t):
-    return menu.median_classes(menu.item_stats(t.sales, t.menu, t.raw_ratings, t.wastage))
+    return t.kept("item_classes", lambda: menu.median_classes(menu.item_stats(t.sales, t.menu, t.raw_ratings, t.wastage)))
 
 
 @query("rule_menu_class_legacy", f"""SELECT Item_ID, Total_Quantity_Sold, CAST(Total_Profit AS DOUBLE) AS Total_Profit, Profit_Pct, Promotion_Dependency_Pct, Wastage_Pct,
@@ -410,8 +410,13 @@ def bsk_apriori_legacy(t):
         AND d.quantity > b.quantity AND d.contribution < b.contribution""", {**SLOW, **CHURN, **BASKET, **PHASED})
 def rule_recommendations(t):
     profiles = customers.segment_labels(place_profiles(t)).withColumns({"average_recency": F.col("Recency_Days"), "average_monetary": F.col("Monetary")})
+    return recommendations(t, risk(t), profiles)
+
+
+def recommendations(t, risky, profiles):
+    """Advice over high-risk pairs with stock and named segments."""
     best = basket.best_first(basket.rules(t.sales, min_pairs=2), 10)
-    advice_rows = advice.recommend(assessed(t), risk(t), profiles, best, events.promo_windows(t.sales, t.promotions, t.wastage))
+    advice_rows = advice.recommend(assessed(t), risky, profiles, best, events.promo_windows(t.sales, t.promotions, t.wastage))
     return advice_rows.select("rec_key", "type", "priority")
 
 
@@ -424,8 +429,16 @@ SIMPLE = {**MEDIANS, **WASTE_Q3, "advice": f"""SELECT row_number() OVER (ORDER B
     UNION ALL (SELECT 3, Customer_ID, 'Customer Targeting', 'Medium' FROM lost WHERE Churn_Risk = 'High' ORDER BY Customer_ID LIMIT 50))"""}
 
 
+def waste_levels(t):
+    return t.kept("waste_levels", lambda: metrics.wastage_q3(t.wastage, "Item_ID"))
+
+
+def lost_customers(t):
+    return t.kept("lost_customers", lambda: customers.churn_q3(visits(t)))
+
+
 def simple_advice(t):
-    return advice.recommend_simple(item_classes(t), metrics.wastage_q3(t.wastage, "Item_ID"), customers.churn_q3(visits(t)))
+    return t.kept("simple_advice", lambda: advice.recommend_simple(item_classes(t), waste_levels(t), lost_customers(t)))
 
 
 @query("rule_recommendations_legacy", "SELECT * FROM advice", SIMPLE)
@@ -659,10 +672,15 @@ def count_sql(section: str, label: str, source: str) -> str:
     top_sql("11 top locations", "Location_ID", "rev", "(SELECT Location_ID, sum(Quantity * Unit_Price) AS rev FROM sales GROUP BY 1)", 3), count_sql("12 recommendations", "Priority", "advice"),
 ]), REPORT)
 def rpt_sections(t):
+    return report(t, customers.segment_labels(place_profiles(t)))
+
+
+def report(t, segments):
+    """The report over named segments; tables that several sections read are stored once."""
     mean = stats.errors(cases(t), "Actual", {"seasonal": "seasonal", "rolling": "rolling"}).withColumn("mae", F.round("mae", 6))
     rules = basket.rules(t.sales, min_pairs=2).withColumn("Lift", F.round("Lift", 8))
     return advice.report_sections(
-        item_classes(t), metrics.wastage_q3(t.wastage, "Item_ID"), customers.segment_labels(place_profiles(t)), customers.churn_q3(visits(t)), rules, mean,
+        item_classes(t), waste_levels(t), segments, lost_customers(t), rules, mean,
         metrics.price_change_label(t.prices, t.lines), metrics.by_key_line_mean(t.sales, ["Location_ID"]), simple_advice(t),
     )
 

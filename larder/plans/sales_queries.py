@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from larder.binding import CHANNELS, Tables
 from larder.functions import calendar, scalar, windows
 from larder.functions import ordering
-from larder.operators import facts, filters, listing, metrics
+from larder.operators import facts, filters, listing, metrics, rollup
 from larder.plans.registry import query
-from larder.session import materialise
+from larder.session import materialise, scratch_path
 
 STAR = {
     "star": """SELECT s.*, c.Customer_Name, cat.Category_Name, loc.Location_Name, loc.City, hour(s.Order_DateTime) AS Local_Hour
@@ -219,7 +219,8 @@ def jn_latest_snapshot(t):
 @query("jn_asof_price", """SELECT Order_Item_ID, CAST(Effective_Price AS DOUBLE) AS Effective_Price, CAST(Effective_Date AS VARCHAR) AS Effective_Date FROM asof_sales""", STAR)
 def jn_asof_price(t):
     horizon = t.orders.agg(F.max(F.to_date("Order_DateTime"))).scalar()
-    return facts.asof_price(t.sales, t.prices, horizon=horizon).select("Order_Item_ID", "Effective_Price", "Effective_Date")
+    hot = facts.hot_items(t.lines)
+    return facts.asof_price(t.sales, t.prices, horizon=horizon, hot=hot).select("Order_Item_ID", "Effective_Price", "Effective_Date")
 
 
 @query("jn_semi", "SELECT Order_ID, Channel FROM clean_orders WHERE Order_ID IN (SELECT Order_ID FROM lines)")
@@ -379,17 +380,39 @@ def agg_daily_demand(t):
 SCOPE = filters.Filters(date_from=date(1996, 1, 1), date_to=date(2000, 12, 31), category_id=7, channel="5-LOW", channels=CHANNELS)
 
 
-@query("agg_executive", """WITH s AS (SELECT * FROM sales WHERE Date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND Category_ID = 7 AND Channel = '5-LOW')
+EXECUTIVE_SQL = """WITH s AS (SELECT * FROM sales WHERE Date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND Category_ID = 7 AND Channel = '5-LOW')
     SELECT count(DISTINCT Order_ID) AS orders, CAST(sum(Net_Revenue) AS DOUBLE) AS revenue, CAST(sum(Contribution) AS DOUBLE) AS contribution,
     round(CAST(sum(Net_Revenue) AS DOUBLE) / count(DISTINCT Order_ID), 2) AS aov, count(DISTINCT Customer_ID) AS active_customers,
     (SELECT count(*) FROM (SELECT Customer_ID FROM s GROUP BY 1 HAVING count(DISTINCT Order_ID) > 1)) AS repeat_customers,
     (SELECT CAST(sum(Cost_Impact) AS DOUBLE) FROM wastage WHERE Wastage_Date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'
-     AND Item_ID IN (SELECT Item_ID FROM menu WHERE Category_ID = 7)) AS wastage_cost FROM s""")
+     AND Item_ID IN (SELECT Item_ID FROM menu WHERE Category_ID = 7)) AS wastage_cost FROM s"""
+
+
+@query("agg_executive", EXECUTIVE_SQL)
 def agg_executive(t):
     f = SCOPE.for_report("dashboard")
     return metrics.executive(filters.apply_filters(t.sales, f), filters.apply_wastage_filters(t.wastage, f, t.menu))
 
 
+def rolled_up(t):
+    return rollup.build(t.sales, t.wastage, t.menu, scratch_path(t.spark, "rollup"))
+
+
+@query("agg_executive_rollup", EXECUTIVE_SQL)
+def agg_executive_rollup(t):
+    """The same figures from the order cells, which are written here first and serve any filter they cover."""
+    return rollup.answered(rolled_up(t), t.sales, t.wastage, t.menu, SCOPE.for_report("dashboard"))
+
+
+@query("agg_menu_rollup", """SELECT Item_ID, Category_ID, CAST(sum(Quantity) AS BIGINT) AS units, CAST(sum(Net_Revenue) AS DOUBLE) AS revenue, CAST(sum(Cost_Total) AS DOUBLE) AS cost, CAST(sum(Contribution) AS DOUBLE) AS contribution,
+    CAST(sum(Discount_Applied) AS DOUBLE) AS discount, count(DISTINCT Order_ID) AS orders, strftime(min(Order_DateTime), '%Y-%m-%d %H:%M:%S') AS first_sale, strftime(max(Order_DateTime), '%Y-%m-%d %H:%M:%S') AS last_sale,
+    round(coalesce(CAST(100 * sum(Contribution) AS DOUBLE) / nullif(CAST(sum(Net_Revenue) AS DOUBLE), 0), 0), 6) AS profit_percent
+    FROM sales WHERE Date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND Channel = '5-LOW' GROUP BY 1, 2""")
+def agg_menu_rollup(t):
+    f = filters.Filters(date_from=date(1996, 1, 1), date_to=date(2000, 12, 31), channel="5-LOW", channels=CHANNELS)
+    return rollup.item_totals(rolled_up(t), f).withColumn("profit_percent", F.round("profit_percent", 6))
+
+
 @query("agg_orders_page", """SELECT p.Order_ID, strftime(Order_DateTime, '%Y-%m-%d %H:%M:%S') AS Order_DateTime, Order_Status, CAST(Net_Revenue AS DOUBLE) AS Net_Revenue
     FROM (SELECT * FROM clean_orders ORDER BY Order_DateTime DESC, Order_ID LIMIT 200 OFFSET 50) p
     LEFT JOIN (SELECT Order_ID, sum(Net_Revenue) AS Net_Revenue FROM sales GROUP BY 1) t USING (Order_ID)""")

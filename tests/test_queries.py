@@ -13,7 +13,7 @@ FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
 QUERIES, ORACLE = catalogue.queries(), catalogue.oracle_sql()
 # The two boosted models of 120 rounds take minutes; tests/test_series.py covers their parts.
-SLOW_MODELS = {"ml_wastage_models", "ml_wastage_serve"}
+SLOW_MODELS = {"ml_wastage_models", "ml_wastage_serve", "rule_recommendations_fitted"}
 
 
 @pytest.fixture(scope="module")

@@ -70,6 +70,41 @@ def test_asof_price_matches_brute_force(rows):
         assert got[r["Order_Item_ID"]] == (max(known)[2] if known else None)
 
 
+def test_hot_dish_is_dealt_over_keys(rows):
+    """One dish has a third of all lines: the same prices, and no key of the join holds more than twice the target."""
+    sales = rows("Order_Item_ID long, Item_ID long, Date date", [(i, 1 if i % 3 == 0 else i % 40, date(2025, 1 + i % 3, 1 + i % 28)) for i in range(1800)])
+    prices = rows("Pricing_ID long, Item_ID long, Price decimal(18,2), Effective_Date date", [(p, p % 40, Decimal(p), date(2024 + p % 2, 1 + p % 12, 1)) for p in range(200)])
+    hot = facts.hot_items(sales, 100)
+    assert {r["Item_ID"]: r["parts"] for r in hot.collect()} == {1: 7}
+    plain, dealt = (sorted((r["Order_Item_ID"], r["Effective_Price"]) for r in facts.asof_price(sales, prices, hot=h).collect()) for h in (None, hot))
+    assert plain == dealt and len(plain) == 1800
+    assert facts.asof_price(sales, prices, hot=hot).columns == facts.asof_price(sales, prices).columns
+    keys = sales.where("Item_ID = 1").groupBy(F.pmod(F.xxhash64("Order_Item_ID"), F.lit(7))).count().agg(F.max("count")).first()[0]
+    assert keys <= 200
+
+
+def test_rollup_answers_like_the_sales(spark, tmp_path):
+    """Every mix of covered filters gives what the sales give; others go to the sales."""
+    from larder.binding import CHANNELS, Tables
+    from larder.operators import filters, metrics, rollup
+    from larder.session import materialise
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    sales = materialise(t.sales)
+    cells = rollup.build(sales, t.wastage, t.menu, str(tmp_path / "cells"))
+    for days, place, kind, channel in [({}, None, None, None), ({"date_from": date(1996, 5, 1), "date_to": date(1999, 2, 3)}, 3, None, "5-LOW"), ({"date_to": date(1997, 2, 3)}, None, 7, "5-LOW")]:
+        f = filters.Filters(**days, location_id=place, category_id=kind, channel=channel, channels=CHANNELS)
+        direct = metrics.executive(filters.apply_filters(sales, f), filters.apply_wastage_filters(t.wastage, f, t.menu))
+        assert rollup.covers(f, "executive") and rollup.executive(cells, f).collect() == direct.collect()
+    item = filters.Filters(item_id=17, channels=CHANNELS)
+    assert not rollup.covers(item, "executive") and rollup.covers(item, "items")
+    with pytest.raises(ValueError):
+        rollup.executive(cells, item)
+    direct = metrics.executive(filters.apply_filters(sales, item), filters.apply_wastage_filters(t.wastage, item, t.menu))
+    assert rollup.answered(cells, sales, t.wastage, t.menu, item).collect() == direct.collect()
+    assert "Year" in rollup.executive(cells, filters.Filters(date_from=date(1998, 1, 1), channels=CHANNELS))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_holdouts_must_align(rows):
     left = rows("Case_ID string, Actual double, a double", [(str(i), float(i), 1.0) for i in range(120)])
     right = rows("Case_ID string, Actual double, b double", [(str(i), float(i), 2.0) for i in range(120)])

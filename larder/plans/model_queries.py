@@ -239,6 +239,21 @@ def ml_wastage_grid(t):
     return shown(wastage.grid_features(wastage.weekly_grid(*by_category(t))))
 
 
+ITEM_GRID = grid_sql("w.Item_ID", "Item_ID")
+WEEK_SUMS = ("Wasted", "Prepared", "Demand", "lag_waste_1", "lag_waste_4", "lag_demand_1", "lag_prepared_1", "rolling_waste_4", "rolling_demand_4", "last_observed_waste")
+
+
+@query("ml_wastage_grid_items", "SELECT Item_ID, Location_ID, count(*) AS weeks, " + ", ".join(
+    f"round(CAST(coalesce(sum({c}), 0) AS DOUBLE), 6) AS sum_{c}, count({c}) AS known_{c}" for c in WEEK_SUMS) + " FROM wfeat GROUP BY 1, 2", ITEM_GRID)
+def ml_wastage_grid_items(t):
+    """Every week of the complete grid per item and location, summed up from intervals without building it."""
+    known = materialise(wastage.weekly(t.wastage, t.sales))
+    spans = wastage.grid_intervals(known, wastage.every_pair(t.sales)).withColumn("weeks", (F.datediff("To", "From") / 7 + 1).cast("long"))
+    sums = [F.round(F.coalesce(F.sum(F.col(c).cast("double") * F.col("weeks")), F.lit(0.0)), 6).alias(f"sum_{c}") for c in WEEK_SUMS]
+    counts = [F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.col("weeks"))), F.lit(0)).alias(f"known_{c}") for c in WEEK_SUMS]
+    return spans.groupBy("Item_ID", "Location_ID").agg(F.sum("weeks").alias("weeks"), *sums, *counts)
+
+
 def sparse_sql(rows: str) -> dict[str, str]:
     """The same features per item from the weeks that exist: earlier weeks are met by date, not by row."""
     pair = "Item_ID, Location_ID"

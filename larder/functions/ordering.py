@@ -152,23 +152,26 @@ def _near_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> dict
     under = [F.sum(F.when(value[name] < low[name], F.lit(1)).otherwise(0)).alias(f"under_{name}") for name in held]
     near = materialise(df.groupBy(*[inside[name].alias(name) for name in held]).agg(F.count(F.lit(1)).alias("rows"), *under))
     below = near.agg(*[F.sum(f"under_{name}").alias(name) for name in held]).first()
+    place = {name: wanted[name][1] * (first[f"n_{name}"] - 1) - below[name] for name in held}
+    # The values near all wanted ranks are placed together, in one job.
+    of = lambda numbers: F.create_map(*[x for n in held for x in (F.lit(n), F.lit(float(numbers[n])))])[F.col("name")]
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in held]))
+    counted = near.select("rows", pairs.alias("pair")).select("rows", "pair.*").where(F.col("value").isNotNull()).groupBy("name", "value").agg(F.sum("rows").alias("ties"))
+    steps = {n: (high[n] - low[n]) / RANGES or 1.0 for n in held}
+    ranged = counted.withColumn("range", F.least(F.floor((F.col("value") - of(low)) / of(steps)), F.lit(RANGES - 1)))
+    # At most RANGES rows of each.
+    earlier = Window.partitionBy("name").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
+    offset = ranged.groupBy("name", "range").agg(F.sum("ties").alias("inside")).select("name", "range", (F.sum("inside").over(earlier) - F.col("inside")).alias("before"))
+    run = Window.partitionBy("name", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("upto", F.sum("ties").over(run)).join(offset, ["name", "range"]).withColumn("upto", F.col("upto") + F.col("before"))
+    pick = lambda k: F.min(F.when(F.col("upto") > of(k), F.col("value")))
+    lower, upper = {n: math.floor(p) for n, p in place.items()}, {n: math.ceil(p) for n, p in place.items()}
+    at = {r["name"]: r for r in placed.groupBy("name").agg(pick(lower).alias("low"), pick(upper).alias("high")).collect()}
     found: dict[str, float | None] = dict.fromkeys(wanted)
     for name in held:
-        counted = near.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.sum("rows").alias("ties"))
-        place = wanted[name][1] * (first[f"n_{name}"] - 1) - below[name]
-        run = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        steps = (high[name] - low[name]) / RANGES or 1.0
-        ranged = counted.withColumn("range", F.least(F.floor((F.col("value") - low[name]) / steps), F.lit(RANGES - 1)))
-        total = ranged.groupBy("range").agg(F.sum("ties").alias("inside"))
-        # At most RANGES rows.
-        offset = total.withColumn("before", F.sum("inside").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("inside"))
-        placed = ranged.withColumn("upto", F.sum("ties").over(run)).join(offset.select("range", "before"), "range").withColumn("upto", F.col("upto") + F.col("before"))
-        pick = lambda k: F.min(F.when(F.col("upto") > k, F.col("value")))
-        lower, upper = math.floor(place), math.ceil(place)
-        at = placed.agg(pick(lower).alias("low"), pick(upper).alias("high")).first()
-        if lower < 0 or at["high"] is None:
+        if lower[name] < 0 or name not in at or at[name]["high"] is None:
             return None
-        found[name] = at["low"] + (at["high"] - at["low"]) * (place - lower)
+        found[name] = at[name]["low"] + (at[name]["high"] - at[name]["low"]) * (place[name] - lower[name])
     return found
 
 

@@ -183,6 +183,16 @@ def near_texts():
         for k in rng.sample(range(1, 299), 14):
             copy[k] = word()
         add(copy)
+    other = [word() for _ in range(150)]  # copies that lie just outside the hub, some of them alike
+    add(other)
+    for k in range(40):
+        copy = list(other)
+        for at in rng.sample(range(1, 149), 14 + k % 5):
+            copy[at] = word()
+        add(copy)
+        if k % 4 == 0:
+            copy[rng.randrange(1, 149)] = word()
+            add(copy)
     chain = [word() for _ in range(200)]
     for _ in range(40):
         chain = chain[6:] + [word() for _ in range(6)]
@@ -194,18 +204,11 @@ def near_texts():
     return rows
 
 
-def test_similar_sets_always_share_a_run():
-    """The widths of the lists against the worst places for the values that two sets do not share."""
-    for union in range(5, 400):
-        apart = union // 5
-        longest = -(-(union - apart) // (apart + 1))
-        width = max(w for w, least in minhash.RUNS.items() if union >= least)
-        assert longest >= width
-
-
-def test_components(spark):
+@pytest.mark.parametrize("few", [minhash.FEW_PAIRS, 0])
+def test_components(spark, few):
+    """Pairs outside a leader's component, compared one by one or by their differences from the leader."""
     rows = near_texts()
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), few=few)
     assert sorted(map(tuple, got.collect()), key=repr) == plain_components(rows)
 
 

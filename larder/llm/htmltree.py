@@ -1,22 +1,26 @@
 """HTML extraction with a tree-structured graphical model.
 
-A page becomes a tree of its block elements with its text blocks as leaves. Every node is content or not:
-a logistic potential judges it by name, text and links, and a potential on every edge couples it with its
-parent. Messages pass from the leaves to the root and back (sum-product), exactly and for all pages of a
-batch at once, level by level; a text block whose marginal of being content is above one half is kept.
-
-The potentials are trained on at most ``SAMPLE`` labelled pages, chosen by a hash. Pages label themselves
-where they mark up an article: a text block is content if it stands inside ``article`` or ``main`` and in no
-part named as navigation, header, footer, advert and so on. Each also trains a copy without names, so that
-pages that name nothing are judged by their text.
+A page becomes a tree of its block elements with its text blocks as leaves. Every node is content or not. Its
+potential judges what the node itself shows: its own name, tag, text and links, never those of what holds it. A potential on
+every edge, by the kind of child (text, nameless block, named block), couples it with its parent, so only messages carry
+what a block's ancestors, children and siblings say. They pass from the leaves to the root and back (sum-product),
+exactly and for all pages of a batch at once, level by level; a text block whose marginal of being content is above
+one half is kept.
+
+Both potentials are trained together, by gradients from the marginals of nodes and edges, on labelled pages. Pages
+label themselves where they mark up an article: a text block is content if it stands inside ``article`` or ``main``
+and in no part named as navigation, header, footer, advert and so on. Each also trains a copy without names, so that
+pages that name nothing are judged by their shape. At most ``SAMPLE`` pages train, chosen by a hash, all nodes of each,
+as long as these are ``NODES`` together; a page with more nodes than that does not train.
 
 Markup that is no text (scripts, styles, forms' controls, the head, comments) never becomes a block.
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page
 order by two new lines.
 
 Defined cases: null and empty pages, and pages without content, have an empty text; unclosed tags end where
-their parent does; without a labelled page the names decide alone; repeated pages are judged each. A page
-is a tree of its own and is read by one task.
+their parent does; without a labelled page the names and the edges' prior decide; repeated pages are judged each; an
+empty table gives an empty result; a result whose name the input has already is lengthened by an underscore. A page,
+however long, is a tree of its own and is read by one task.
 """
 
 from __future__ import annotations
@@ -25,14 +29,16 @@ import html
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.text import hashed_sample, whole
+from larder.llm.text import free_name, hashed_sample, whole
+from larder.session import materialise
 
-SAMPLE = 600
-NODES = 400  # nodes of a page that training uses at most
+SAMPLE, NODES = 300, 100_000  # pages that train, and their nodes
+STEPS, RATE, RIDGE = 100, 0.15, 0.5  # of the training, and how far the priors hold
+STIFF = 100.0  # the same for features that few pages tell apart from others: a list is judged by its links and its surroundings
 #: HTML's own lists and the names pages commonly use (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SILENT = frozenset("script style head title template noscript svg math iframe object canvas select textarea button option audio video".split())
@@ -47,7 +53,9 @@ BAD = frozenset("nav navigation navbar menu header footer aside sidebar ad ads a
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 PARTS = re.compile(r"[a-z]+")
-FEATURES = ("one", "good", "bad", "leaf", "heading", "list", "log_chars", "links", "ends", "short")
+FEATURES = ("one", "good", "bad", "leaf", "heading", "list", "paragraph", "children", "log_chars", "links", "ends", "short", "copyright", "top")
+HEADINGS, LISTS, PARAGRAPHS = (frozenset(names.split()) for names in ("h1 h2 h3 h4 h5 h6", "ul ol li menu select table dl", "p blockquote pre"))
+TEXT, BLOCK, NAMED, TOP = range(4)  # kinds of children, by which the edges differ; a top block stands in the body itself
 
 
 class Page:
@@ -146,25 +154,25 @@ def parse(source: str) -> Page:
 
 
 def features(page: Page) -> np.ndarray:
+    """What each node shows by itself."""
     n = len(page.parent)
     x = np.zeros((n, len(FEATURES)), np.float32)
-    x[:, 0] = 1
-    for k in range(n):  # a name counts for all it holds
-        above = x[page.parent[k], 1:3] if k else (0, 0)
-        x[k, 1], x[k, 2] = page.good[k] > 0 or above[0], page.bad[k] > 0 or above[1]
-    for k, text in enumerate(page.text):
-        tag = page.tag[k]
+    x[:, 0], x[:, 1], x[:, 2] = 1, np.array(page.good) > 0, np.array(page.bad) > 0
+    x[:, 7] = np.log1p(np.bincount(np.maximum(page.parent, 0), minlength=n))
+    for k, (tag, text) in enumerate(zip(page.tag, page.text)):
         if text is None:
-            x[k, 4], x[k, 5] = tag in ("h1", "h2", "h3", "h4", "h5", "h6"), tag in ("ul", "ol", "li", "menu", "select", "table")
-            continue
-        x[k, 3] = 1
-        x[k, 6] = np.log1p(len(text)) / 5
-        x[k, 7] = page.linked[k] / len(text)
-        x[k, 8] = text[-1] in ".!?…。:\"'»”)"
-        x[k, 9] = len(text) < 25
+            x[k, 13] = page.tag[page.parent[k]] in ("body", "html", "") if k else 1
+            x[k, 4:7] = tag in HEADINGS, tag in LISTS, tag in PARAGRAPHS
+        else:
+            x[k, 3], x[k, 7:13] = 1, (0, np.log1p(len(text)) / 5, page.linked[k] / len(text), text[-1] in ".!?…。:\"'»”)", len(text) < 25, "©" in text)
     return x
 
 
+def kinds(x: np.ndarray) -> np.ndarray:
+    """How each node hangs on its parent."""
+    return np.where(x[:, 3] > 0, TEXT, np.where(x[:, 13] > 0, TOP, np.where(x[:, 1] + x[:, 2] > 0, NAMED, BLOCK)))
+
+
 def own_labels(page: Page) -> np.ndarray | None:
     """Content or not of every node by the page's own article markup; None where it has none."""
     n = len(page.parent)
@@ -183,65 +191,75 @@ def own_labels(page: Page) -> np.ndarray | None:
 
 
 class Model:
-    """Weights of the node potential and the logarithmic edge potential (parent, child)."""
+    """Weights of the node potential and the logarithmic edge potentials (kind of child, parent, child)."""
 
     def __init__(self, weights: np.ndarray, edge: np.ndarray):
         self.weights, self.edge = weights, edge
 
-    def marginals(self, x: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndarray:
-        """P(content) of every node of a forest, by messages to the roots and back."""
-        unary = np.stack([np.zeros(len(x)), x @ self.weights], 1)
+    def messages(self, x: np.ndarray, kind: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per node: its belief, what its subtree says, and what its parent hears from all but it (unnormalised logarithms)."""
+        below = np.stack([np.zeros(len(x)), x @ self.weights], 1)
         order = np.argsort(depth, kind="stable")
         level = np.searchsorted(depth[order], np.arange(int(depth.max(initial=0)) + 2))
-        up, below = np.zeros((len(x), 2)), unary.copy()
+        up, above, edge = np.zeros((len(x), 2)), np.zeros((len(x), 2)), self.edge[kind]
         for d in range(len(level) - 2, 0, -1):
             rows = order[level[d] : level[d + 1]]
-            up[rows] = np.logaddexp(below[rows, 0][:, None] + self.edge[:, 0], below[rows, 1][:, None] + self.edge[:, 1])
+            up[rows] = np.logaddexp(below[rows, 0][:, None] + edge[rows, :, 0], below[rows, 1][:, None] + edge[rows, :, 1])
             np.add.at(below, parent[rows], up[rows])
         belief = below.copy()
         for d in range(1, len(level) - 1):
             rows = order[level[d] : level[d + 1]]
-            above = belief[parent[rows]] - up[rows]  # what the parent hears from all but this child
-            belief[rows] += np.logaddexp(above[:, 0][:, None] + self.edge[0], above[:, 1][:, None] + self.edge[1])
-        gap = np.clip(belief[:, 0] - belief[:, 1], -60, 60)
-        return 1 / (1 + np.exp(gap))
+            above[rows] = belief[parent[rows]] - up[rows]
+            belief[rows] += np.logaddexp(above[rows, 0][:, None] + edge[rows, 0], above[rows, 1][:, None] + edge[rows, 1])
+        return belief, below, above
+
+    def marginals(self, x: np.ndarray, kind: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """P(content) of every node of a forest, by messages to the roots and back."""
+        belief = self.messages(x, kind, parent, depth)[0]
+        return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -60, 60)))
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, parent_label: np.ndarray, prior: np.ndarray, ridge: float = 3.0) -> Model:
-        """Ridge logistic weights around ``prior`` by Newton steps, and smoothed edge frequencies."""
-        w = prior.copy()
-        for _ in range(15):
-            if not len(x):
-                break
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            hessian = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-            w = w - np.linalg.solve(hessian, x.T @ (p - y) + ridge * (w - prior))
-        counts = np.full((2, 2), 1.0) + np.eye(2) * 8
-        known = parent_label >= 0
-        np.add.at(counts, (parent_label[known], y[known].astype(int)), 1)
-        joint = counts / counts.sum()
-        # What the nodes themselves say is left out of the edge: log p(parent, child) / p(parent) p(child).
-        return cls(w, np.log(joint / joint.sum(1, keepdims=True) / joint.sum(0, keepdims=True)))
-
-
-#: Where training says little, names decide: content names for, boilerplate names against.
-PRIOR = np.array([-0.5, 1.5, -5.0, 0.0, 0.5, -0.5, 0.5, -2.0, 0.5, -0.3])
-
-
-def _training_rows(source: str) -> list[tuple[list[float], bool, int]]:
-    page = parse(source)
-    labels = own_labels(page)
-    if labels is None:
-        return []
-    x, parent = features(page), np.array(page.parent)
-    above = np.where(parent >= 0, labels[np.maximum(parent, 0)].astype(int), -1)
-    bare = x.copy()
-    bare[:, [1, 2]] = 0
-    rows = range(1, min(len(x), NODES))
-    return [(copy[k].tolist(), bool(labels[k]), int(above[k])) for copy in (x, bare) for k in rows]
-
-
-def train(pages: DataFrame, page_id: str = "page_id", source: str = "html", sample: int = SAMPLE) -> Model:
+    def fit(cls, x: np.ndarray, y: np.ndarray, parent: np.ndarray, depth: np.ndarray, prior: Model, steps: int = STEPS) -> Model:
+        """Node and edge potentials by ridge ascent of the labels' likelihood around ``prior``: observed less expected counts."""
+        x, kind, y = x.astype(float), kinds(x), y.astype(int)
+        child = np.flatnonzero(parent >= 0)
+        observed = np.zeros_like(prior.edge)
+        np.add.at(observed, (kind[child], y[parent[child]], y[child]), 1)
+        at = [prior.weights.copy(), prior.edge.copy()]
+        hold = np.where(np.isin(FEATURES, ("list", "short", "ends")), STIFF, RIDGE)
+        mean, square = [np.zeros_like(v) for v in at], [np.zeros_like(v) for v in at]
+        for step in range(1, steps + 1 if len(x) else 1):
+            model = cls(*at)
+            belief, below, above = model.messages(x, kind, parent, depth)
+            p = 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -60, 60)))
+            joint = above[child][:, :, None] + model.edge[kind[child]] + below[child][:, None, :]
+            joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
+            expected = np.zeros_like(observed)
+            np.add.at(expected, kind[child], joint / joint.sum(axis=(1, 2), keepdims=True))
+            gradients = [x.T @ (y - p) - hold * (at[0] - prior.weights), observed - expected - RIDGE * (at[1] - prior.edge)]
+            for k, g in enumerate(gradients):  # steps scaled by the running size of each gradient
+                mean[k], square[k] = 0.9 * mean[k] + 0.1 * g, 0.99 * square[k] + 0.01 * g * g
+                at[k] = at[k] + RATE * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
+        return cls(*at)
+
+
+#: Where training says little, names decide, and what stands in a block goes with it: content names for, boilerplate names against.
+ALIKE = np.array([[2.0, -2.0], [-2.0, 2.0]])
+PRIOR = Model(np.array([-0.3, 5.0, -7.0, 0.0, 0.5, -0.5, 1.0, 0.0, 0.8, -2.0, 0.3, -0.3, -2.0, 0.0]), np.stack([ALIKE, ALIKE, ALIKE / 3, ALIKE / 10]))
+
+
+def forest(trees: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first node of each, parent, depth) of trees, given by their nodes' parents, put one after another."""
+    first = np.cumsum([0, *map(len, trees)])
+    parent = np.concatenate([np.where(t >= 0, t + a, -1) for t, a in zip(trees, first)]) if trees else np.zeros(0, np.int64)
+    depth = np.zeros(len(parent), np.int64)
+    for k, p in enumerate(parent.tolist()):
+        if p >= 0:
+            depth[k] = depth[p] + 1
+    return first, parent, depth
+
+
+def train(pages: DataFrame, page_id: str = "page_id", source: str = "html", sample: int = SAMPLE, nodes: int = NODES) -> Model:
     # The share of the hash is one of the pages with article markup, so as many train however many others there are.
     some = pages.select(F.col(f"`{page_id}`").alias("id"), F.col(f"`{source}`").alias("html"))
     marked = some.filter(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
@@ -251,26 +269,37 @@ def train(pages: DataFrame, page_id: str = "page_id", source: str = "html", samp
         import pandas as pd
 
         for got in frames:
-            yield pd.DataFrame([r for s in got["html"] for r in _training_rows(s)], columns=["x", "y", "above"])
-
-    rows = sorted(tuple(r) for r in chosen.repartition(8).mapInPandas(run, "x array<float>, y boolean, above int").collect())
-    x = np.array([r[0] for r in rows], float).reshape(len(rows), len(FEATURES))
-    return Model.fit(x, np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], int), PRIOR)
+            rows = []
+            for source in got["html"]:
+                page = parse(source)
+                labels = own_labels(page)
+                if labels is not None and len(labels) <= nodes:
+                    rows.append((str(len(labels)).zfill(9) + source[:200], len(labels), features(page).tobytes(), np.array(page.parent, np.int32).tobytes(), labels.tobytes()))
+            yield pd.DataFrame(rows, columns=["mark", "n", "x", "parent", "y"])
+
+    parsed = materialise(chosen.repartition(8).mapInPandas(run, "mark string, n int, x binary, parent binary, y binary"))
+    order = Window.orderBy(F.xxhash64("x", "y"), "mark").rowsBetween(Window.unboundedPreceding, 0)  # at most `sample` rows
+    rows = sorted(parsed.withColumn("sum", F.sum("n").over(order)).filter(F.col("sum") <= nodes).select("mark", "x", "parent", "y").collect())
+    if not rows:
+        return PRIOR
+    trees = [np.frombuffer(r["parent"], np.int32) for r in rows]
+    named = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(-1, len(FEATURES)) for r in rows])
+    bare, y = named.copy(), np.concatenate([np.frombuffer(r["y"], bool) for r in rows])
+    bare[:, 1:3] = 0
+    _, parent, depth = forest([*trees, *trees])
+    return Model.fit(np.concatenate([named, bare]), np.concatenate([y, y]), parent, depth, PRIOR)
 
 
 def extract(pages: DataFrame, model: Model, source: str = "html", name: str = "text") -> DataFrame:
     """The other columns of ``pages`` and the main text."""
     keep = [c for c in pages.columns if c != source]
+    name = free_name(pages, name)
 
     def texts(sources: list[str]) -> list[str]:
         trees = [parse(s) for s in sources]
-        first = np.cumsum([0, *[len(t.parent) for t in trees]])
-        parent = np.concatenate([np.where(np.array(t.parent) >= 0, np.array(t.parent) + a, -1) for t, a in zip(trees, first)])
-        depth = np.zeros(len(parent), np.int64)
-        for k, p in enumerate(parent.tolist()):
-            if p >= 0:
-                depth[k] = depth[p] + 1
-        p = model.marginals(np.concatenate([features(t) for t in trees]), parent, depth)
+        first, parent, depth = forest([np.array(t.parent) for t in trees])
+        x = np.concatenate([features(t) for t in trees])
+        p = model.marginals(x, kinds(x), parent, depth)
         return ["\n\n".join(text for text, q in zip(t.text, p[a : a + len(t.text)]) if text is not None and q > 0.5) for t, a in zip(trees, first)]
 
     def run(batches):
@@ -287,4 +316,5 @@ def extract(pages: DataFrame, model: Model, source: str = "html", name: str = "t
 
 def main_text(pages: DataFrame, page_id: str = "page_id", source: str = "html") -> DataFrame:
     """``pages`` without the source, with text and n_chars."""
-    return extract(pages, train(pages, page_id, source), source).withColumn("n_chars", F.char_length("text").cast("long"))
+    found, text = extract(pages, train(pages, page_id, source), source), free_name(pages, "text")
+    return found.withColumn(free_name(pages, "n_chars"), F.char_length(F.col(f"`{text}`")).cast("long"))

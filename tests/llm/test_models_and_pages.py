@@ -95,14 +95,40 @@ def test_messages_equal_enumeration():
     rng = np.random.default_rng(3)
     parent = np.array([-1, 0, 0, 1, 1, 2, 5, -1, 7])
     depth = np.array([0, 1, 1, 2, 2, 2, 3, 0, 1])
-    x, model = rng.normal(size=(9, 3)), htmltree.Model(rng.normal(size=3), rng.normal(size=(2, 2)))
+    kind = np.array([1, 0, 2, 1, 0, 2, 1, 0, 0])
+    x, model = rng.normal(size=(9, 3)), htmltree.Model(rng.normal(size=3), rng.normal(size=(3, 2, 2)))
     weight = np.zeros((9, 2))
     for code in range(2**9):
         y = [code >> k & 1 for k in range(9)]
-        w = np.exp(sum(float(x[k] @ model.weights) * y[k] for k in range(9)) + sum(model.edge[y[p], y[k]] for k, p in enumerate(parent) if p >= 0))
+        w = np.exp(sum(float(x[k] @ model.weights) * y[k] for k in range(9)) + sum(model.edge[kind[k], y[p], y[k]] for k, p in enumerate(parent) if p >= 0))
         for k in range(9):
             weight[k, y[k]] += w
-    assert np.allclose(model.marginals(x, parent, depth), weight[:, 1] / weight.sum(1))
+    assert np.allclose(model.marginals(x, kind, parent, depth), weight[:, 1] / weight.sum(1))
+
+
+def masked(source):
+    """The page with neutral blocks in place of named ones, and no class, id or role."""
+    import re
+
+    return re.sub(r"\s(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", re.sub(r"<(/?)(nav|article|footer|header|aside|section|main|form)\b", r"<\1div", source, flags=re.I), flags=re.I)
+
+
+def test_edges_decide_pages_without_names(spark):
+    """Trained on half the pages, the model finds the articles of the others after their names are gone; without its edges it does not."""
+    pages = spark.read.parquet(f"{LARGER}/pages.parquet").select("page_id", "html")
+    model = htmltree.train(pages.filter("page_id % 2 = 0"))
+    held = [r["html"] for r in pages.filter("page_id % 2 = 1").collect()]
+    right = {}
+    for name, judge in (("whole", model), ("without edges", htmltree.Model(model.weights, np.zeros_like(model.edge)))):
+        right[name] = []
+        for source in held:
+            own, bare = htmltree.parse(source), htmltree.parse(masked(source))
+            truth = [t for t, y in zip(own.text, htmltree.own_labels(own)) if t is not None and y]
+            x = htmltree.features(bare)
+            _, parent, depth = htmltree.forest([np.array(bare.parent)])
+            got = [t for t, q in zip(bare.text, judge.marginals(x, htmltree.kinds(x), parent, depth)) if t is not None and q > 0.5]
+            right[name].append(got == truth)
+    assert np.mean(right["whole"]) >= 0.97 and np.mean(right["without edges"]) <= 0.5
 
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></ul></nav>
@@ -120,6 +146,8 @@ def test_page(spark, none):
     assert got[1] == "A <title> & more\n\nFirst paragraph, with bold text and a line break, long enough to count.\n\nSecond paragraph, unclosed, and long enough to count too.\n\none thing that is listed here"
     assert got[2] == got[3] == ""
     assert htmltree.main_text(df.limit(0)).count() == 0
+    clashing = htmltree.main_text(df.withColumnsRenamed({"tag": "text"}).withColumn("n_chars", F.lit("y")))
+    assert clashing.columns == ["page_id", "text", "n_chars", "text_", "n_chars_"] and {r["text"] for r in clashing.collect()} == {"x"}
 
 
 def test_few_marked_pages_all_train(spark):

@@ -10,7 +10,8 @@ backslash is doubled and a ``<`` becomes ``<`` and a backslash, so no marker can
 
 Defined cases: null text and null role count as empty; equal turn numbers are ordered by role, then text;
 a null turn number comes first; conversations with a null id form one conversation; no assistant turn
-gives one example without a target. A conversation's turns are gathered into one row, as its prefixes are
+gives one example without a target; texts of any length are kept whole; an empty table gives no example; other
+columns than the four named ones are not read. A conversation's turns are gathered into one row, as its prefixes are
 its output.
 """
 

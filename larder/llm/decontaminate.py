@@ -7,7 +7,8 @@ join. Either way a hash hit counts only once its words are equal to the window's
 
 Defined cases: null or wordless texts and items give no window; a null id of an item makes its windows
 hit without being listed; repeated items and equal windows of several items are listed once each; an
-empty benchmark hits nothing; repeated documents are judged row by row.
+empty benchmark hits nothing; repeated documents are judged row by row; texts of any length are read whole; a
+result whose name the input has already is lengthened by an underscore.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.text import free_name, lower_ascii, whole
+from larder.llm.text import free_name, lower_ascii, shielded, whole
 from larder.session import materialise
 
 WIDTH = 10
@@ -90,6 +91,7 @@ def hit_positions(hits: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.coalesce(hits, F.array()), lambda h: F.sequence(h["at"], h["at"] + h["size"] - 1))))
 
 
+@shielded("text")
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """One row per document: its other columns, n_words, n_hit, n_items, items_sha256 and contaminated."""
     marked, key, hits = benchmark_hits(docs, benchmark, text, **options)

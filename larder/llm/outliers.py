@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.text import GAP, total, whole, windows, words
+from larder.llm.text import GAP, shielded, total, whole, windows, words
 from larder.session import materialise
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -207,11 +207,13 @@ def _chi7(x: float) -> float:
     return math.erf(math.sqrt(h)) - sum(h**a * math.exp(-h) / math.gamma(a + 1) for a in (0.5, 1.5, 2.5))
 
 
+@shielded("text", "lang", "source")
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_group: int = 200, far: float = CHI_FAR) -> DataFrame:
     """The other columns of ``docs``, its statistics, base_failed, the distance and kept.
 
     kept is false where base_failed, else whether the squared distance is at most ``far``. An empty table
-    gives an empty result; equal rows get equal verdicts; an empty text has no words and fails the base.
+    gives an empty result; equal rows get equal verdicts; an empty text has no words and fails the base; texts of any
+    length are read whole; a result whose name the input has already is lengthened by an underscore.
     """
     stats = materialise(text_statistics(docs, text).withColumn("base_failed", base_failed()))
     lang_of, source_of = F.col(f"`{lang}`"), F.col(f"`{source}`")

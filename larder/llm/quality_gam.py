@@ -8,7 +8,8 @@ Features are counts over the whole text. The fit is bounded by ``SAMPLE`` labell
 their ids; every document is scored.
 
 Defined cases: null and empty texts have all features zero and a score; with labels of one kind only, or
-none, the tables stay empty and every score is the smoothed share of ones; repeated documents are scored each.
+none, the tables stay empty and every score is the smoothed share of ones; repeated documents are scored each; texts
+of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import inspect
+from collections.abc import Callable
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,3 +55,31 @@ def hashed_sample(df: DataFrame, rows: int, total: int, *columns: str, spare: fl
     share = min(1.0, spare * max(rows, 1000) / max(total, 1))
     near = df if share == 1.0 else df.filter(F.pmod(mark, F.lit(range_of)) < int(share * range_of))
     return near.orderBy(F.pmod(mark, F.lit(range_of)), *[F.col(f"`{c}`") for c in columns]).limit(rows)
+
+
+def shielded(*roles: str) -> Callable:
+    """For an operator on a frame and named columns of it: its other columns go through under names that nothing clashes with.
+
+    ``roles`` are the arguments that name the columns the operator reads. A result whose name the input has already is
+    lengthened by an underscore.
+    """
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        signature = inspect.signature(operator)
+
+        @wraps(operator)
+        def run(df: DataFrame, *args, **options) -> DataFrame:
+            given = signature.bind(df, *args, **options)
+            given.apply_defaults()
+            used = {given.arguments[r] for r in roles}
+            hidden = {c: f"~other{k}" for k, c in enumerate(df.columns) if c not in used}
+            first = next(iter(given.arguments))
+            given.arguments[first] = df.select(*[F.col(f"`{c}`").alias(hidden.get(c, c)) for c in df.columns])
+            out = operator(*given.args, **given.kwargs)
+            shown = {v: k for k, v in hidden.items()}
+            kept = df.select(*[F.col(f"`{c}`") for c in hidden])
+            return out.select(*[F.col(f"`{c}`").alias(shown.get(c) or (c if c in used else free_name(kept, c))) for c in out.columns])
+
+        return run
+
+    return wrap

@@ -410,3 +410,27 @@ def test_repair_empty(spark, none):
     path = scratch_path(spark, "tokens")
     repair.write(none, public_tokenizers.path("word_bpe_49k.json"), path)
     assert repair.read(spark, path).count() == 0
+
+
+# -- clashing columns ------------------------------------------------------------------------------------
+
+
+def test_clashing_columns_come_through(spark):
+    """Columns named like results or parts of the work are returned unchanged, results beside them under longer names."""
+    names = ["g", "x0", "m0", "n_words", "distance", "kept", "base_failed", "spans", "base", "n_email", "key", "n_hit", "hits"]
+    rows = [(k, "write to a@b.org or +1 234 567 8901 about one two three four five six seven eight nine ten " * (k + 1), "en", "s", *names) for k in range(4)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *names])
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id bigint, text string")
+    for found, new in ((outliers.quality_rules(df), {"n_words_", "distance_", "kept_", "base_failed_"}), (pii.report(df), {"n_email_", "spans_"}), (decontaminate.contamination(df, items), {"n_words_", "n_hit_"})):
+        assert set(names) | new <= set(found.columns)
+        got = found.collect()
+        assert len(got) == 4 and all(r[n] == n for r in got for n in names)
+    assert pii.report(df.limit(0)).count() == 0
+
+
+def test_added_spans_do_not_follow_the_files(spark):
+    """The trees' sample is chosen by what the candidates are, whatever partitions they come in."""
+    rows = private_texts() + [(1000 + k, f"call (201) 555-{1000 + k} or mail me{k} [at] host{k % 7} [dot] org, not +1 201 555 {2000 + k}") for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    few, many = ({r["doc_id"]: r["spans"] for r in pii.report(df.repartition(n), sample=100).collect()} for n in (1, 7))
+    assert few == many

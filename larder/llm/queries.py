@@ -144,6 +144,19 @@ def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, exponent, F.sha2(runs.listing(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-@query("op13_minhash_near_dedup")
+@query("op13_minhash_near_dedup", sql=r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS g FROM d),
+n AS MATERIALIZED (SELECT row_number() OVER () AS node, g, len(g) AS size, least FROM (SELECT g, min(doc_id) AS least FROM s WHERE len(g) > 0 GROUP BY g)),
+p AS MATERIALIZED (SELECT node, size, unnest(g) AS v FROM n),
+links AS MATERIALIZED (SELECT x, y FROM (SELECT a.node AS x, b.node AS y, a.size AS nx, b.size AS ny, count(*) AS c FROM p a JOIN p b ON a.v = b.v AND a.node < b.node
+    AND 100 * least(a.size, b.size) >= 80 * greatest(a.size, b.size) GROUP BY 1, 2, 3, 4) WHERE 100 * c >= 80 * (nx + ny - c)),
+edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(root, node) AS (SELECT node, node FROM n UNION SELECT r.root, e.y FROM reach r JOIN edges e ON e.x = r.node),
+component AS (SELECT r.root AS node, min(n.least) AS component_id FROM reach r JOIN n ON n.node = r.node GROUP BY 1)
+SELECT doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, CASE WHEN len(s.g) = 0 THEN doc_id ELSE component_id END AS component_id,
+    doc_id IS NOT DISTINCT FROM CASE WHEN len(s.g) = 0 THEN doc_id ELSE component_id END AS kept
+FROM s LEFT JOIN n ON s.g = n.g LEFT JOIN component USING (node)
+""")
 def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))

@@ -1,11 +1,12 @@
 """MinHash near-dedup: bottom-k sketches from one hash function, exact Jaccard over word pairs.
 
 A document's set holds the hashes of its distinct shingles; the k smallest are its sketch. Copies (equal sets)
-become one node. Inverted lists of retained values propose pairs. Two similar sets share many retained values, so they
-share one among each other's rarest: a node enters only the lists of its ``size - shared + 1`` rarest values, ``shared``
-being the least number in common. Up to k values that number is certain; beyond, ``SHARED`` of the k values are in
-common except with a probability near 1e-7 at the threshold itself and far less above it. Common shingles and passages
-thus make no lists. The union sketch estimates the similarity of a pair, and exact counts on the full sets confirm it.
+become one node. Inverted lists of retained values propose pairs: a list is keyed by a run of neighbouring values
+of a sketch, since single values of common shingles would give lists that grow with the corpus. Up to k values
+similar sets always share a run, as the few values they do not share cannot break up the rest: of four values where
+the union has 16 or more, of three or two in smaller unions. Larger sets use runs of three and must share three of
+them, which similar ones fail to do with a probability near 1e-8 at the threshold itself and far less above it. The
+union sketch then estimates the similarity, and exact counts on the full sets confirm every link.
 
 A list never becomes all pairs of its members. Its most connected member leads it; every node is compared with its
 best leader first, then with its other leaders where the component still differs. What is in one component needs no
@@ -30,10 +31,12 @@ from larder.llm.text import lower_ascii, whole, windows, words
 from larder.session import materialise
 
 SKETCH = 64  # retained values
-SHARED = 34  # of them that similar sets share
 SIMILARITY = 80  # per cent
 SLACK = 30  # per cent points an estimate may lie below the threshold
-FEW_PAIRS = 2_000  # pairs of a list that are compared one by one
+#: The least union in which two sets that are 80 per cent alike share a run of so many neighbouring values: of u values at most u // 5 lie apart.
+RUNS = {2: 5, 3: 6, 4: 16}
+LONG_RUN, LONG_SHARED = 3, 3  # beyond the sketch: values in a run, runs that must be shared
+FEW_PAIRS = 200  # pairs of a list that are compared one by one
 NONE = "array<bigint>"
 
 
@@ -51,19 +54,14 @@ def with_sets(docs: DataFrame, width: int) -> DataFrame:
     return split.select(*rest, shingle_set(F.col("w"), width).alias("set"))
 
 
-def rare_values(nodes: DataFrame, k: int, shared: int) -> DataFrame:
-    """(node, n, key) of the rarest retained values of each node, as many as it needs; values of one node only are no list.
-
-    Smaller sets than four values are similar to equal ones only.
-    """
-    each = nodes.filter("n >= 4").select("node", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("key"))
-    held = each.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    least = F.when(F.floor(F.col("n") * 100 / 80) > k, F.lit(shared)).otherwise(F.ceil(F.col("n") * 80 / 100))
-    own = Window.partitionBy("node")
-    # Values without a list come first in the order; what is left of the node's places goes to the rarest of the others.
-    places = F.col("size") - least + 1 - (F.col("size") - F.count(F.lit(1)).over(own))
-    placed = each.join(held, "key").withColumns({"places": places, "place": F.row_number().over(own.orderBy("members", "key"))})
-    return placed.filter("place <= places").select("node", "n", "key")
+def run_keys(sketch: Column, n: Column, k: int) -> Column:
+    """The list keys of a sketch: hashes of runs of neighbouring values. Smaller sets than four values link with equal ones only."""
+    size, most = F.size(sketch), F.floor(n * 100 / 80)  # the largest union with a similar set
+    runs = lambda width: windows(sketch, size, width, lambda i: F.xxhash64(F.lit(width), *[F.get(sketch, i + (j - 1)) for j in range(width)]))
+    upto = {2: RUNS[3] - 1, 3: RUNS[4] - 1, 4: k}  # the largest own size that may need the width
+    needed = {width: (n <= upto[width]) & (most >= RUNS[width]) for width in RUNS}
+    needed[LONG_RUN] = needed[LONG_RUN] | (most > k)
+    return F.flatten(F.array(*[F.when(needed[width], runs(width)).otherwise(F.array().cast(NONE)) for width in RUNS]))
 
 
 def similar_size(a: str, b: str, similarity: int) -> Column:
@@ -116,9 +114,9 @@ def differences(members: DataFrame, nodes: DataFrame, sets: DataFrame, similarit
     return left.join(right, ["lead", "key"]).filter((F.col("cx") != F.col("cy")) & similar_size("nx", "ny", similarity)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
-def links(nodes: DataFrame, sets_of, k: int = SKETCH, similarity: int = SIMILARITY, shared: int = SHARED, few: int = FEW_PAIRS) -> DataFrame:
+def links(nodes: DataFrame, sets_of, k: int = SKETCH, similarity: int = SIMILARITY, few: int = FEW_PAIRS) -> DataFrame:
     """Links (a, b) that connect exactly the similar ones of ``nodes`` (node, n, sketch); ``sets_of(frame of nodes)`` has their full sets."""
-    listed = materialise(rare_values(nodes, k, shared))
+    listed = nodes.select("node", "n", F.explode(run_keys(F.col("sketch"), F.col("n"), k)).alias("key"))
     lists = listed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     listed = materialise(listed.join(lists, "key"))
     weight = listed.groupBy("node").agg(F.sum("members").alias("weight"))
@@ -143,17 +141,19 @@ def links(nodes: DataFrame, sets_of, k: int = SKETCH, similarity: int = SIMILARI
     every = short.select("key", F.col("node").alias("y"), F.col("root").alias("cy"), F.col("n").alias("ny"), "outside")
     # Both outside: the pair comes twice, once is enough.
     crossing = outside.join(every, "key").filter((F.col("cx") != F.col("cy")) & similar_size("nx", "ny", similarity) & (~F.col("outside") | (F.col("x") < F.col("y"))))
-    crossing = crossing.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    # A pair that shares no long list meets in every list it shares.
+    crossing = crossing.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("nx", "ny")).alias("least"))
+    crossing = crossing.filter((F.col("shared") >= LONG_SHARED) | (F.col("least") <= k)).select("x", "y")
     around = long.filter("node <> lead").select("lead", "node", "root", "outside").distinct()
     crossing = crossing.union(differences(around, nodes, sets, similarity)).distinct()
     tried = led.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     return found.union(confirmed(crossing.join(tried, ["x", "y"], "left_anti"), nodes, sets, k, similarity))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 2, similarity: int = SIMILARITY, k: int = SKETCH, shared: int = SHARED, few: int = FEW_PAIRS) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 2, similarity: int = SIMILARITY, k: int = SKETCH, few: int = FEW_PAIRS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable over links) and kept (it is this row's id); one row per row."""
     if not 80 <= similarity <= 100:
-        raise ValueError("the numbers of shared values hold from 80 per cent on")
+        raise ValueError("runs of neighbouring values are shared for certain from 80 per cent on")
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), whole(F.col(f"`{text}`")).alias("text"))
     marked = texts.withColumns({"p": F.xxhash64("text"), "q": F.xxhash64(F.lit(1), "text")})
     printed = with_sets(marked, width).select("doc_id", "p", "q", F.size("set").cast("long").alias("n"), F.xxhash64("set").alias("s"), F.xxhash64(F.lit(1), "set").alias("t"), F.slice("set", 1, k).alias("sketch"))
@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         here = marked.join(at, marked.doc_id.eqNullSafe(at.at_doc_id) & (marked.p == at.at_p) & (marked.q == at.at_q))
         return with_sets(here.groupBy("node").agg(F.min("text").alias("text")), width)
 
-    rooted = labelled(nodes, components(links(nodes, sets_of, k, similarity, shared, few)), "node", "root")
+    rooted = labelled(nodes, components(links(nodes, sets_of, k, similarity, few)), "node", "root")
     rooted = materialise(rooted.select("s", "t", "root", "least"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("s", "t", "component_id")
     full = printed.filter("n > 0").join(named, ["s", "t"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

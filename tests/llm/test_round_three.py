@@ -204,7 +204,16 @@ def near_texts():
     return rows
 
 
-@pytest.mark.parametrize("few", [minhash.FEW_PAIRS, 0])
+def test_similar_sets_always_share_a_run():
+    """The widths of the lists against the worst places for the values that two sets do not share."""
+    for union in range(5, 400):
+        apart = union // 5
+        longest = -(-(union - apart) // (apart + 1))
+        width = max(w for w, least in minhash.RUNS.items() if union >= least)
+        assert longest >= width
+
+
+@pytest.mark.parametrize("few", [10**9, 0])
 def test_components(spark, few):
     """Pairs outside a leader's component, compared one by one or by their differences from the leader."""
     rows = near_texts()

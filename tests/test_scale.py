@@ -20,3 +20,18 @@ def test_grid_totals_equal_the_built_grid(rows):
     totals = facts.grid_totals(keys, weekly, low, high, PAIR, "Wasted")
     assert sorted(totals.collect(), key=repr) == sorted(wanted.select(*totals.columns).collect(), key=repr)
     assert facts.grid_totals(keys.limit(0), weekly.limit(0), weekly.limit(0).agg(F.min("Week")).scalar(), weekly.limit(0).agg(F.max("Week")).scalar(), PAIR, "Wasted").count() == 0
+
+
+def test_scenarios_are_never_broadcast(rows):
+    sales = rows(
+        "Item_ID long, Category_ID long, Location_ID long, Date date, Quantity long, Unit_Price double, Discount_Applied double, Net_Revenue double, Contribution double, Cost_Total double, Promotion_ID long",
+        [(1, 1, 1, date(2024, 1, 5), 2, 3.0, 0.0, 6.0, 2.0, 4.0, 7)],
+    )
+    wastage = rows("Item_ID long, Location_ID long, Quantity_Wasted long, Prepared_Quantity long", [(1, 1, 1, 3)])
+    campaigns = rows("Promotion_ID long, Start_Date date, End_Date date, Applicable_Item_ID long, Applicable_Category_ID long, Location_ID long", [(7, date(2024, 1, 1), date(2024, 2, 1), 1, None, None)])
+    names = ("price_change_percent", "discount_change_percent", "demand_change_percent", "preparation_change_percent", "promotion_discount_percent")
+    scenarios = rows(f"Scenario_ID long, Item_ID long, Location_ID long, Promotion_ID long, {', '.join(n + ' double' for n in names)}", [(1, 1, None, None, 0.0, 0.0, 0.0, 0.0, None), (2, 1, None, 7, 0.0, 0.0, 0.0, 0.0, None)])
+    found = advice.what_if(sales, wastage, scenarios, campaigns)
+    assert {r["Scenario_ID"]: r["baseline_quantity"] for r in found.collect()} == {1: 2.0, 2: 2.0}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == 4

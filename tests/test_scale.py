@@ -4,7 +4,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
-from larder.operators import advice, facts
+from larder.operators import advice, facts, forecast
 
 PAIR = ["Item_ID", "Location_ID"]
 
@@ -35,3 +35,17 @@ def test_scenarios_are_never_broadcast(rows):
     assert {r["Scenario_ID"]: r["baseline_quantity"] for r in found.collect()} == {1: 2.0, 2: 2.0}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=merge") == 4
+
+
+def test_monthly_totals_equal_the_daily_series(rows):
+    start = date(2024, 12, 20)
+    data = [(1 + i % 5, start + timedelta(days=(i * i * 7 + i) % 190), 1 + i % 4) for i in range(70)]
+    sold = rows("Item_ID long, Date date, Quantity long", [*data, (2, start, 0), (3, start + timedelta(days=5), None), (None, start, 3), (9, start, 1)])
+    # One dish starts twice, one has no key, one starts after the last day.
+    starts = rows("Entity_ID long, Start date", [(1, date(2024, 1, 1)), (2, date(2025, 2, 3)), (2, date(2025, 3, 31)), (3, None), (4, date(2025, 3, 1)), (None, start), (7, date(2026, 1, 1)), (8, start)])
+    for first in (starts, None):
+        daily = forecast.daily_series(sold, "Item_ID", first)
+        wanted = daily.groupBy("Entity_ID", F.date_format("Date", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("days"), F.sum("Demand").alias("demand"), F.count_if(F.col("Demand") == 0).alias("quiet_days"))
+        got = forecast.monthly_totals(sold, "Item_ID", first)
+        assert sorted(got.collect(), key=repr) == sorted(wanted.collect(), key=repr)
+    assert forecast.monthly_totals(sold.limit(0), "Item_ID", starts).count() == 0

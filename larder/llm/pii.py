@@ -6,7 +6,9 @@ code, long hexadecimal addresses). Boosted trees judge each span by format and c
 threshold per generator, calibrated on rows the trees have not seen, selects what is added. Base spans that
 pass their check are always kept.
 
-The trees learn from at most ``SAMPLE`` candidates, chosen by a hash. Private are base spans that pass, what
+The trees learn from all candidates, and the thresholds are set on all that were held back; candidates that look
+alike to them are counted, so that the training grows with what differs. ``sample`` names a number of candidates, chosen
+by a hash, for a quick trial. Private are base spans that pass, what
 overlaps one, and base spans rewritten into the loose form of their kind in the same context; base matches
 that failed are not. A loose match elsewhere may be either: each weighs ``UNKNOWN``, and all together
 at most as much of the private ones of their generator. The trees do not see the generator nor what the checks look at.
@@ -26,14 +28,13 @@ from dataclasses import dataclass
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.llm.text import free_name, hashed_sample, shielded, whole
-from larder.session import materialise
+from larder.session import materialise, spread
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 20_000
 PRECISION = 0.97  # wanted of added base matches on the calibration rows
 RECALL = 0.95  # wanted of loose forms of private spans on the calibration rows
 UNKNOWN = 0.1  # weight of a loose match of unknown kind, and of all of a generator against its private ones
@@ -158,41 +159,46 @@ def rewritten(c: Column) -> Column:
     return F.when(match.isNotNull(), c.withField("match", match).withField("generator", number_of))
 
 
-def examples(each: DataFrame, sample: int) -> DataFrame:
-    """Training rows out of described candidates: mark, label, whether it is ``sure``, and the features."""
-    # By the proposal and its text, so the choice does not follow the layout of files.
-    chosen = materialise(hashed_sample(each, sample, each.count(), "mark", "source"))
+def examples(each: DataFrame, sample: int | None) -> DataFrame:
+    """Training rows out of described candidates: ``unseen`` for calibration, label, whether it is ``sure``, the features, and how many candidates are alike (``n``)."""
     names = [f"f_{n}" for n in FEATURES]
-    own = each.filter("base").select(F.col("key").alias("~key"), F.col("span").alias("~span"))
-    meets = (F.col("key") == F.col("~key")) & (F.col("span.start") < F.col("~span.end")) & (F.col("~span.start") < F.col("span.end"))
-    private = chosen.filter("NOT base").join(own, meets, "left_semi").select("mark", "key", "span", F.lit(True).alias("~hit")).distinct()
-    told = chosen.join(private, ["mark", "key", "span"], "left").withColumn("label", (F.col("base") | F.col("~hit").isNotNull()).cast("double"))
+    # A base span that begins up to a span's start and ends behind it, or begins inside it, has characters of it.
+    order = Window.partitionBy("key").orderBy("span.start")
+    reach = F.max(F.when(F.col("base"), F.col("span.end"))).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    following = F.min(F.when(F.col("base"), F.col("span.start"))).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    meets = F.coalesce(reach > F.col("span.start"), F.lit(False)) | F.coalesce(following < F.col("span.end"), F.lit(False))
+    told = each.select("mark", "source", "key", "span", "base", "c", *names).withColumn("label", (F.col("base") | meets).cast("double"))
+    if sample is not None:
+        # By the proposal and its text, so the choice does not follow the layout of files.
+        told = materialise(hashed_sample(told, sample, each.count(), "mark", "source"))
+    loose = described(told.filter("base").select("mark", rewritten(F.col("c")).alias("c")).filter("c IS NOT NULL"))
     told = told.select("mark", "label", ((F.col("label") > 0) | (F.col("f_generator") < BASE)).alias("sure"), *names)
-    loose = described(chosen.filter("base").select("mark", rewritten(F.col("c")).alias("c")).filter("c IS NOT NULL"))
-    return materialise(told.unionByName(loose.select("mark", F.lit(1.0).alias("label"), F.lit(True).alias("sure"), *names)))
+    every = told.unionByName(loose.select("mark", F.lit(1.0).alias("label"), F.lit(True).alias("sure"), *names))
+    unseen = (F.pmod("mark", F.lit(4)) == 0).alias("unseen")  # calibration rows
+    return materialise(every.select(unseen, "label", "sure", *names).groupBy("unseen", "label", "sure", *names).agg(F.count("*").cast("double").alias("n")))
 
 
-def spans(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[DataFrame, str]:
+def spans(docs: DataFrame, text: str = "text", sample: int | None = None) -> tuple[DataFrame, str]:
     """``docs`` without the text, its row key, ``base`` and ``spans``: arrays of (start, kind, end) in order."""
     found, key = candidates(docs, text)
     each = materialise(described(found.select(F.col(key).alias("key"), F.col("~source").alias("source"), F.explode("~found").alias("c"))).select(
         "key", "source", "c", F.struct(F.col("c.start").alias("start"), F.col("c.kind").alias("kind"), (F.col("c.start") + F.char_length("c.match")).alias("end")).alias("span"), F.xxhash64("c").alias("mark"), "base", *[f"f_{n}" for n in FEATURES]))
     assembler = VectorAssembler(inputCols=[f"f_{n}" for n in INPUTS], outputCol="features")
     taken = examples(each, sample)
-    unseen = F.pmod("mark", F.lit(4)) == 0  # calibration rows
-    fit, rest = taken.filter(~unseen), taken.filter(unseen)
-    kinds = fit.agg(F.coalesce(F.sum("label"), F.lit(0.0)).alias("yes"), F.count("*").alias("n")).first()
+    fit, rest = taken.filter("NOT unseen"), taken.filter("unseen")
+    yes = F.sum(F.col("label") * F.col("n"))
+    kinds = fit.agg(F.coalesce(yes, F.lit(0.0)).alias("yes"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("n")).first()
     added = None
     if 0 < kinds.yes < kinds.n:
         weight = F.lit(1.0)
-        for r in fit.groupBy("f_generator").agg(F.sum("label").alias("yes"), F.sum((~F.col("sure")).cast("int")).alias("unknown")).collect():
+        for r in fit.groupBy("f_generator").agg(yes.alias("yes"), F.sum(F.when(~F.col("sure"), F.col("n")).otherwise(0.0)).alias("unknown")).collect():
             if r.unknown:
                 weight = F.when(~F.col("sure") & (F.col("f_generator") == r.f_generator), UNKNOWN * min(1.0, max(r.yes, 1.0) / r.unknown)).otherwise(weight)
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=1, minInstancesPerNode=5, weightCol="weight").fit(assembler.transform(fit).select("features", "label", weight.alias("weight")))
+        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=1, minInstancesPerNode=5, weightCol="weight").fit(spread(assembler.transform(fit).select("features", "label", (weight * F.col("n")).alias("weight"))))
         judge = lambda df: model.transform(assembler.transform(df)).withColumn("p", vector_to_array("probability")[1])
         # Per base generator, the lowest score from which on the wanted share of calibration rows is right; what loose
         # matches of unknown kind are is not known, so per loose one the score that the wanted share of private rows has.
-        tested = judge(rest).select("f_generator", F.round("p", 3).alias("p"), "label").groupBy("f_generator", "p").agg(F.count("*").alias("n"), F.sum("label").alias("yes")).collect()
+        tested = judge(rest).select("f_generator", F.round("p", 3).alias("p"), "label", "n").groupBy("f_generator", "p").agg(F.sum("n").alias("n"), yes.alias("yes")).collect()
         limits = {}
         for g in range(len(GENERATORS)):
             rows = sorted((r for r in tested if r.f_generator == g), key=lambda r: -r.p)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from larder.llm import minhash, ns_kmeans, queries, runs
+from larder.llm import minhash, ns_kmeans, pii, queries, runs
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -294,3 +294,19 @@ def test_few_and_no_vectors(spark):
     assert ns_kmeans.inertia(ns_kmeans.cluster(two.limit(0), dims=2)).collect() == []
     with pytest.raises(Exception, match="or more"):
         ns_kmeans.cluster(spark.createDataFrame([(1, [1e30, 0.0])], "vec_id bigint, embedding array<double>"), dims=2).collect()
+
+
+def test_personal_data_is_learnt_from_every_candidate(spark):
+    """No candidate is left out of training and calibration, and a private one is any that shares characters with a base span."""
+    texts = ["call 201-555-0123 or +1 201 555 0123, not 4111 1111 1111 1112" + " or 301 555 0199" * (k % 5) for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, key = pii.candidates(docs)
+    each = pii.described(found.select(F.col(key).alias("key"), F.col("~source").alias("source"), F.explode("~found").alias("c"))).select(
+        "key", "source", "c", F.struct(F.col("c.start").alias("start"), F.col("c.kind").alias("kind"), (F.col("c.start") + F.char_length("c.match")).alias("end")).alias("span"), F.xxhash64("c").alias("mark"), "base", *[f"f_{n}" for n in pii.FEATURES])
+    rows = pii.examples(each, None)
+    spans = [r.asDict(True) for r in each.select("key", "span", "base").collect()]
+    own = [(s["key"], s["span"]["start"], s["span"]["end"]) for s in spans if s["base"]]
+    private = sum(s["base"] or any(k == s["key"] and a < s["span"]["end"] and s["span"]["start"] < b for k, a, b in own) for s in spans)
+    loose = each.filter("base AND f_generator IN (0, 1, 3)").count()
+    assert rows.agg(F.sum("n")).first()[0] == len(spans) + loose and rows.filter("unseen").count()
+    assert rows.agg(F.sum(F.col("n") * F.col("label"))).first()[0] == private + loose

@@ -4,7 +4,8 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
-from larder.operators import advice, facts, forecast
+from larder.functions import ordering
+from larder.operators import advice, demand, facts, forecast, wastage
 
 PAIR = ["Item_ID", "Location_ID"]
 
@@ -49,3 +50,46 @@ def test_monthly_totals_equal_the_daily_series(rows):
         got = forecast.monthly_totals(sold, "Item_ID", first)
         assert sorted(got.collect(), key=repr) == sorted(wanted.collect(), key=repr)
     assert forecast.monthly_totals(sold.limit(0), "Item_ID", starts).count() == 0
+
+
+def test_forest_over_compact_days_loses_none(rows):
+    start = date(2024, 1, 1)
+    data = [(e, start + timedelta(days=(e * 13 + k * 29) % 200), 1 + (e + k) % 3) for e in range(1, 81) for k in range(5)]
+    s = demand.series(rows("Item_ID long, Date date, Quantity long", data), "Item_ID")
+    days = demand.weighted_features(s, s.last)
+    cuts = ordering.bands(days, demand.CUT)
+    assert "Entity_ID" in cuts and len(cuts["Entity_ID"]) <= 31
+    small = demand.compact(days, cuts)
+    total = lambda df: df.agg(F.sum("weight"), F.sum(F.col("weight") * F.col("Demand"))).first()
+    assert tuple(total(small)) == tuple(total(days)) and small.count() < days.count()
+    model = demand.fit(s, s.last, trees=3, compact_from=1)
+    assert isinstance(model, forecast.Banded)
+    ahead = demand.future(model, s, 3).collect()
+    assert ahead and all(0 <= r["Prediction"] <= 9 for r in ahead)
+    assert not isinstance(demand.fit(s, s.last, trees=3), forecast.Banded)
+
+
+def test_boosting_over_counted_weeks_is_boosting_over_weeks(rows):
+    first = date(2024, 1, 1)
+    data = [(i, p, first + timedelta(days=7 * w), (i + w) % 4, 6 + i % 2, (w + p) % 5) for i in range(1, 7) for p in (1, 2) for w in range(0, 60) if (i * w + p) % 3]
+    known = rows("Item_ID long, Location_ID long, Week date, Wasted long, Prepared long, Demand long", data)
+    split = wastage.split_weeks(wastage.sparse_features(known, F.lit(first)))
+    # The same weeks twice: a counted week weighs two.
+    twice = split.unionByName(split)
+    train = twice.where(F.col("split") == "train")
+    assert wastage.compact(train, {}).agg(F.sum("weight")).first()[0] == train.count() > wastage.compact(train, {}).count()
+    plain, counted = wastage.fit_wastage(twice, iterations=3, depth=3), wastage.fit_wastage(twice, iterations=3, depth=3, compact_from=1)
+    assert plain.cuts is None and counted.cuts == {} and plain.cut == counted.cut
+    test = split.where(F.col("split") == "test")
+    keyed = lambda m: {(r["Item_ID"], r["Location_ID"], r["Week"]): r["Expected_Wastage"] for r in wastage.score(m, test).collect()}
+    one, two = keyed(plain), keyed(counted)
+    assert one and all(abs(one[k] - two[k]) < 1e-9 for k in one)
+
+
+def test_ranges_of_many_dishes_leave_the_columns_as_they_were(rows):
+    weeks = rows("Item_ID long, lag_waste_1 long", [(i, i % 2 or None) for i in range(100)])
+    cuts = ordering.bands(weeks, ["Item_ID", "lag_waste_1"])
+    assert set(cuts) == {"Item_ID"}
+    placed = weeks.select("Item_ID", ordering.banded(cuts)["Item_ID"].alias("range")).collect()
+    sizes = [sum(r["range"] == k for r in placed) for k in range(len(cuts["Item_ID"]) + 1)]
+    assert sum(sizes) == 100 and max(sizes) <= 5

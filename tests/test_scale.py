@@ -1,11 +1,12 @@
 """Results that must not cost a row per key and calendar step, nor a broadcast of a large table."""
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
 from larder.functions import ordering
-from larder.operators import advice, demand, facts, forecast, wastage
+from larder.operators import advice, demand, facts, forecast, metrics, wastage
 
 PAIR = ["Item_ID", "Location_ID"]
 
@@ -93,3 +94,36 @@ def test_ranges_of_many_dishes_leave_the_columns_as_they_were(rows):
     placed = weeks.select("Item_ID", ordering.banded(cuts)["Item_ID"].alias("range")).collect()
     sizes = [sum(r["range"] == k for r in placed) for k in range(len(cuts["Item_ID"]) + 1)]
     assert sum(sizes) == 100 and max(sizes) <= 5
+
+
+def some_sales(rows):
+    """Orders of two lines or more of one dish, repeated lines, and missing orders and customers."""
+    data = [
+        (None if n % 11 == 0 else n // 3 % 17, None if n % 13 == 0 else n // 3 % 17 % 5, n % 4 + 1, f"dish {n % 4 + 1}", n % 2, n % 3, "a" if n % 2 else None,
+         datetime(2024, 1, 1 + n // 3 % 17 % 3, 5), date(2024, 1, 1 + n // 3 % 17 % 3), n % 5 + 1, Decimal(n) / 4, Decimal(n) / 8, Decimal(n) / 8, Decimal(1))
+        for n in [*range(120), 5, 5, 7]
+    ]
+    return rows(
+        "Order_ID long, Customer_ID long, Item_ID long, Item_Name string, Category_ID long, Location_ID long, Channel string, Order_DateTime timestamp_ntz, Date date, Quantity long,"
+        " Net_Revenue decimal(18,2), Cost_Total decimal(18,2), Contribution decimal(18,2), Discount_Applied decimal(18,2)", data,
+    )
+
+
+def test_dish_totals_hold_no_order_in_a_hash_table(rows):
+    sales = some_sales(rows)
+    dish = ["Item_ID", "Item_Name"]
+    lines = metrics.per_order(sales, dish)
+    people = lines.groupBy(*dish, "Customer_ID").agg(F.count(F.lit(1)).alias("n"), F.sum("revenue").alias("revenue"))
+    wanted = people.groupBy(*dish).agg(F.sum("n").alias("orders"), F.count(F.lit(1)).alias("customers"), F.count_if(F.col("n") > 1).alias("repeat_customers"), F.sum("revenue").alias("revenue"))
+    got = metrics.summarise(sales, dish)
+    assert sorted(got.select(*wanted.columns).collect()) == sorted(wanted.collect()) and got.count() == 4
+    assert dict(got.dtypes)["revenue"] == "decimal(38,2)"
+    assert got._jdf.queryExecution().executedPlan().toString().count("HashAggregate") == 2
+
+
+def test_dish_orders_are_counted_without_a_distinct_aggregate(rows):
+    sales = some_sales(rows)
+    got = metrics.menu_profit(sales)
+    wanted = sales.groupBy("Item_ID").agg(F.count_distinct("Order_ID"), F.round(F.sum("Net_Revenue"), 2))
+    assert sorted(got.select("Item_ID", "Orders", "Net_Revenue").collect()) == sorted(wanted.collect())
+    assert got._jdf.queryExecution().executedPlan().toString().count("HashAggregate") == 2

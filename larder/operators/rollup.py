@@ -16,10 +16,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.functions.scalar import ratio
+from larder.functions.windows import series
 from larder.operators import filters, metrics
 
 #: Filters that every cell carries, and the report each kind of cell answers with more.
@@ -35,18 +36,26 @@ class Rollup:
     waste: DataFrame
 
 
-def _sums() -> list:
-    sources = {"units": "Quantity", "revenue": "Net_Revenue", "cost": "Cost_Total", "contribution": "Contribution", "discount": "Discount_Applied"}
-    return [F.sum(sources[name]).alias(name) for name in SUMS]
+def _added(sales: DataFrame, keys: list[str], line: str, steps: int, **more: Column) -> DataFrame:
+    """One row per key with the sums of its lines, sorted by ``line`` in a stage of their own.
+
+    Nearly every line is a cell of its own: an aggregate would hold them all in hash tables, where one sort spills.
+    """
+    order = series(keys, line)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sums = {name: metrics.total(sales, source, steps, whole) for name, source in metrics.SUMS.items()}
+    sums |= {name: c.over(whole) for name, c in more.items()}
+    placed = sales.repartition(*keys).withColumns({"_line": F.row_number().over(order)} | {f"_{name}": c for name, c in sums.items()})
+    return placed.where("_line = 1").select(*keys, *[F.col(f"_{name}").alias(name) for name in sums])
 
 
 def build(sales: DataFrame, wastage: DataFrame, menu: DataFrame, folder: str) -> Rollup:
     """Write the cells of ``sales`` and ``wastage`` under ``folder``: two passes over the sales, one over the wastage."""
     place = ["Date", "Location_ID", "Channel"]
-    orders = sales.groupBy(*place, "Category_ID", "Customer_ID", "Order_ID").agg(*_sums())
-    # Per order first, so that a dish's orders are counted without gathering them.
-    lines = sales.groupBy(*place, "Category_ID", "Item_ID", "Order_ID").agg(*_sums(), F.min("Order_DateTime").alias("first_sale"), F.max("Order_DateTime").alias("last_sale"))
-    items = lines.groupBy(*place, "Category_ID", "Item_ID").agg(*[F.sum(c).alias(c) for c in SUMS], F.count(F.lit(1)).alias("orders"), F.min("first_sale").alias("first_sale"), F.max("last_sale").alias("last_sale"))
+    orders = _added(sales, [*place, "Category_ID", "Customer_ID", "Order_ID"], "Item_ID", 1)
+    dish = [*place, "Category_ID", "Item_ID"]
+    visits = sales.repartition(*dish).withColumn("_visit", F.dense_rank().over(series(dish, "Order_ID")).cast("long"))
+    items = _added(visits, dish, "Order_ID", 2, orders=F.max("_visit"), first_sale=F.min("Order_DateTime"), last_sale=F.max("Order_DateTime"))
     spoilt = wastage.groupBy(F.col("Wastage_Date").alias("Date"), "Location_ID", "Item_ID").agg(F.sum("Quantity_Wasted").alias("units"), F.sum("Cost_Impact").alias("cost"))
     spoilt = spoilt.join(menu.select("Item_ID", "Category_ID"), "Item_ID", "left")
     for name, cells in (("orders", orders), ("items", items), ("waste", spoilt)):

@@ -6,7 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from larder.functions import ordering
-from larder.operators import advice, demand, facts, forecast, metrics, wastage
+from larder.operators import advice, demand, facts, forecast, metrics, rollup, wastage
 
 PAIR = ["Item_ID", "Location_ID"]
 
@@ -127,3 +127,17 @@ def test_dish_orders_are_counted_without_a_distinct_aggregate(rows):
     wanted = sales.groupBy("Item_ID").agg(F.count_distinct("Order_ID"), F.round(F.sum("Net_Revenue"), 2))
     assert sorted(got.select("Item_ID", "Orders", "Net_Revenue").collect()) == sorted(wanted.collect())
     assert got._jdf.queryExecution().executedPlan().toString().count("HashAggregate") == 2
+
+
+def test_rollup_cells_are_added_up_over_sorted_lines(rows, tmp_path):
+    sales = some_sales(rows)
+    spoilt = rows("Wastage_Date date, Location_ID long, Item_ID long, Quantity_Wasted long, Cost_Impact decimal(18,2)", [(date(2024, 1, 1), 1, 1, 2, Decimal(3))])
+    cells = rollup.build(sales, spoilt, sales.select("Item_ID", "Category_ID").distinct(), str(tmp_path / "cells"))
+    place = ["Date", "Location_ID", "Channel", "Category_ID"]
+    orders = sales.groupBy(*place, "Customer_ID", "Order_ID").agg(F.sum("Quantity").alias("units"), F.sum("Net_Revenue").alias("revenue"))
+    assert sorted(cells.orders.select(*orders.columns).collect(), key=repr) == sorted(orders.collect(), key=repr)
+    visits = sales.groupBy(*place, "Item_ID", "Order_ID").agg(F.sum("Quantity").alias("units"), F.max("Order_DateTime").alias("last_sale"))
+    items = visits.groupBy(*place, "Item_ID").agg(F.sum("units").alias("units"), F.count(F.lit(1)).alias("orders"), F.max("last_sale").alias("last_sale"))
+    assert sorted(cells.items.select(*items.columns).collect(), key=repr) == sorted(items.collect(), key=repr)
+    added = rollup._added(sales, [*place, "Customer_ID", "Order_ID"], "Item_ID", 1)
+    assert "Aggregate" not in added._jdf.queryExecution().executedPlan().toString()

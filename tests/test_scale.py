@@ -141,3 +141,19 @@ def test_rollup_cells_are_added_up_over_sorted_lines(rows, tmp_path):
     assert sorted(cells.items.select(*items.columns).collect(), key=repr) == sorted(items.collect(), key=repr)
     added = rollup._added(sales, [*place, "Customer_ID", "Order_ID"], "Item_ID", 1)
     assert "Aggregate" not in added._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grid_intervals_sort_no_weeks(rows):
+    monday = date(2024, 1, 1)
+    known = rows("Item_ID long, Location_ID long, Week date, Wasted long, Prepared long, Demand long", [
+        *[(1, 1, monday + timedelta(days=7 * w), w if w % 2 else None, 2 * w if w % 2 else None, w if w % 3 else None) for w in (0, 1, 2, 3, 9, 20)],
+        (1, None, monday, 1, 1, 1), (2, 1, monday + timedelta(days=7 * 5), 4, 4, None), (None, 1, None, 3, 3, 3),
+    ])
+    pairs = rows("Item_ID long, Location_ID long", [(1, 1), (1, 2), (3, 1), (None, 1)])
+    spans = wastage.grid_intervals(known, pairs)
+    low, high = monday, monday + timedelta(days=7 * 20)
+    grid = facts.grid(pairs, F.lit(low), F.lit(high), "7 DAYS", "Week").join(known, [*PAIR, "Week"], "left")
+    wanted = wastage.grid_features(grid)
+    found = wastage.expand_intervals(spans).select(*wanted.columns)
+    assert sorted(map(str, found.collect())) == sorted(map(str, wanted.collect()))
+    assert "Window" not in spans._jdf.queryExecution().executedPlan().toString()

@@ -183,8 +183,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", d
     met = T.StructType([*chunks.schema.fields, T.StructField("~meet", T.LongType())])
     # Stored: each chunk is looked at from two sides, and the row numbers must not change in between.
     chunks = materialise(chunks.repartition("~row", "~k").mapInPandas(meet, met))
-    apart = chunks.filter(~F.col("~last") & (F.col("~meet") < 0)).select("~row").distinct()
-    begins = chunks.select("~row", (F.col("~k") + 1).alias("~k"), (F.col("~meet") - step).alias("~begin"))
+    # The positions without the text, stored apart: the planner sees their true size, and no chunk is shuffled to meet them.
+    places = materialise(chunks.select("~row", "~k", "~last", "~meet"))
+    apart = places.filter(~F.col("~last") & (F.col("~meet") < 0)).select("~row").distinct()
+    begins = places.select("~row", (F.col("~k") + 1).alias("~k"), (F.col("~meet") - step).alias("~begin"))
     placed = chunks.join(apart, "~row", "left_anti").join(begins, ["~row", "~k"], "left").fillna(0, ["~begin"])
     order = ["~row", *keep, "~k", "~part", "~last", "~meet", "~begin"]
     encoded = placed.select(*[F.col(f"`{c}`") for c in order]).mapInPandas(part_ids, T.StructType([*[chunks.schema[c] for c in ("~row", *keep, "~k")], T.StructField("~ids", T.ArrayType(T.IntegerType()))]))

@@ -310,3 +310,29 @@ def test_personal_data_is_learnt_from_every_candidate(spark):
     loose = each.filter("base AND f_generator IN (0, 1, 3)").count()
     assert rows.agg(F.sum("n")).first()[0] == len(spans) + loose and rows.filter("unseen").count()
     assert rows.agg(F.sum(F.col("n") * F.col("label"))).first()[0] == private + loose
+
+
+def test_chunks_are_not_shuffled_to_meet_their_positions(spark):
+    """With a text far beyond the broadcast limit, the positions still join where the chunks lie."""
+    import random
+
+    import public_tokenizers
+
+    from larder.llm import bytebpe
+
+    dice = random.Random(5)
+    texts = ["".join(dice.choice("abcdefghij klmnop qrstuv wxyz 0123456789 .,") for _ in range(120_000)) for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60k")
+        found = bytebpe.encode(docs, path, public_tokenizers.PATTERN, step=3_000, overlap=300)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        ids = {r["doc_id"]: r["ids"] for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    with open(path, "rb") as file:
+        codec = bytebpe.Codec(file.read(), public_tokenizers.PATTERN)
+    assert ids == {i: codec.encode(t) for i, t in enumerate(texts)}
+    assert "SortMergeJoin" not in plan

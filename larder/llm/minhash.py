@@ -98,27 +98,26 @@ def differences(members: DataFrame, nodes: DataFrame, sets: DataFrame, similarit
     full = sets.join(sizes, "node")
     with_sets = members.join(full.select("node", F.col("n"), F.col("set")), "node").join(full.select(F.col("node").alias("lead"), F.col("n").alias("ln"), F.col("set").alias("ls")), "lead")
     apart = F.concat(F.array_except("set", "ls"), F.array_except("ls", "set"))
-    each = with_sets.select("lead", "node", "root", "outside", "n", "ln", apart.alias("apart")).select("lead", "node", "root", "outside", "n", "ln", F.size("apart").alias("d"), F.explode("apart").alias("key"))
-    each = materialise(each)
-    common = each.groupBy("lead", "key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    total = Window.partitionBy("lead", "node")
-    place = F.col("d") - F.count(F.lit(1)).over(total) + F.row_number().over(total.orderBy("held", "key"))  # values that one member has alone come first
     f = (100 - similarity) / (100 + similarity)
-    placed = each.join(common, ["lead", "key"]).withColumns({
-        "place": place,
+    bounds = with_sets.select("lead", "node", "root", "outside", "n", "ln", apart.alias("apart")).withColumn("d", F.size("apart")).withColumns({
         "as_outside": F.col("d") - F.greatest(F.ceil((F.col("d") - f * (F.col("n") + F.col("ln"))) / 2 - 1e-9), F.lit(1)) + 1,
         "as_any": F.col("d") - F.floor((F.col("d") + f * (F.col("ln") - F.col("n"))) / 2 - 1e-9)})
-    placed = materialise(placed.filter("place <= greatest(as_any, as_outside)").select("lead", "key", "node", "root", "outside", "n", "place", "as_any", "as_outside"))
-    left = placed.filter("outside AND place <= as_outside").select("lead", "key", F.col("node").alias("x"), F.col("root").alias("cx"), F.col("n").alias("nx"))
-    right = placed.filter("place <= as_any").select("lead", "key", F.col("node").alias("y"), F.col("root").alias("cy"), F.col("n").alias("ny"))
-    return left.join(right, ["lead", "key"]).filter((F.col("cx") != F.col("cy")) & similar_size("nx", "ny", similarity)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    each = bounds.select("lead", "node", "root", "outside", "n", "d", "as_outside", "as_any", F.explode("apart").alias("key"))
+    each = each.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("lead", "key"))).filter("held > 1")
+    total = Window.partitionBy("lead", "node")
+    place = F.col("d") - F.count(F.lit(1)).over(total) + F.row_number().over(total.orderBy("held", "key"))  # values that one member has alone come first
+    placed = materialise(each.withColumn("place", place).filter("place <= as_any OR (outside AND place <= as_outside)").drop("held"))
+    left = placed.filter("outside AND place <= as_outside").select("lead", "key", F.col("node").alias("x"), F.col("root").alias("cx"), F.col("n").alias("nx"), (F.col("d") - F.col("place")).alias("rx"), F.col("d").alias("dx"))
+    right = placed.filter("place <= as_any").select("lead", "key", F.col("node").alias("y"), F.col("root").alias("cy"), F.col("n").alias("ny"), (F.col("d") - F.col("place")).alias("ry"), F.col("d").alias("dy"))
+    # At their first common value a pair can share that one and what either has left, so a link meets this there.
+    enough = (F.least("rx", "ry") + 1) * 2 * (100 + similarity) >= (F.col("dx") + F.col("dy")) * (100 + similarity) - (F.col("nx") + F.col("ny")) * (100 - similarity)
+    return left.join(right, ["lead", "key"]).filter((F.col("cx") != F.col("cy")) & similar_size("nx", "ny", similarity) & enough).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
 
 
 def links(nodes: DataFrame, sets_of, k: int = SKETCH, similarity: int = SIMILARITY, few: int = FEW_PAIRS) -> DataFrame:
     """Links (a, b) that connect exactly the similar ones of ``nodes`` (node, n, sketch); ``sets_of(frame of nodes)`` has their full sets."""
     listed = nodes.select("node", "n", F.explode(run_keys(F.col("sketch"), F.col("n"), k)).alias("key"))
-    lists = listed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    listed = materialise(listed.join(lists, "key"))
+    listed = materialise(listed.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("members > 1"))
     weight = listed.groupBy("node").agg(F.sum("members").alias("weight"))
     listed = materialise(listed.select("key", "node", "n").join(weight, "node"))
     sets = materialise(sets_of(listed.select("node").distinct()))
@@ -134,16 +133,19 @@ def links(nodes: DataFrame, sets_of, k: int = SKETCH, similarity: int = SIMILARI
     label = components(found)
     members = labelled(labelled(listed.select("key", "node", "n").join(leaders.select("key", "lead"), "key"), label, "node", "root"), label, "lead", "main")
     members = members.withColumn("outside", F.col("root") != F.col("main"))
-    mixed = members.groupBy("key").agg((F.count_if("outside").cast("long") * F.count(F.lit(1))).alias("pairs")).filter("pairs > 0")
-    mixed = materialise(members.join(mixed, "key"))
-    short, long = mixed.filter(F.col("pairs") <= few), mixed.filter(F.col("pairs") > few)
-    outside = short.filter("outside").select("key", F.col("node").alias("x"), F.col("root").alias("cx"), F.col("n").alias("nx"))
-    every = short.select("key", F.col("node").alias("y"), F.col("root").alias("cy"), F.col("n").alias("ny"), "outside")
+    mixed = members.groupBy("key").agg((F.count_if("outside").cast("long") * F.count(F.lit(1))).alias("pairs"), F.count(F.lit(1)).alias("members")).filter("pairs > 0")
+    # A set all of whose links share three lists does without its two longest of the long ones: the shortest that a link shares is kept by both.
+    own = Window.partitionBy("node")
+    mixed = members.join(mixed, "key").withColumn("long", F.col("pairs") > few)
+    mixed = materialise(mixed.withColumns({"longs": F.count_if("long").over(own), "place": F.row_number().over(own.orderBy(F.desc("long"), F.desc("members"), F.desc("key")))}))
+    short, long = mixed.filter("NOT long"), mixed.filter(F.col("long") & ((F.col("place") >= LONG_SHARED) | (F.col("n") * similarity <= 100 * k)))
+    outside = short.filter("outside").select("key", F.col("node").alias("x"), F.col("root").alias("cx"), F.col("n").alias("nx"), F.col("longs").alias("lx"))
+    every = short.select("key", F.col("node").alias("y"), F.col("root").alias("cy"), F.col("n").alias("ny"), F.col("longs").alias("ly"), "outside")
     # Both outside: the pair comes twice, once is enough.
     crossing = outside.join(every, "key").filter((F.col("cx") != F.col("cy")) & similar_size("nx", "ny", similarity) & (~F.col("outside") | (F.col("x") < F.col("y"))))
-    # A pair that shares no long list meets in every list it shares.
-    crossing = crossing.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("nx", "ny")).alias("least"))
-    crossing = crossing.filter((F.col("shared") >= LONG_SHARED) | (F.col("least") <= k)).select("x", "y")
+    # A pair that is kept in no long list meets in every short one it shares; two at most of the long ones are left out.
+    crossing = crossing.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("nx", "ny")).alias("least"), F.min(F.least("lx", "ly")).alias("longs"))
+    crossing = crossing.filter((F.col("shared") + F.least(F.col("longs"), F.lit(LONG_SHARED - 1)) >= LONG_SHARED) | (F.col("least") <= k)).select("x", "y")
     around = long.filter("node <> lead").select("lead", "node", "root", "outside").distinct()
     crossing = crossing.union(differences(around, nodes, sets, similarity)).distinct()
     tried = led.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))

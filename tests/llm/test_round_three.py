@@ -336,3 +336,21 @@ def test_chunks_are_not_shuffled_to_meet_their_positions(spark):
         codec = bytebpe.Codec(file.read(), public_tokenizers.PATTERN)
     assert ids == {i: codec.encode(t) for i, t in enumerate(texts)}
     assert "SortMergeJoin" not in plan
+
+
+def test_differences_propose_what_may_still_be_a_link(spark):
+    """Near members hold four values their leader lacks; members far off hold them too, but lie too far apart to be links."""
+    rng = random.Random(4)
+    lead = list(range(150))
+    hot = [1_000, 1_001, 1_002, 1_003]
+    sets = {0: lead} | {k: sorted({*lead, *hot, 2_000 + k}) for k in range(1, 41)}
+    for k in range(41, 81):
+        sets[k] = sorted({*rng.sample(lead, 110), *hot, *(10_000 + 100 * k + j for j in range(40))})
+    sets[81] = sorted({*sets[80]} - {min(sets[80])})
+    members = [(0, k, 0 if k < 41 else k, k > 40) for k in sets if k]
+    nodes = spark.createDataFrame([(k, len(s)) for k, s in sets.items()], "node bigint, n int")
+    full = spark.createDataFrame([(k, s) for k, s in sets.items()], "node bigint, set array<bigint>")
+    pairs = {tuple(r) for r in minhash.differences(spark.createDataFrame(members, "lead bigint, node bigint, root bigint, outside boolean"), nodes, full, 80).collect()}
+    like = lambda a, b: 100 * len({*a} & {*b}) >= 80 * len({*a} | {*b})
+    wanted = {(x, y) for x in sets for y in sets if 0 < x < y and y > 40 and like(sets[x], sets[y])}
+    assert wanted and wanted <= pairs and len(pairs) < 40

@@ -20,7 +20,10 @@ the hash of their text; an empty table gives an empty output.
 
 from __future__ import annotations
 
+import itertools
+import json
 import zlib
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -50,8 +53,9 @@ def _occurrences(seq: np.ndarray, inner: np.ndarray, left: np.ndarray, right: np
     row[lefts], column[rights] = np.arange(1, len(lefts) + 1), np.arange(1, len(rights) + 1)
     table = np.full((len(lefts) + 1, len(rights) + 1), -1, np.int16)
     table[row[left], column[right]] = np.arange(len(left))
-    at = np.flatnonzero((row[seq[:-1]] > 0) & (column[seq[1:]] > 0) & inner)
-    rule = table[row[seq[at]], column[seq[at + 1]]]
+    rows, columns = row[seq[:-1]], column[seq[1:]]
+    at = np.flatnonzero((rows > 0) & (columns > 0) & inner)
+    rule = table[rows[at], columns[at]]
     at, rule = at[rule >= 0], rule[rule >= 0]
     same = seq[at] == seq[at + 1]
     if same.any():  # of a run of equal symbols, the pairs at even steps from its start
@@ -139,23 +143,29 @@ class Shard:
         return expand(own[a:b], self.left, self.right)[start - before : stop - before]
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.left, self.right)
+        """The ids of all documents: every rule is expanded once, then each symbol takes what it stands for."""
+        rules = len(self.left)
+        flat = np.concatenate([np.arange(BASE, dtype=np.uint32), expand(np.arange(BASE, BASE + rules, dtype=np.uint32), self.left, self.right)])
+        size = np.ones(BASE + rules, np.int32)
+        size[BASE:] = self.lengths
+        first = np.cumsum(size, dtype=np.int64) - size
+        sizes = size[self.symbols]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        # Where a symbol's ids lie in ``flat``, less where they go; added to the places they go to.
+        return flat[np.repeat(first[self.symbols] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-class Codes(dict):
-    """Codes 0, 1, 2 ... of keys in the order they are first asked for; ``fresh`` holds those not yet learned."""
+class Codes(defaultdict):
+    """Codes 0, 1, 2 ... of keys in the order they are first asked for."""
 
     def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, key: str) -> int:
-        code = self[key] = len(self)
-        self.fresh.append(key)
-        return code
+        super().__init__(itertools.count().__next__)
+        self.known = 0
 
     def taken(self) -> list[str]:
-        fresh, self.fresh = self.fresh, []
+        """The keys that are new since the last call, in the order of their codes."""
+        fresh = list(itertools.islice(reversed(self), len(self) - self.known))[::-1]
+        self.known = len(self)
         return fresh
 
 
@@ -200,6 +210,10 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
+        # The same model for pre-tokens as they are: only cut at spaces.
+        settings = json.loads(model)
+        steps = [{"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}, settings["pre_tokenizer"]["pretokenizers"][-1]]
+        self.plain = Tokenizer.from_str(json.dumps(settings | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}, "post_processor": None, "added_tokens": []}))
         vocabulary = self.tokenizer.get_vocab()
         if max(vocabulary.values()) >= BASE:
             raise ValueError(f"ids from {BASE} on are rules; the vocabulary needs ids up to {max(vocabulary.values())}")
@@ -222,23 +236,28 @@ class Words:
     def _alone(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _joined(self, words: list[str], between: str):
+    def _joined(self, tokenizer, words: list[str], between: str):
         groups = [words[a : a + 500] for a in range(0, len(words), 500)]
-        encoded = self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)
+        encoded = tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)
         return [(g, np.array(e.ids, np.int64)) for g, e in zip(groups, encoded)]
 
     def _learn_pieces(self, words: list[str]) -> None:
-        for group, ids in self._joined(words, " "):
+        found, sizes = [], []
+        for group, ids in self._joined(self.plain, words, " "):
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(group) and (not len(ids) or ends[-1] == len(ids)):
-                self.piece_ids.add(ids, np.diff(ends, prepend=0))
+                found.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
             else:
                 each = [self._alone(w) for w in group]
-                self.piece_ids.add(np.array([i for e in each for i in e], np.int64), np.array([len(e) for e in each], np.int64))
+                found.append(np.array([i for e in each for i in e], np.int64))
+                sizes.append(np.array([len(e) for e in each], np.int64))
+        if found:
+            self.piece_ids.add(np.concatenate(found), np.concatenate(sizes))
 
     def _marked(self, words: list[str]) -> list[list[int]]:
         out, width = [], len(self.mark)
-        for group, ids in self._joined(words, f" {MARK} "):
+        for group, ids in self._joined(self.tokenizer, words, f" {MARK} "):
             hit = np.ones(max(len(ids) - width + 1, 0), bool)
             for j, m in enumerate(self.mark):
                 hit &= ids[j : j + len(hit)] == m
@@ -275,10 +294,13 @@ class Words:
         if len(self.parts) > CACHE:
             self.clear()
         code = self.parts.__getitem__
-        split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
-        rows = [np.fromiter(map(code, parts), np.int64, len(parts)) for parts in split]
-        if self.parts.fresh:
-            self._learn(self.parts.taken())
+        rows = []
+        for text in texts:  # one text at a time, so that its parts are looked up while they are fresh
+            parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            rows.append(np.fromiter(map(code, parts), np.int64, len(parts)))
+        fresh = self.parts.taken()
+        if fresh:
+            self._learn(fresh)
         flat, run = self.part_ids.take(np.concatenate(rows) if rows else np.zeros(0, np.int64))
         cuts = run[np.cumsum([0, *map(len, rows)])[1:]]
         return np.insert(flat, cuts, END).astype(np.uint32), np.concatenate([[0], cuts + np.arange(1, len(rows) + 1)])
@@ -327,12 +349,12 @@ def write(docs: DataFrame, model_path: str, path: str, doc_id: str = "doc_id", t
             if not batch.num_rows:
                 continue
             part = batch.column(2)[0].as_py()
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            lengths = np.cumsum([len(t) for t in texts.to_pylist()])
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            lengths = np.cumsum([len(t) for t in texts])
             a = 0
             while a < len(doc_ids):  # about four million characters at a time
                 b = max(int(np.searchsorted(lengths, (lengths[a - 1] if a else 0) + 4_000_000)), a + 1)
-                ids, starts = words.encode(texts[a:b].to_pylist())
+                ids, starts = words.encode(texts[a:b])
                 kept.append((doc_ids[a:b], ids, starts))
                 size += len(ids)
                 if size >= shard:

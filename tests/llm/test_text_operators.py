@@ -434,3 +434,32 @@ def test_added_spans_do_not_follow_the_files(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     few, many = ({r["doc_id"]: r["spans"] for r in pii.report(df.repartition(n), sample=100).collect()} for n in (1, 7))
     assert few == many
+
+
+def test_rules_are_expanded_once(monkeypatch):
+    """A record's ids are taken from one expansion of its rules, not from one of every symbol, and pre-tokens are learnt in one piece."""
+    ids = np.array([5, 6, 7, 8] * 4_000 + [9, 9, 9] * 50, np.uint32)
+    starts = np.array([0, 7, 7, len(ids)])
+    symbols, at, left, right, lengths = repair.compress(ids, starts)
+    shard = repair.Shard({"doc_ids": range(3), "id_starts": starts, "symbol_starts": at, "left": left.astype("<u4").tobytes(), "right": right.astype("<u4").tobytes(), "lengths": lengths.astype("<u4").tobytes(), "symbols": symbols.tobytes()})
+    seen = []
+    expand = repair.expand
+    monkeypatch.setattr(repair, "expand", lambda s, *rules: seen.append(len(s)) or expand(s, *rules))
+    assert (shard.all_ids() == ids).all() and seen == [len(left)]
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        words = repair.Words(file.read())
+    added = []
+    add = words.piece_ids.add
+    monkeypatch.setattr(words.piece_ids, "add", lambda *a: added.append(len(a[1])) or add(*a))
+    texts = [" ".join(f"w{chr(97 + a)}{chr(97 + b)}'s{chr(98 + c)}." for a in range(20) for b in range(10) for c in range(10)), "", "Ünde\x0bso  <|endoftext|> 12"]
+    got, cuts = words.encode(texts)
+    assert len(added) == 1
+    for text, a, b in zip(texts, cuts, cuts[1:]):
+        assert got[a:b].tolist() == [*words.tokenizer.encode(text, add_special_tokens=False).ids, repair.END]
+
+
+def test_empty_record():
+    none = np.zeros(0, np.int64)
+    symbols, at, left, right, lengths = repair.compress(none, np.array([0]))
+    shard = repair.Shard({"doc_ids": [], "id_starts": np.array([0]), "symbol_starts": at, "left": b"", "right": b"", "lengths": b"", "symbols": symbols.tobytes()})
+    assert len(shard.all_ids()) == 0

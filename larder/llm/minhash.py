@@ -102,7 +102,8 @@ def differences(members: DataFrame, nodes: DataFrame, sets: DataFrame, similarit
     bounds = with_sets.select("lead", "node", "root", "outside", "n", "ln", apart.alias("apart")).withColumn("d", F.size("apart")).withColumns({
         "as_outside": F.col("d") - F.greatest(F.ceil((F.col("d") - f * (F.col("n") + F.col("ln"))) / 2 - 1e-9), F.lit(1)) + 1,
         "as_any": F.col("d") - F.floor((F.col("d") + f * (F.col("ln") - F.col("n"))) / 2 - 1e-9)})
-    each = bounds.select("lead", "node", "root", "outside", "n", "d", "as_outside", "as_any", F.explode("apart").alias("key"))
+    # The members of a leader come out of the join in one task; dealt anew, their differences spread over all tasks.
+    each = bounds.repartition("lead", "node").select("lead", "node", "root", "outside", "n", "d", "as_outside", "as_any", F.explode("apart").alias("key"))
     each = each.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("lead", "key"))).filter("held > 1")
     total = Window.partitionBy("lead", "node")
     place = F.col("d") - F.count(F.lit(1)).over(total) + F.row_number().over(total.orderBy("held", "key"))  # values that one member has alone come first

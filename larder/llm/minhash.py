@@ -13,7 +13,8 @@ best leader first, then with its other leaders where the component still differs
 further comparison. Members outside the leader's component are compared with the rest of a short list one by one; in a
 long list only their differences from the leader are looked at: sets x and y that lie dx and dy values from it, but
 at most t from each other, share (dx + dy - t) / 2 of those values, and as x is no link of the leader that is more than
-half of dy. So they meet in lists of the rarest differences, and a group of near copies costs a few pairs a member.
+half of dy. So they meet in lists of the rarest differences, where what both have left must still allow a link, and a
+group of near copies costs a few pairs a member. A set that must share three runs leaves the two longest of its long lists.
 
 Defined cases: a null or wordless text has the empty set, links with nothing and is its own component; one
 word is one shingle; repeated rows share a set and hence a component; a null id never names a component unless

@@ -3,10 +3,13 @@
 from datetime import date, datetime, timedelta
 from decimal import Decimal
 
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
+from larder.binding import Tables
 from larder.functions import ordering
 from larder.operators import advice, demand, facts, forecast, metrics, rollup, wastage
+from larder.plans import model_queries
 
 PAIR = ["Item_ID", "Location_ID"]
 
@@ -70,6 +73,51 @@ def test_forest_over_compact_days_loses_none(rows):
     assert not isinstance(demand.fit(s, s.last, trees=3), forecast.Banded)
 
 
+def test_tree_over_means_is_the_tree_over_days(rows):
+    start = date(2024, 1, 1)
+    data = [(e, start + timedelta(days=(e * 13 + k * 29) % 200), 1 + (e + k) % 3) for e in range(1, 81) for k in range(5)]
+    s = demand.series(rows("Item_ID long, Date date, Quantity long", data), "Item_ID")
+    active = demand.active_features(s, s.last)
+    cuts = ordering.bands(active, demand.CUT)
+    days, means = demand.compact(demand.weighted_features(s, s.last), cuts), demand.averaged(s, s.last, active, cuts)
+    total = lambda df: df.agg(F.sum("weight"), F.sum(F.col("weight") * F.col("Demand"))).first()
+    assert total(means)[0] == total(days)[0] and abs(total(means)[1] - total(days)[1]) < 1e-6
+    assert means.count() < days.count()
+    grow = lambda df: DecisionTreeRegressor(labelCol="Demand", weightCol="weight", maxDepth=6).fit(forecast.vectors(df))
+    one, two = grow(days), grow(means)
+    seen = forecast.vectors(days)
+    read = lambda model: sorted(r["prediction"] for r in model.transform(seen).select("prediction").collect())
+    assert one.numNodes == two.numNodes > 9 and all(abs(a - b) < 1e-9 for a, b in zip(read(one), read(two)))
+
+
+def test_active_days_are_made_from_sold_days_alone(rows):
+    start = date(2024, 1, 1)
+    s = demand.series(rows("Item_ID long, Date date, Quantity long", [(e, start + timedelta(days=9 * k), 1) for e in (1, 2) for k in range(20)]), "Item_ID")
+    plan = demand.active_features(s, s.last)._jdf.queryExecution().optimizedPlan().toString()
+    # No second read of the sold days and no distinct over the days after them.
+    assert "Aggregate [" not in plan and plan.count("Relation [Entity_ID") == 2
+
+
+def test_recursion_deals_entities_over_tasks(rows, spark, monkeypatch):
+    monkeypatch.setattr(forecast, "PER_TASK", 10)
+    histories = rows("Entity_ID long, history array<double>", [(e, [float(e % 3)] * 7) for e in range(25)]).coalesce(1)
+    lagged = histories.select("Entity_ID", F.element_at("history", 7).alias("lag_1"), *[F.lit(1.0).alias(c) for c in forecast.FEATURES[1:3] + forecast.FEATURES[4:]], F.lit(2.0).alias("Demand"))
+    ahead = forecast.recursive(forecast.fit_rf(lagged, trees=1, depth=2), histories, date(2024, 1, 1), 2)
+    assert ahead.count() == 50 and ahead.rdd.getNumPartitions() == 3
+
+
+def test_grains_share_one_join_of_the_sales(rows, spark):
+    t = Tables(spark, "no folder")
+    day = date(2024, 1, 1)
+    data = [(i, None if i == 3 else i % 2, i % 3, day + timedelta(days=k // 2), None if k == 5 else k) for i in range(5) for k in range(9)]
+    vars(t).update(sales=rows("Item_ID long, Category_ID long, Location_ID long, Date date, Quantity long", data), menu=rows("Item_ID long, Introduced_Date date", [(i, day) for i in range(5)]))
+    for grain, entity in model_queries.GRAINS.items():
+        listed = lambda s: sorted(map(repr, s.observed.collect()))
+        starts = t.menu.select(F.col("Item_ID").alias("Entity_ID"), F.col("Introduced_Date").alias("Start")) if grain == "item" else None
+        assert listed(model_queries.grain_series(t, grain)) == listed(demand.series(t.sales, entity, starts))
+    assert list(t._kept) == ["daily_units"]
+
+
 def test_boosting_over_counted_weeks_is_boosting_over_weeks(rows):
     first = date(2024, 1, 1)
     data = [(i, p, first + timedelta(days=7 * w), (i + w) % 4, 6 + i % 2, (w + p) % 5) for i in range(1, 7) for p in (1, 2) for w in range(0, 60) if (i * w + p) % 3]

@@ -135,6 +135,19 @@ def test_boosting_over_counted_weeks_is_boosting_over_weeks(rows):
     assert one and all(abs(one[k] - two[k]) < 1e-9 for k in one)
 
 
+def test_boosting_learns_each_label_from_its_own_weeks(rows):
+    data = [(i % 3, 1, 6, 23, None, 1, None, 0, 0.5, None, w) for i in range(40) for w in (0, 0, 1, 2, 5, i % 7)]
+    kinds = {"rolling_demand_4": "double", "rolling_waste_4": "double"}
+    train = rows(", ".join(f"{c} {kinds.get(c, 'long')}" for c in [*wastage.FEATURES, "Wasted"]), data)
+    counted = wastage.compact(train, {})
+    amount, risk = wastage.by_label(counted, 1.0)
+    assert (amount.count(), risk.count()) == (3, 6) and counted.count() > 6
+    sums = amount.agg(F.sum("weight"), F.sum(F.col("weight") * F.col("Wasted"))).first()
+    assert sums[0] == train.count() and abs(sums[1] - train.agg(F.sum("Wasted")).first()[0]) < 1e-9
+    high = {r["High"]: r["n"] for r in risk.groupBy("High").agg(F.sum("weight").alias("n")).collect()}
+    assert high == {1.0: train.where("Wasted > 1").count(), 0.0: train.where("Wasted <= 1").count()}
+
+
 def test_ranges_of_many_dishes_leave_the_columns_as_they_were(rows):
     weeks = rows("Item_ID long, lag_waste_1 long", [(i, i % 2 or None) for i in range(100)])
     cuts = ordering.bands(weeks, ["Item_ID", "lag_waste_1"])

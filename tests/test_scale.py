@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from larder.binding import Tables
 from larder.functions import ordering
-from larder.operators import advice, demand, facts, forecast, metrics, rollup, wastage
+from larder.operators import advice, demand, facts, forecast, menu, metrics, rollup, wastage
 from larder.plans import model_queries
 
 PAIR = ["Item_ID", "Location_ID"]
@@ -148,6 +148,26 @@ def test_boosting_learns_each_label_from_its_own_weeks(rows):
     assert high == {1.0: train.where("Wasted > 1").count(), 0.0: train.where("Wasted <= 1").count()}
 
 
+def test_scoped_slow_facts_move_wide_rows_once(rows, spark):
+    day = date(2024, 5, 1)
+    sold = rows("Location_ID long, Item_ID long, Date date, Quantity long", [(p, i, day + timedelta(days=40 * k), 1 + k) for p in (1, 2) for i in (1, 2, None) for k in range(5)])
+    rated = rows("Location_ID long, Item_ID long, last_sale timestamp_ntz", [(1, 1, datetime(2024, 9, 1)), (2, 1, None), (2, 2, None), (2, 4, None), (None, 1, None), (1, None, None), (1, 5, None)])
+    dishes = rows("Item_ID long, Introduced_Date date", [(1, day), (2, day), (2, date(2024, 6, 1)), (5, None), (None, day), (7, day)])
+    places = rows("Location_ID long, Opening_Date date", [(1, date(2024, 4, 1)), (2, date(2024, 5, 9))])
+    snapshot = F.lit(date(2024, 12, 1))
+    apart = metrics.history_days(rated.join(places, "Location_ID"), dishes, snapshot, F.col("Opening_Date")).drop("Opening_Date")
+    apart = menu.with_global_sales(apart, sold).join(metrics.seasonality(sold, ["Location_ID", "Item_ID"]), ["Location_ID", "Item_ID"], "left").fillna({"active_months": 0, "seasonal_top3_share": 0.0})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = menu.slow_facts_by_location(rated, sold, dishes, places, snapshot)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got.count() == 7 and sorted(map(repr, got.drop("Scope").select(apart.columns).collect())) == sorted(map(repr, apart.collect()))
+    # Seasons meet the rows first, where they lie by both keys; the two tables of a dish meet each other.
+    assert plan.index("FullOuter") > plan.index("LeftOuter") and plan.count("LeftOuter") == 2
+
+
 def test_ranges_of_many_dishes_leave_the_columns_as_they_were(rows):
     weeks = rows("Item_ID long, lag_waste_1 long", [(i, i % 2 or None) for i in range(100)])
     cuts = ordering.bands(weeks, ["Item_ID", "lag_waste_1"])
